@@ -37,7 +37,7 @@ from .fmindex import FMIndex
 from .util import parts, text_size
 
 LENGTH, ANCHOR = 13, 5
-BUCKET_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+BUCKET_BYTES, SHARD_BYTES = 4 << 20, 6 << 20
 _LONGEST = 64  # windows of a run
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 _LARGEST = np.iinfo(np.int64).max

@@ -65,7 +65,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw[offsets[0] : offsets[-1]]
 
 
-def blocks(table: pa.RecordBatch | pa.Table, column: str = "text", most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(table: pa.RecordBatch | pa.Table, column: str = "text", most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a batch into (first row, end row, offsets, bytes) of about `most` bytes; a longer text is one block."""
     offsets, data = text_buffers(table.column(column))
     i, n = 0, len(offsets) - 1
