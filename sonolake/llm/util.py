@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +49,24 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round takes the smallest label among the neighbours (map-side combined) and then
     the label of that label, so long chains halve each round. Hubs are safe: messages are
-    minima, and the joins are plain sort-merge joins whose skewed sides AQE can split.
+    minima, and the joins are plain joins whose skewed sides AQE can split. Rounds are cut by written
+    tables, not checkpoints: a checkpoint keeps the size estimate of the joins before it, and those multiply.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
-    for _ in range(most_rounds):
+    spark = edges.sparkSession
+    folder = f"{scratch(spark)}/components-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        schema = df.schema
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
+    for k in range(most_rounds):
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        new = cut(new)
-        up = new.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = new.join(up, "component", "left").select("node", "old", F.least("component", "top").alias("component"))
-        new = cut(new)
-        changed = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
+        new = kept(labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component")), f"near-{k}")
+        if not new.where("old <> component").limit(1).count():
             return labels
+        up = new.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        labels = kept(new.join(up, "component").select("node", F.least("component", "top").alias("component")), f"labels-{k}")
     raise RuntimeError("components did not settle")
