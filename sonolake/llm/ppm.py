@@ -345,13 +345,21 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
         at, there = K.lookup(key, h)
         more = np.log10(n[at[there]] + 0.5) - np.log10(0.5) if len(n) else np.zeros(0)
         docs, back = np.unique(row[there], return_inverse=True)
-        return pa.table({"row": pa.array(docs, pa.int64()), "k": pa.array(np.bincount(back, minlength=len(docs)).astype(np.int64)), "more": pa.array(np.bincount(back, more, len(docs)).astype(float))})
+        where, lists = K.by_shard(docs >> 40, int((docs >> 40).max(initial=0)) + 1, docs, np.bincount(back, minlength=len(docs)), np.bincount(back, more, len(docs)).astype(float))
+        return pa.table(dict(zip(["bucket", "row", "k", "more"], [pa.array(where.astype(np.int64)), *lists], strict=True)))
+
+    def finish(own: pa.Table, told: pa.Table) -> pa.Table:
+        row = own.column("row").to_numpy()
+        order = np.argsort(row)
+        at = order[np.searchsorted(row[order], K.flat(told.column("row"))[0])] if len(told) else np.zeros(0, np.int64)
+        n_known, base = own.column("n_known").to_numpy().copy(), own.column("base_score").to_numpy().copy()
+        if len(at):
+            np.add.at(n_known, at, K.flat(told.column("k"))[0])
+            np.add.at(base, at, K.flat(told.column("more"), np.float64)[0])
+        return own.select(["doc_id", "held_out", "n_tokens"]).append_column("n_known", pa.array(n_known)).append_column("train_tokens", pa.array(np.full(len(row), total))).append_column("base_score", pa.array(base)).append_column("score", own.column("score"))
 
     asked = scored.where(F.size("rare") > 0).select("row", "rare").mapInArrow(ask, "shard long, h array<long>, row array<long>")
     told = counts.where(F.col("kind") == _WORDS).select("shard", "key", "n")
-    extra = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, "row long, k long, more double").groupBy("row").agg(F.sum("k").alias("k"), F.sum("more").alias("more"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.join(extra, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("more")).alias("base_score"), "score",
-    )
+    extra = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, "bucket long, row array<long>, k array<long>, more array<double>")
+    mine = scored.select(F.shiftright("row", 40).alias("bucket"), "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+    return mine.groupBy("bucket").cogroup(extra.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
