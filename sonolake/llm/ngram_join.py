@@ -3,9 +3,11 @@
 1. Each text becomes its set of n-gram hashes. Equal sets form one class (partial aggregation), and only a
    class's smallest id goes on.
 2. Candidates, exactly: sets a and b that reach num/den differ in at most (|a| + |b|)(den - num)/(den + num) n-grams.
-   The hash space is cut into one part more than that, so a similar pair agrees on some whole part. Each set sends
-   one signature for each part; how many parts there are follows from its size class, and sets near a
-   class's upper end send those of the next class as well.
+   The hash space is cut into SPARE + 1 parts more than that, so a similar pair agrees on at least SPARE + 1 whole
+   parts. Each set sends one signature for each part, but leaves out parts of at most THIN n-grams if it has no more
+   than SPARE of them: of a pair's common parts one is then left, unless both sets have more thin parts, and
+   then both send all. How many parts there are follows from a set's size class, and sets near a class's
+   upper end send those of the next class as well.
 3. Signatures meet in shards. Each task links its own holders of a signature to the smallest, so a shard gets
    one holder for each task, however large a group is. The links' components are the candidate groups.
 4. Groups are joined exactly with prefix trees. A large group is cut into chunks by size and salt, and each pair of
@@ -31,7 +33,9 @@ from .trie_join import join
 from .util import components, cut, parts, text_size
 
 N, NUM, DEN = 3, 90, 100
-RATIO = 1.4
+RATIO = 1.2
+SPARE, THIN = 4, 2
+SMALL = 60  # classes up to this size have few parts, none of them thin; all are sent
 CHUNK = 1200  # sets of a chunk
 CHUNK_TOKENS = 600_000
 SHARD_BYTES = 32 << 20
@@ -65,11 +69,15 @@ def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
     classes = [c] + ([c + 1] if _class(max(n, n * den // num)) > c else [])
     for k in classes:
         largest = int(RATIO ** (k + 1)) + 1
-        cuts = 2 * largest * (den - num) // (den + num) + 1
+        spare = SPARE if largest > SMALL else 0
+        cuts = 2 * largest * (den - num) // (den + num) + 1 + spare
         part = ((K.mix(own) >> _U64(32)) * _U64(cuts)) >> _U64(32)
+        part = part.astype(np.int64)
         total = np.zeros(cuts, _U64)
-        np.add.at(total, part.astype(np.int64), K.mix(own ^ _U64(0x5851F42D4C957F2D)))
-        out.append(K.mix(total + np.arange(cuts, dtype=_U64) * _U64(0x9E3779B97F4A7C15) + _U64(k << 48)))
+        np.add.at(total, part, K.mix(own ^ _U64(0x5851F42D4C957F2D)))
+        own_sigs = K.mix(total + np.arange(cuts, dtype=_U64) * _U64(0x9E3779B97F4A7C15) + _U64(k << 48))
+        thick = np.bincount(part, minlength=cuts) > THIN
+        out.append(own_sigs[thick] if cuts - np.count_nonzero(thick) <= spare else own_sigs)
     return np.concatenate(out)
 
 
