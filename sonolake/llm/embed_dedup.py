@@ -33,18 +33,6 @@ TILE, BLOCK = 4096, 512
 _STEPS = (8, 16, 32)
 
 
-def _forest(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Unites i[k] and j[k] in `label` (a smaller index wins)."""
-    while True:
-        a, b = label[i], label[j]
-        if (a == b).all():
-            return
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(label, high, low)
-        while (up := label[label]).tobytes() != label.tobytes():
-            label[:] = up
-
-
 def near_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs with cosine >= least between unit rows a and b; ra, rb: the same in PCA order."""
     d, slack = a.shape[1], 1e-9
@@ -157,7 +145,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 if len(i):
                     np.add.at(links, i, copies[j])
                     np.add.at(links, j, copies[i])
-                    _forest(label, i, j)
+                    K.unite(label, i, j)
         some = np.flatnonzero(links)
         return pa.table({"a": pa.array(reps[some]), "b": pa.array(reps[label[some]]), "links": pa.array(links[some])})
 

@@ -82,13 +82,12 @@ def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, smallest holder, linked holder, its smallest) without links of a holder to itself."""
+    """(keys, smallest holder of each, and links that connect the holders of a key: one for each holder)."""
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     lead = doc[np.flatnonzero(first)][np.cumsum(first) - 1] if len(key) else doc
-    pairs = np.unique(np.stack([doc, lead])[:, doc != lead], axis=1)
-    return key[first], doc[first], pairs[0], pairs[1]
+    return key[first], doc[first], *K.forest(doc[doc != lead], lead[doc != lead])
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -131,8 +130,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def meet(t: pa.Table) -> pa.Table:
         key, lead = K.flat(t.column("key"))[0].view(_U64), K.flat(t.column("lead"))[0]
         _, _, one, other = _stars(key, lead)
-        pairs = np.unique(np.stack([np.concatenate([one, K.flat(t.column("a"))[0]]), np.concatenate([other, K.flat(t.column("b"))[0]])]), axis=1)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        one, other = K.forest(np.concatenate([one, K.flat(t.column("a"))[0]]), np.concatenate([other, K.flat(t.column("b"))[0]]))
+        return pa.table({"a": pa.array(one), "b": pa.array(other)})
 
     a = "array<long>"
     near = holders.mapInArrow(send, f"shard long, key {a}, lead {a}, a {a}, b {a}").groupBy("shard").applyInArrow(meet, "a long, b long")
@@ -200,7 +199,8 @@ def _chunked(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     """Candidates with their texts, dealt to pieces of work: task (text), shard, side, rep, copies, text."""
     n_shards = parts(groups.count(), CHUNK // 4)
     sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
-    held = sized.join(rows.where("doc_id is not null and text is not null"), sized.node == rows.doc_id).drop("doc_id").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
+    # a merge join at every size: the candidates grow with the input, so they are never broadcast
+    held = sized.join(rows.where("doc_id is not null and text is not null").hint("merge"), sized.node == rows.doc_id).drop("doc_id").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
     chunks = F.ceil(F.col("members") / CHUNK)
     salted = held.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("node"), chunks))
     # chunk c meets every chunk from itself on: it takes part in the tasks (min, max) of all pairs that name it

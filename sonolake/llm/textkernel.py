@@ -190,3 +190,24 @@ def lookup(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     i = np.searchsorted(table, values)
     i[i == len(table)] = 0
     return i, table[i] == values
+
+
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Unites i[k] and j[k] in `label` (a smaller index wins)."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(label, high, low)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label[:] = up
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (node, smallest node) that connect what the pairs (a, b) connect."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = np.arange(len(nodes))
+    unite(label, at[: len(a)], at[len(a) :])
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[far], nodes[label[far]]

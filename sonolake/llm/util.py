@@ -60,7 +60,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
-    both = kept(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
+    ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = kept(edges.where("a is not null and b is not null").select(F.inline(ways)).distinct(), "edges")
     labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")), "labels")
     for k in range(most_rounds):
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
