@@ -57,7 +57,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        df.write.parquet(f"{folder}/{name}")
+        df.write.option("compression", "none").parquet(f"{folder}/{name}")  # small tables; no codec buffers
         return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
     ways = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
