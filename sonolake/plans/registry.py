@@ -2,5 +2,151 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from sonolake.functions.clean import no_sentinel, np_round, to_number
+from sonolake.operators import features, zones
+from sonolake.plans import kpi
+from sonolake.sources.observations import HOT_EVENT, observations, read
+from sonolake.streaming import hot
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+OBS = """obs as (select event_id, 'ev-' || lpad(cast(event_id as varchar), 8, '0') as uuid, 'u-' || cast(user_id as varchar) as source_id,
+ case event_type when 'view' then 'warm-path' when 'click' then 'hot-path' when 'purchase' then 'Freesound' when 'signup' then ' ESC-50 ' when 'error' then '-' end as source,
+ case when event_id % 41 = 0 then '-' when event_id % 43 = 0 then 'nan' when event_id % 47 = 0 then 'None' when event_id % 53 = 0 then '' when event_id % 61 = 0 then null
+  else ' cat_' || lpad(cast(cast(json_extract_string(props, '$.k') as int) % 17 as varchar), 2, '0') end as category,
+ case when event_id % 37 = 0 or event_id % 59 = 0 or event_id % 67 = 0 then null else value * 10 end as peak,
+ ((event_id * 7919) % 1000) / cast(1000 as double) as symmetry_score, ((event_id * 104729) % 1000) / cast(1000 as double) as pattern_stability_score,
+ value as t, value / 10 as entropy, value * 20 as centroid from events),
+typed as (select * replace (case when trim(category) in ('', '-', 'nan', 'None') then null else trim(category) end as category,
+ case when trim(source) in ('', '-', 'nan', 'None') then null else trim(source) end as source) from obs)"""
+_R = lambda e, d: f"round_even(({e}) * {10**d}.0, 0) / {10**d}.0"
+_BAND = "case when peak < 200 then 'Low' when peak < 1000 then 'Mid' else 'High' end"
+_PEAKS = f"""{OBS}, counted as (select category, cast(round_even(peak, 0) as bigint) as frequency_hz_rounded, count(*) as occurrence_count from typed where category is not null and peak is not null group by 1, 2),
+peaks as (select *, sum(occurrence_count) over (partition by category) as total from counted)"""
+_MODE = f"""{_PEAKS}, mode as (select category, frequency_hz_rounded, occurrence_count, cast(total as bigint) as total_in_category, {_R("occurrence_count / cast(total as double)", 4)} as share
+ from (select *, row_number() over (partition by category order by occurrence_count desc, frequency_hz_rounded) as rn from peaks) where rn = 1)"""
+_PAIRS = f"""{OBS}, means as (select category, avg(peak) as m from typed where category is not null and peak is not null group by 1),
+pairs as (select a.category as category_a, b.category as category_b, {_R("a.m", 2)} as mean_a, {_R("b.m", 2)} as mean_b, {_R("abs(a.m - b.m)", 2)} as difference from means a join means b on a.category < b.category)"""
+_TOP = lambda body, order, n=10: f"select *, row_number() over (order by {order}) as rank from ({body}) qualify row_number() over (order by {order}) <= {n}"
+
+
+def _obs(name: str, query, sql: str | None) -> None:
+    QUERIES[name] = lambda spark, d: query(observations(spark, d))
+    if sql:
+        ORACLE[name] = f"with {sql}"
+
+
+_obs("freq_clusters", kpi.frequency_clusters, f"{OBS} select band, count(uuid) as recording_count, count(distinct category) as category_count, {_R('count(uuid) / cast((select count(*) from typed where peak is not null) as double)', 4)} as share from (select *, {_BAND} as band from typed where peak is not null) group by band")
+_obs("freq_cluster_top_categories", kpi.cluster_top_categories, f"{OBS}, g as (select {_BAND} as band, category, count(*) as recording_count from typed where category is not null and peak is not null group by 1, 2), w as (select *, {_R('recording_count / cast(sum(recording_count) over (partition by band) as double)', 4)} as share_within_band, row_number() over (partition by band order by recording_count desc, category) as rank_in_band from g) select * from w where rank_in_band <= 3")
+_obs("mode_freq_per_category", kpi.mode_frequency, f"{_MODE} select * from mode")
+_obs("top_mode_share", kpi.top_mode_share, f"{_MODE} {_TOP('select * from mode', 'share desc, category')}")
+_obs("freq_distribution_detail", kpi.frequency_detail, f"{_PEAKS} select category, frequency_hz_rounded, occurrence_count, rank from (select *, dense_rank() over (partition by category order by occurrence_count desc) as rank from peaks) where rank <= 5")
+_SCORED = "select uuid, symmetry_score, pattern_stability_score, (symmetry_score + pattern_stability_score) / 2 as score from obs"
+_obs("best_candidates", kpi.best_candidates, f"{OBS} {_TOP(_SCORED, 'score desc, uuid')}")
+_obs("best_candidates_dense", kpi.best_candidates_dense, f"{OBS} select uuid, symmetry_score, pattern_stability_score, score, rank from (select *, dense_rank() over (order by score desc) as rank, row_number() over (order by score desc, uuid) as rn from ({_SCORED})) where rn <= 10")
+_obs("category_pairs", kpi.category_pairs, f"{_PAIRS} select * from pairs")
+_obs("category_pairs_top", kpi.closest_pairs, f"{_PAIRS} {_TOP('select * from pairs', 'difference, category_a, category_b')}")
+_obs("category_pairs_unique", kpi.closest_pairs_unique, None)
+_obs("proc_time_per_source", kpi.processing_time, f"{OBS} select source, {_R('avg(t)', 3)} as avg_seconds, {_R('stddev_samp(t)', 3)} as std_seconds, {_R('min(t)', 3)} as min_seconds, {_R('max(t)', 3)} as max_seconds, count(uuid) as recording_count from typed where source is not null and t is not null group by source")
+_obs("complex_categories", kpi.complex_categories, f"{OBS} {_TOP(f'''select category, {_R('avg(entropy)', 4)} as mean_entropy, {_R('max(entropy)', 4)} as max_entropy, count(uuid) as recording_count from typed where category is not null and entropy is not null group by category''', 'mean_entropy desc, category')}")
+_obs("complex_recordings", kpi.complex_recordings, f"{OBS} {_TOP('select uuid, category, entropy as spectral_entropy from typed where entropy is not null', 'spectral_entropy desc, uuid')}")
+_CENTROIDS = f"select category, {_R('avg(centroid)', 2)} as mean_centroid_hz, count(uuid) as recording_count from typed where category is not null and centroid is not null group by category"
+_obs("bright_dark_categories", kpi.bright_dark_categories, f"""{OBS}, g as ({_CENTROIDS}), b as (select *, 'brightest' as "group", row_number() over (order by mean_centroid_hz desc, category) as r from g), k as (select *, 'darkest' as "group", row_number() over (order by mean_centroid_hz, category) as r from g),
+u as (select * from b where r <= 5 union all select * from k where r <= 5) select category, mean_centroid_hz, recording_count, row_number() over (order by "group", r) as rank, "group" from u""")
+_obs("bright_dark_full", kpi.bright_dark_full, f"""{OBS}, g as ({_CENTROIDS}), rec as (select uuid, category, centroid as centroid_hz from typed where centroid is not null),
+u as (select uuid, category, centroid_hz, row_number() over (order by centroid_hz desc, uuid) as rank, 'recording' as aggregation_level, 'brightest' as rank_group, cast(null as bigint) as recording_count from rec
+ union all select uuid, category, centroid_hz, row_number() over (order by centroid_hz, uuid), 'recording', 'darkest', null from rec
+ union all select null, category, mean_centroid_hz, row_number() over (order by mean_centroid_hz desc, category), 'category', 'brightest', recording_count from g
+ union all select null, category, mean_centroid_hz, row_number() over (order by mean_centroid_hz, category), 'category', 'darkest', recording_count from g) select * from u where rank <= 5""")
+_obs("sentinel_clean", lambda o: o.select("uuid", no_sentinel(F.col("category")).alias("category"), no_sentinel(F.col("source")).alias("source")), f"{OBS} select uuid, category, source from typed")
+_obs("lenient_numeric", lambda o: o.select("uuid", np_round(to_number(F.col("peak_frequency_hz")), 4).alias("peak")), f"{OBS} select uuid, {_R('peak', 4)} as peak from typed")
+_obs("qa_required_keys", lambda o: zones.required_keys(zones.trim_all(o.select("uuid", "category")), "uuid", "category"), f"{OBS} select uuid, trim(category) as category from obs where length(trim(category)) > 0")
+_obs("pending_by_source", lambda o: kpi.typed(zones.pending(o, o.where("event_id % 3 = 0"))).groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{OBS} select source, count(*) as n from typed where event_id % 3 <> 0 group by source")
+_obs("pending_left_anti", lambda o: zones.pending(o.where("event_id % 3 = 0"), o.where("event_id % 6 = 0")).select("uuid", "source_id"), f"{OBS} select uuid, source_id from obs where event_id % 3 = 0 and event_id % 6 <> 0")
+_obs("pending_second_run", lambda o: zones.pending(o, o).agg(F.count(F.lit(1)).alias("n_pending")), "one as (select 1) select cast(0 as bigint) as n_pending")
+_obs("zone_overlap", lambda o: zones.zone_overlap({"landing": o, "trusted": o.where("event_id % 3 = 0"), "exploitation": o.where("event_id % 6 = 0")}), f"""{OBS}, z as (select uuid, 'landing' as zone from obs union all select uuid, 'trusted' from obs where event_id % 3 = 0 union all select uuid, 'exploitation' from obs where event_id % 6 = 0)
+ select a.zone as zone_a, b.zone as zone_b, count(*) as n_shared from (select distinct * from z) a join (select distinct * from z) b on a.uuid = b.uuid and a.zone <= b.zone group by 1, 2""")
+_obs("column_profile", lambda o: zones.column_profile(kpi.typed(o).select("uuid", "category", "source", "peak")).select("column_name", "non_null"), f"{OBS} select 'uuid' as column_name, count(uuid) as non_null from typed union all select 'category', count(category) from typed union all select 'source', count(source) from typed union all select 'peak', count(peak) from typed")
+_obs("schema_evolve_union", lambda o: zones.append_evolving(o.select("uuid", "source_id"), o.select("uuid", "source_id", "category")), f"{OBS} select uuid, source_id, '' as category from obs union all select uuid, source_id, coalesce(category, '') from obs")
+
+
+def _feature_describe(obs):
+    x = kpi.typed(obs)
+    row = lambda c: F.struct(F.lit(c).alias("feature"), F.col(f"n_{c}").alias("n"), F.col(f"m_{c}").alias("mean"), F.col(f"a_{c}").alias("min"), F.col(f"b_{c}").alias("max"))
+    cols = ("spectral_entropy", "spectral_centroid_hz")
+    return x.agg(*(f(c).alias(f"{p}_{c}") for c in cols for p, f in (("n", F.count), ("m", lambda c: np_round(F.avg(c), 4)), ("a", lambda c: np_round(F.min(c), 4)), ("b", lambda c: np_round(F.max(c), 4))))).select(F.inline(F.array(*(row(c) for c in cols))))
+
+
+_DESCRIBE = lambda c, n: f"select '{n}' as feature, count({c}) as n, {_R(f'avg({c})', 4)} as mean, {_R(f'min({c})', 4)} as min, {_R(f'max({c})', 4)} as max from typed"
+_obs("feature_describe", _feature_describe, f"{OBS} {_DESCRIBE('entropy', 'spectral_entropy')} union all {_DESCRIBE('centroid', 'spectral_centroid_hz')}")
+
+
+def _dedupe_latest(spark, d):
+    order = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return zones.latest(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], *order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+QUERIES["dedupe_latest"] = _dedupe_latest
+ORACLE["dedupe_latest"] = """select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, row_number() over (partition by l_orderkey, l_linenumber
+ order by l_shipdate desc nulls last, l_partkey desc nulls last, l_suppkey desc nulls last, l_quantity desc nulls last, l_extendedprice desc nulls last, l_discount desc nulls last, l_tax desc nulls last) as rn from lineitem) where rn = 1"""
+
+
+def _latest_event_merge(spark, d):
+    rows = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("uuid"), F.lit(None).cast("string").alias("time_recorded"))
+    events = read(spark, d, "events").select(F.col("user_id").cast("string").alias("uuid"), F.col("event_type").alias("device"), F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("/"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("event_time"))
+    return zones.merge_events(rows, events).select("uuid", "device", F.substring("time_recorded", 28, 10).alias("event"))
+
+
+QUERIES["latest_event_merge"] = _latest_event_merge
+ORACLE["latest_event_merge"] = """with last as (select * from (select user_id, event_type, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1)
+ select cast(c_custkey as varchar) as uuid, coalesce(event_type, '-') as device, coalesce(lpad(cast(event_id as varchar), 10, '0'), '') as event from customer left join last on user_id = c_custkey"""
+
+
+def _event_json_parse(spark, d):
+    audio = F.concat(F.lit('{"audio_path": "audio/hot-path/raw/'), F.col("event_id").cast("string"), F.lit('.wav", "bucket": "landing", "sample_rate": 44100, "duration": 5, "device": "'), F.col("event_type"), F.lit('"}'))
+    return read(spark, d, "events").select(F.from_json(audio, HOT_EVENT).alias("e")).select(zones.uuid_of_path(F.col("e.audio_path")).alias("uuid"), "e.bucket", "e.sample_rate", "e.duration", "e.device")
+
+
+QUERIES["event_json_parse"] = _event_json_parse
+ORACLE["event_json_parse"] = "select cast(event_id as varchar) as uuid, 'landing' as bucket, 44100 as sample_rate, 5 as duration, event_type as device from events"
+QUERIES["path_template"] = lambda spark, d: read(spark, d, "events").select("event_id", F.format_string("audio/%d-%d/%s.wav", F.floor(F.col("value") / 100).cast("long") * 100, (F.floor(F.col("value") / 100).cast("long") + 1) * 100, F.col("event_id").cast("string")).alias("path"))
+ORACLE["path_template"] = "select event_id, 'audio/' || cast(cast(floor(value / 100) as bigint) * 100 as varchar) || '-' || cast((cast(floor(value / 100) as bigint) + 1) * 100 as varchar) || '/' || cast(event_id as varchar) || '.wav' as path from events"
+QUERIES["tags_roundtrip"] = lambda spark, d: read(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.split("p_type", " "), F.lower), "|").alias("tags"), F.size(F.split("p_type", " ")).cast("long").alias("n_tags"))
+ORACLE["tags_roundtrip"] = "select p_partkey, replace(lower(p_type), ' ', '|') as tags, cast(length(p_type) - length(replace(p_type, ' ', '')) + 1 as bigint) as n_tags from part"
+QUERIES["diverse_batch"] = lambda spark, d: zones.diverse_batch(read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 250)
+ORACLE["diverse_batch"] = "select doc_id, source, rn from (select *, row_number() over (order by rn, source) as place from (select doc_id, source, row_number() over (partition by source order by doc_id) as rn from documents)) where place <= 250"
+
+
+def _waves(spark, d):
+    return read(spark, d, "embeddings").select(F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("uuid"), F.col("embedding").cast("array<double>").alias("samples"), F.lit(64).alias("sample_rate"))
+
+
+QUERIES["acoustic_features"] = lambda spark, d: features.with_features(features.long_enough(_waves(spark, d)))
+
+
+def _energy(spark, d):
+    return QUERIES["acoustic_features"](spark, d).select("uuid", np_round(F.col("signal_energy"), 6).alias("signal_energy"), np_round(F.col("zero_crossing_rate"), 6).alias("zero_crossing_rate"), np_round(F.col("loudness"), 6).alias("loudness"))
+
+
+QUERIES["energy_features"] = _energy
+ORACLE["energy_features"] = f"""with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings), s as (select vec_id, i, cast(v as double) / max(abs(cast(v as double))) over (partition by vec_id) as v from x),
+ l as (select *, case when v >= 0 then 1 else -1 end as sg, lag(case when v >= 0 then 1 else -1 end) over (partition by vec_id order by i) as pg from s)
+ select 'vec-' || cast(vec_id as varchar) as uuid, {_R("sum(v * v)", 6)} as signal_energy, {_R("sum(case when pg is not null and sg <> pg then 1 else 0 end) / 63.0", 6)} as zero_crossing_rate, {_R("20 * log10(sqrt(avg(v * v)) + 1e-20)", 6)} as loudness from l group by vec_id"""
+
+
+def _windowed(make):
+    def run(spark, d):
+        out = hot.replay(make(hot.event_stream(spark, d)), "complete")
+        return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), *(c for c in out.columns if c != "window"))
+
+    return run
+
+
+QUERIES["stream_tumbling"] = _windowed(hot.tumbling)
+ORACLE["stream_tumbling"] = "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') as window_start, count(*) as n, count(value) as n_values from events group by 1"
+QUERIES["stream_dedupe"] = lambda spark, d: hot.replay(hot.unique_events(hot.event_stream(spark, d)).select("event_id", "user_id", "event_type"), "append")
+ORACLE["stream_dedupe"] = "select distinct event_id, user_id, event_type from events"
+QUERIES["stream_sliding"] = _windowed(hot.sliding)
