@@ -21,9 +21,11 @@ def with_features(waves: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for uuid, samples, rate in zip(frame["uuid"], frame["samples"], frame["sample_rate"], strict=True):
-                row: dict = {"uuid": uuid}
+                row: dict = dict.fromkeys(("uuid", *FEATURES, *PEAK, "harmonic_energy_ratio", "mfccs")) | {"uuid": uuid}
                 try:
                     x = dsp.normalise(np.asarray(samples, float))
+                    if x.ndim != 1:
+                        raise ValueError("no samples")
                     row |= dsp.spectral(x, int(rate)) | dsp.peak_frequency(x, int(rate))
                     row |= {"harmonic_energy_ratio": dsp.harmonic_ratio(x, int(rate), row["peak_frequency_hz"]), "mfccs": dsp.mfcc_mean(x, int(rate))}
                 except (TypeError, ValueError):

@@ -6,13 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Boundary names with characters that table formats reject, and their names here.
 ALIASES = {"time_recorded/added": "time_recorded", "processing_time(seconds)": "processing_time_seconds", "feature_processing_time(seconds)": "feature_processing_time_seconds"}
 
-LANDING = T.StructType.fromDDL("uuid string, source_id string, time_recorded string, duration double, audio_size long, audio_path string, audio_format string, source string, peak_frequency_hz double, tags array<string>, description string, category string")
-HOT_EVENT = T.StructType.fromDDL("audio_path string, bucket string, timestamp string, sample_rate int, duration int, device string")
+LANDING = "uuid string, source_id string, time_recorded string, duration double, audio_size long, audio_path string, audio_format string, source string, peak_frequency_hz double, tags array<string>, description string, category string"
+HOT_EVENT = "audio_path string, bucket string, timestamp string, sample_rate int, duration int, device string"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
