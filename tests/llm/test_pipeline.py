@@ -12,6 +12,10 @@ def test_stages_and_columns(spark):
     gone = {i for i, (_, c, _) in near_rule(awkward()).items() if c != i}
     kept = P.near_duplicate_stage(spark, docs, "")
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in awkward()} - gone
+    clash = frame(spark, awkward())
+    for stage in (P.decontaminate_stage, P.quality_stage, P.pii_stage):
+        own = stage(spark, clash, "/root/testdata/sf0.001")
+        assert own.columns == clash.columns and {(r.bucket, r.n_words, r.spans) for r in own.collect()} == {(1, 2, 3)}
     masked = P.pii_stage(spark, docs.withColumn("text", F.concat("text", F.lit(" a@b.org"))), "")
     assert masked.columns == docs.columns and masked.where("text like '%@b.org%'").count() == 0
 
