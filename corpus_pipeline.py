@@ -21,35 +21,44 @@ from sonolake.llm.util import held_out, scratch, table
 from sonolake.session import ship
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and everything but the text in one column, so that no name clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+
+
+def _unwrapped(rows: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    """The columns of docs again; `new` gives some of them new values."""
+    return rows.select(*(new.get(c, F.col("text") if c == "text" else F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship(spark)
     rules, bias = fit(docs, table(spark, sf_dir, "labels"), "quality", held_out("doc_id", 3, 1))
-    return with_statistics(docs, tuple(docs.columns)).where(compiled(rules, bias) >= 0.5).select(*_columns(docs))
+    return _unwrapped(with_statistics(_wrapped(docs), ("text", "_row")).where(compiled(rules, bias) >= 0.5), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (3-word shingles, Jaccard >= 0.9)."""
     ship(spark)
     gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*_columns(docs))
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark window."""
     ship(spark)
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=True).where("n_hit = 0").select(*_columns(docs))
+    return _unwrapped(decontaminate(_wrapped(docs), table(spark, sf_dir, "benchmark"), keep=True).where("n_hit = 0"), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data masked; n_chars follows."""
     ship(spark)
-    masked = find_pii(docs, masked=True, keep=True)
-    return masked.select(*(F.when(F.col("text").isNotNull(), F.col("masked")).alias("text") if c == "text" else F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("n_chars")).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+    masked = find_pii(_wrapped(docs), masked=True, keep=True)
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("masked"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("spans") > 0, F.length("masked").cast("long")).otherwise(F.col("_row")["n_chars"])
+    return _unwrapped(masked, docs, **new)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
