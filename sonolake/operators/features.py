@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from sonolake.functions import dsp
 
@@ -40,3 +42,24 @@ def with_features(waves: DataFrame) -> DataFrame:
 def long_enough(waves: DataFrame) -> DataFrame:
     """Waveforms of at least one second."""
     return waves.where("size(samples) >= sample_rate")
+
+
+def sliding_windows(waves: DataFrame) -> DataFrame:
+    """uuid, offset, energy of quarter-second windows at half steps; a short signal is one window."""
+    width = F.floor(F.col("sample_rate") * 0.25).cast("int")
+    step = F.greatest((width / 2).cast("int"), F.lit(1))
+    offsets = F.when(F.size("samples") > width, F.sequence(F.lit(0), F.size("samples") - width - 1, step)).otherwise(F.array(F.lit(0)))
+    length = F.when(F.size("samples") > width, width).otherwise(F.size("samples"))
+    cut = waves.where("size(samples) > 0").select("uuid", "samples", length.alias("w"), F.explode(offsets).alias("offset"))
+    return cut.select("uuid", "offset", F.aggregate(F.slice("samples", F.col("offset") + 1, F.col("w")), F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+
+
+def harmonic_vote(candidates: DataFrame, harmonics: int = 4) -> DataFrame:
+    """key, bin: for each key the bin that gathers most energy from its small multiples.
+
+    candidates: key, place (order of the windows), bin, energy. Equal sums go to the bin seen first.
+    """
+    spread = candidates.where("bin > 0").select("key", "place", "bin", "energy", F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("d")).where("bin % d = 0")
+    sums = spread.groupBy("key", (F.col("bin") / F.col("d")).cast("long").alias("bin")).agg(F.sum("energy").alias("energy"), F.min(F.struct("place", "d")).alias("seen"))
+    best = F.row_number().over(W.partitionBy("key").orderBy(F.desc("energy"), "seen"))
+    return sums.withColumn("rn", best).where("rn = 1").select("key", "bin")

@@ -77,3 +77,11 @@ def diverse_batch(df: DataFrame, category: str, key: str, n: int) -> DataFrame:
     """n rows taken round-robin over the categories."""
     ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(category).orderBy(key)))
     return ranked.orderBy("rn", category).limit(n)
+
+
+def text_profile(df: DataFrame, *columns: str) -> DataFrame:
+    """For each text column: non-null count, distinct values, most frequent value (ties: the smallest) and its count."""
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns))).alias("p")).select("p.*").where("value is not null")
+    counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))
+    return counts.groupBy("column_name").agg(F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("n_unique"), best.alias("b")).select("column_name", "non_null", "n_unique", F.col("b.v").alias("top"), (-F.col("b.neg")).alias("freq"))

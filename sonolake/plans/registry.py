@@ -49,7 +49,11 @@ _obs("best_candidates", kpi.best_candidates, f"{OBS} {_TOP(_SCORED, 'score desc,
 _obs("best_candidates_dense", kpi.best_candidates_dense, f"{OBS} select uuid, symmetry_score, pattern_stability_score, score, rank from (select *, dense_rank() over (order by score desc) as rank, row_number() over (order by score desc, uuid) as rn from ({_SCORED})) where rn <= 10")
 _obs("category_pairs", kpi.category_pairs, f"{_PAIRS} select * from pairs")
 _obs("category_pairs_top", kpi.closest_pairs, f"{_PAIRS} {_TOP('select * from pairs', 'difference, category_a, category_b')}")
-_obs("category_pairs_unique", kpi.closest_pairs_unique, None)
+_obs("category_pairs_unique", kpi.closest_pairs_unique, f"""recursive {_PAIRS}, listed as (select *, row_number() over (order by difference, category_a, category_b) as i from pairs),
+ scan as (select cast(0 as bigint) as i, cast([] as varchar[]) as used, false as picked
+  union all select l.i, case when len(s.used) < 20 and not list_contains(s.used, l.category_a) and not list_contains(s.used, l.category_b) then list_concat(s.used, [l.category_a, l.category_b]) else s.used end,
+  len(s.used) < 20 and not list_contains(s.used, l.category_a) and not list_contains(s.used, l.category_b) from scan s join listed l on l.i = s.i + 1)
+ select category_a, category_b, mean_a, mean_b, difference, row_number() over (order by l.i) as rank from listed l join scan s on l.i = s.i where s.picked""")
 _obs("proc_time_per_source", kpi.processing_time, f"{OBS} select source, {_R('avg(t)', 3)} as avg_seconds, {_R('stddev_samp(t)', 3)} as std_seconds, {_R('min(t)', 3)} as min_seconds, {_R('max(t)', 3)} as max_seconds, count(uuid) as recording_count from typed where source is not null and t is not null group by source")
 _obs("complex_categories", kpi.complex_categories, f"{OBS} {_TOP(f'''select category, {_R('avg(entropy)', 4)} as mean_entropy, {_R('max(entropy)', 4)} as max_entropy, count(uuid) as recording_count from typed where category is not null and entropy is not null group by category''', 'mean_entropy desc, category')}")
 _obs("complex_recordings", kpi.complex_recordings, f"{OBS} {_TOP('select uuid, category, entropy as spectral_entropy from typed where entropy is not null', 'spectral_entropy desc, uuid')}")
@@ -150,3 +154,27 @@ ORACLE["stream_tumbling"] = "select strftime(date_trunc('day', ts), '%Y-%m-%d %H
 QUERIES["stream_dedupe"] = lambda spark, d: hot.replay(hot.unique_events(hot.event_stream(spark, d)).select("event_id", "user_id", "event_type"), "append")
 ORACLE["stream_dedupe"] = "select distinct event_id, user_id, event_type from events"
 QUERIES["stream_sliding"] = _windowed(hot.sliding)
+ORACLE["stream_sliding"] = """with h as (select date_trunc('day', ts) + case when extract(hour from ts) >= 12 then interval 12 hour else interval 0 hour end as s from events)
+ select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n from (select s from h union all select s - interval 12 hour as s from h) group by 1"""
+
+
+def _spectral(spark, d):
+    names = ("spectral_centroid_hz", "spectral_bandwidth_hz", "spectral_flatness", "spectral_entropy")
+    return QUERIES["acoustic_features"](spark, d).select("uuid", *(np_round(F.col(c), 5).alias(c) for c in names))
+
+
+QUERIES["spectral_features"] = _spectral
+ORACLE["spectral_features"] = f"""with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), s as (select vec_id, i, cast(v as double) / max(abs(cast(v as double))) over (partition by vec_id) as v from x),
+ k as (select unnest(range(0, 33)) as f), b as (select vec_id, f, sqrt(power(sum(v * cos(2 * pi() * f * i / 64)), 2) + power(sum(v * sin(2 * pi() * f * i / 64)), 2)) as m from s, k group by vec_id, f),
+ t as (select vec_id, sum(m * m) as p, sum(f * m * m) / sum(m * m) as c, exp(avg(ln(m + 1e-20))) / avg(m) as fl from b group by vec_id)
+ select 'vec-' || cast(b.vec_id as varchar) as uuid, {_R("max(c)", 5)} as spectral_centroid_hz, {_R("sqrt(sum((f - c) * (f - c) * m * m) / max(p))", 5)} as spectral_bandwidth_hz, {_R("max(fl)", 5)} as spectral_flatness,
+ {_R("-sum(case when m * m / p > 1e-20 then m * m / p * ln(m * m / p) else 0 end)", 5)} as spectral_entropy from b join t on b.vec_id = t.vec_id group by b.vec_id"""
+QUERIES["sliding_windows"] = lambda spark, d: features.sliding_windows(_waves(spark, d)).select("uuid", "offset", np_round(F.col("energy"), 6).alias("energy"))
+ORACLE["sliding_windows"] = f"""with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), o as (select unnest(range(0, 48, 8)) as o)
+ select 'vec-' || cast(vec_id as varchar) as uuid, cast(o as int) as "offset", {_R("sum(cast(v as double) * cast(v as double))", 6)} as energy from x, o where i >= o and i < o + 16 group by vec_id, o"""
+# whole energies, so that sums don't depend on their order
+QUERIES["harmonic_vote"] = lambda spark, d: features.harmonic_vote(read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("place"), F.floor("value").alias("bin"), (F.col("event_id") % 97 + 1).alias("energy")))
+ORACLE["harmonic_vote"] = """with s as (select user_id as key, event_id as place, cast(floor(value) as bigint) as bin, event_id % 97 + 1 as energy, d from events, (select unnest([1, 2, 3, 4]) as d) where floor(value) > 0 and cast(floor(value) as bigint) % d = 0),
+ g as (select key, bin // d as bin, sum(energy) as energy, min(place * 10 + d) as seen from s group by 1, 2) select key, bin from (select *, row_number() over (partition by key order by energy desc, seen) as rn from g) where rn = 1"""
+_obs("text_profile", lambda o: zones.text_profile(kpi.typed(o), "category", "source"), f"""{OBS}, l as (select 'category' as column_name, category as value from typed union all select 'source', source from typed), c as (select column_name, value, count(*) as n from l where value is not null group by 1, 2),
+ r as (select *, row_number() over (partition by column_name order by n desc, value) as rn, sum(n) over (partition by column_name) as t, count(*) over (partition by column_name) as u from c) select column_name, cast(t as bigint) as non_null, u as n_unique, value as top, n as freq from r where rn = 1""")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolake.sources.tables import read_parquet
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -33,3 +35,20 @@ def sliding(stream: DataFrame, width: str = "1 day", step: str = "12 hours") ->
 
 def unique_events(stream: DataFrame, key: str = "event_id", late: str = "1 day") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def ingest(stream: DataFrame, path: str, rejected: str, checkpoint: str, key: str = "event_id") -> None:
+    """Appends what is available to a table, at least once and without repeats of a key.
+
+    Each micro-batch is appended after an anti-join with the keys that are there, so a batch that runs again after a
+    failure adds nothing twice. Rows without a key go to a table of their own with the reason.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.where(F.col(key).isNull()).withColumn("reason", F.lit(f"no {key}")).write.mode("append").parquet(rejected)
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if (old := read_parquet(batch.sparkSession, path)) is not None:
+            fresh = fresh.join(old.select(key), key, "left_anti")
+        fresh.write.mode("append").parquet(path)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

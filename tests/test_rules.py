@@ -123,6 +123,15 @@ def test_stream_equals_batch(spark, sf):
     assert hot.replay(hot.unique_events(hot.event_stream(spark, sf)), "append").count() == events.select("event_id").distinct().count()
 
 
+def test_ingest_twice_adds_nothing(spark, sf, tmp_path):
+    path, rejected = f"{tmp_path}/t", f"{tmp_path}/r"
+    for run in ("a", "b"):  # the second run starts over without a checkpoint
+        hot.ingest(hot.event_stream(spark, sf), path, rejected, f"{tmp_path}/{run}")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert spark.read.parquet(path).count() == events.select("event_id").distinct().count()
+    assert spark.read.parquet(rejected).count() == 2 * events.where("event_id is null").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
