@@ -4,7 +4,7 @@ Texts are read as lower-cased (A-Z) words joined by one blank, with an end symbo
 
 Learning counts, over all training texts, every word and every run of ORDER + 1 bytes; each task
 pre-aggregates, shards of keys add up. Shards are chosen by a run's last three bytes, so all
-shorter runs down to three bytes are sums inside a shard.
+shorter runs are sums inside a shard or, under three bytes, of few numbers from each.
 
 The byte-context trie keeps the `max_nodes` most frequent runs (counts of a run's suffix are never smaller, so
 the trie stays closed under suffixes). Escapes follow method C, with the mass of dropped
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .util import cut, held_out, parts, text_size
 
-ORDER = 5
+ORDER = 6
 MAX_NODES, MAX_WORDS = 1_000_000, 500_000
 SHARD_BYTES = 64 << 20
 _FLUSH = 3_000_000
