@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .util import cut, held_out, parts, text_size
 
-ORDER = 6
+ORDER = 5
 MAX_NODES, MAX_WORDS = 1_000_000, 500_000
 SHARD_BYTES = 64 << 20
 _FLUSH = 3_000_000
