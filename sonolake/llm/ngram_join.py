@@ -6,12 +6,13 @@
    The hash space is cut into SPARE + 1 parts more than that, so a similar pair agrees on at least SPARE + 1 whole
    parts. Each set sends one signature for each part, but leaves out parts of at most THIN n-grams if it has no more
    than SPARE of them: of a pair's common parts one is then left, unless both sets have more thin parts, and
-   then both send all. How many parts there are follows from a set's size class, and sets near a class's
-   upper end send those of the next class as well.
+   then both send all. Thresholds that leave parts with few n-grams leave out only empty parts, and have an eighth
+   more parts to spare. How many parts there are follows from a set's size class, and sets send those of
+   every class up to their largest partner's as well.
 3. Signatures meet in shards. Each task links its own holders of a signature to the smallest, so a shard gets
    one holder for each task, however large a group is. The links' components are the candidate groups.
-4. Groups are joined exactly with prefix trees. A large group is cut into chunks by size and salt, and each pair of
-   chunks that can hold links is one piece of work, so no task holds a whole group.
+4. Groups are joined exactly with prefix trees. A large group, by sets or by n-grams, is cut into chunks by salt, and
+   each pair of chunks is one piece of work, so no task holds a whole group.
 5. Verified links give the components; links of copies are counted by class sizes.
 
 Null or wordless texts have empty sets and link with nothing. Shorter texts are one n-gram. A null id links with
@@ -35,9 +36,10 @@ from .util import components, cut, parts, text_size
 N, NUM, DEN = 3, 90, 100
 RATIO = 1.2
 SPARE, THIN = 4, 2
+FULL = 16  # parts hold FULL / 2 n-grams or more: SPARE and THIN apply
 SMALL = 60  # classes up to this size have few parts, none of them thin; all are sent
 CHUNK = 1200  # sets of a chunk
-CHUNK_TOKENS = 600_000
+CHUNK_TOKENS = 1_000_000  # n-grams of a chunk, on average over its group
 SHARD_BYTES = 32 << 20
 _U64 = np.uint64
 
@@ -65,18 +67,19 @@ def _class(n: int) -> int:
 def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
     """One hash for each part of the hash space, for the size classes in which partners look."""
     n, out = len(own), []
-    c = _class(n)
-    classes = [c] + ([c + 1] if _class(max(n, n * den // num)) > c else [])
-    for k in classes:
+    # every class from the set's own to that of its largest partner: two partners share the larger one's class
+    for k in range(_class(n), _class(max(n, n * den // num)) + 1):
         largest = int(RATIO ** (k + 1)) + 1
-        spare = SPARE if largest > SMALL else 0
-        cuts = 2 * largest * (den - num) // (den + num) + 1 + spare
+        needed = 2 * largest * (den - num) // (den + num) + 1
+        spare, thin = (SPARE, THIN) if den + num >= FULL * (den - num) else (needed // 8, 0)
+        spare = spare if largest > SMALL else 0
+        cuts = needed + spare
         part = ((K.mix(own) >> _U64(32)) * _U64(cuts)) >> _U64(32)
         part = part.astype(np.int64)
         total = np.zeros(cuts, _U64)
         np.add.at(total, part, K.mix(own ^ _U64(0x5851F42D4C957F2D)))
         own_sigs = K.mix(total + np.arange(cuts, dtype=_U64) * _U64(0x9E3779B97F4A7C15) + _U64(k << 48))
-        thick = np.bincount(part, minlength=cuts) > THIN
+        thick = np.bincount(part, minlength=cuts) > thin
         out.append(own_sigs[thick] if cuts - np.count_nonzero(thick) <= spare else own_sigs)
     return np.concatenate(out)
 
@@ -114,7 +117,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     known = cut(rows.mapInArrow(describe, "doc_id long, n_shingles long, name long, name2 long, sigs array<long>"))
     some = known.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("name", "name2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = cut(some.groupBy("name", "name2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")))
     holders = some.join(classes, ["name", "name2"]).where("doc_id = rep").select("rep", "sigs").dropDuplicates(["rep"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +144,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def verify(t: pa.Table) -> pa.Table:
         task = np.array(t.column("task").to_pylist(), object)
         ids, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "side"))
+        cross = t.column("cross").to_numpy()
         order = np.argsort(task, kind="stable")
         out: list[list[np.ndarray]] = [[], [], []]
         texts = t.column("text").combine_chunks()
@@ -151,7 +155,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = order[lo:hi]
             key, sizes = _sets_of(texts.take(pa.array(at)), n)
             own = np.split(key, np.cumsum(sizes)[:-1])
-            both = len(np.unique(side[at])) > 1  # two chunks: links inside a chunk belong to its own piece of work
+            both = cross[at[0]]  # two chunks, of which one may be empty: links inside a chunk belong to its own piece of work
             links, label = np.zeros(len(at), np.int64), np.arange(len(at))
             for i, j in join(own, num, den):
                 if both:
@@ -196,15 +200,17 @@ def _unite(label: np.ndarray, i: int, others: np.ndarray) -> None:
 
 
 def _chunked(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates with their texts, dealt to pieces of work: task (text), shard, side, rep, copies, text."""
-    n_shards = parts(groups.count(), CHUNK // 4)
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")), "component")
+    """Candidates with their texts, dealt to pieces of work: task (text), shard, side, cross (of two chunks), rep, copies, text."""
+    held = groups.join(classes.select(F.col("rep").alias("node"), "copies", "size"), "node")
+    large = held.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_TOKENS)).alias("chunks"))
+    sized = held.drop("size").join(large, "component")
+    # each set is dealt once for each chunk of its group, and shards hold as many dealt sets at every size
+    n_shards = parts(int(sized.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n")).first()["n"]), CHUNK // 4)
     # a merge join at every size: the candidates grow with the input, so they are never broadcast
-    held = sized.join(rows.where("doc_id is not null and text is not null").hint("merge"), sized.node == rows.doc_id).drop("doc_id").join(classes.select(F.col("rep").alias("node"), "copies"), "node")
-    chunks = F.ceil(F.col("members") / CHUNK)
-    salted = held.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("node"), chunks))
+    texts = sized.join(rows.where("doc_id is not null and text is not null").hint("merge"), sized.node == rows.doc_id).drop("doc_id")
+    salted = texts.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")))
     # chunk c meets every chunk from itself on: it takes part in the tasks (min, max) of all pairs that name it
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
     task = F.concat_ws("/", F.col("component"), lo, hi)
-    return dealt.select(task.alias("task"), F.pmod(F.xxhash64(task), F.lit(n_shards)).alias("shard"), F.col("mine").alias("side"), F.col("node").alias("rep"), "copies", "text")
+    return dealt.select(task.alias("task"), F.pmod(F.xxhash64(task), F.lit(n_shards)).alias("shard"), F.col("mine").alias("side"), (lo != hi).alias("cross"), F.col("node").alias("rep"), "copies", "text")

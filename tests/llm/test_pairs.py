@@ -29,11 +29,11 @@ def substring_rule(docs, n=13):
     return out
 
 
-def near_rule(docs):
+def near_rule(docs, n=3, num=90):
     sets = {}
     for i, t in docs:
         w = SPACED.findall(low(t or ""))
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
     root, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
 
     def find(i):
@@ -44,7 +44,7 @@ def near_rule(docs):
     ids = sorted(sets)
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
                 links[i] += 1
                 links[j] += 1
                 a, b = find(i), find(j)
@@ -76,6 +76,19 @@ def test_ngram_join(spark, monkeypatch, chunk):
     assert got == near_rule(docs)
 
 
+@pytest.mark.parametrize("tokens", [1_000_000, 500])
+def test_ngram_join_of_other_lengths_and_thresholds(spark, monkeypatch, tokens):
+    monkeypatch.setattr(nj, "CHUNK_TOKENS", tokens)
+    rnd = random.Random(8)
+    docs = awkward()
+    for g in range(4):  # texts that contain one another, so that partners differ in size as far as they may
+        long = [f"k{g}x{i}" for i in range(rnd.choice([90, 260, 700]))]
+        docs += [(1000 + 20 * g + k, " ".join(long[: len(long) * (100 - 5 * k) // 100])) for k in range(10)]
+    for n, num in ((5, 80), (3, 60)):
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in nj.ngram_join(frame(spark, docs), n=n, num=num).collect()}
+        assert got == near_rule(docs, n, num)
+
+
 def test_ngram_join_of_nothing(spark):
     assert nj.ngram_join(frame(spark, awkward()).limit(0)).count() == 0
 
