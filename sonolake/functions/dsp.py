@@ -90,6 +90,17 @@ def local_peaks(y: np.ndarray, height: float, distance: int, prominence: float)
     return np.array([i for i in at if prominent(i)], int)
 
 
+def strongest_peaks(x: np.ndarray, count: int, height: float, distance: int, prominence: float = 0.04) -> tuple[np.ndarray, np.ndarray]:
+    """(spectrum places, scaled magnitudes) of the strongest peaks, strongest first; the largest value if there is no peak."""
+    m = np.abs(np.fft.rfft(x))
+    m = m / (m.max() + 1e-12)
+    at = local_peaks(m, height, distance, prominence)
+    if not len(at):
+        at = np.array([np.argmax(m)])
+    at = at[np.argsort(m[at], kind="stable")[::-1][:count]]
+    return at, m[at]
+
+
 def dominant(x: np.ndarray, rate: int) -> float:
     """Frequency of the strongest peak of the scaled spectrum; 0 for less than 64 samples."""
     if len(x) < 64:
@@ -100,6 +111,15 @@ def dominant(x: np.ndarray, rate: int) -> float:
     return float((at[np.argmax(m[at])] if len(at) else np.argmax(m)) * rate / len(x))
 
 
+def frame_profile(x: np.ndarray, scale: float, rate: int) -> tuple[float, list[float], list[float], float]:
+    """(loudness, spatial frequencies of at most six peaks, their magnitudes, dominant frequency) of one frame."""
+    if len(x) < 64:
+        return 0.0, [2.5 + scale * 0.5], [1.0], 0.0
+    at, m = strongest_peaks(x, 6, 0.08, 5)
+    spatial = 2.5 + np.sqrt(at / (len(x) // 2 + 1)) * scale
+    return float(np.sqrt((x * x).mean())), spatial.tolist(), m.tolist(), float(at[0] * rate / len(x))
+
+
 def windows(n: int, rate: int) -> list[tuple[int, int]]:
     """(offset, length) of quarter-second windows at half steps; one window if there is no room for more."""
     w = int(0.25 * rate)
@@ -116,13 +136,14 @@ def vote(candidates: list[tuple[int, float]], harmonics: int = 4) -> int:
     return max(energy, key=energy.__getitem__) if energy else 0
 
 
-def peak_frequency(x: np.ndarray, rate: int) -> dict[str, float]:
-    """The voted frequency, and time, amplitude and loudness of its best window."""
+def peak_frequency(x: np.ndarray, rate: int) -> dict[str, float | str]:
+    """The voted frequency, and time, amplitude, loudness and the eight strongest peaks (whole Hz, joined by |) of its best window."""
     if len(x) < 64:
-        return {"peak_frequency_hz": 0.0, "peak_time_s": 0.0, "peak_amplitude": 0.0, "peak_rms": 0.0}
+        return {"peak_frequency_hz": 0.0, "peak_time_s": 0.0, "peak_amplitude": 0.0, "peak_rms": 0.0, "peaks_hz": ""}
     found = [(int(dominant(x[o : o + w], rate)), float((np.abs(np.fft.rfft(x[o : o + w])) ** 2).sum()), o, w) for o, w in windows(len(x), rate)]
     f0 = vote([(f, e) for f, e, _, _ in found])
     own = [c for c in found if f0 and c[0] % f0 == 0] or found[:1]
     _, _, o, w = max(own, key=lambda c: c[1])
     part = x[o : o + w]
-    return {"peak_frequency_hz": float(f0), "peak_time_s": o / rate, "peak_amplitude": float(np.abs(part).max()), "peak_rms": float(np.sqrt((part * part).mean()))}
+    peaks = "|".join(f"{k * rate / max(int(rate * 0.25), 1):.0f}" for k in strongest_peaks(part, 8, 0.06, 6)[0])
+    return {"peak_frequency_hz": float(f0), "peak_time_s": o / rate, "peak_amplitude": float(np.abs(part).max()), "peak_rms": float(np.sqrt((part * part).mean())), "peaks_hz": peaks}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,13 +17,13 @@ PEAK = ("peak_frequency_hz", "peak_time_s", "peak_amplitude", "peak_rms")
 
 
 def with_features(waves: DataFrame) -> DataFrame:
-    """uuid, the spectral features, peak, harmonic ratio and MFCC means of (uuid, samples, sample_rate) rows."""
+    """uuid, the spectral features, peak and its window's strongest peaks, harmonic ratio and MFCC means of (uuid, samples, sample_rate) rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for uuid, samples, rate in zip(frame["uuid"], frame["samples"], frame["sample_rate"], strict=True):
-                row: dict = dict.fromkeys(("uuid", *FEATURES, *PEAK, "harmonic_energy_ratio", "mfccs")) | {"uuid": uuid}
+                row: dict = dict.fromkeys(("uuid", *FEATURES, *PEAK, "peaks_hz", "harmonic_energy_ratio", "mfccs")) | {"uuid": uuid}
                 try:
                     x = dsp.normalise(np.asarray(samples, float))
                     if x.ndim != 1:
@@ -33,9 +33,9 @@ def with_features(waves: DataFrame) -> DataFrame:
                 except (TypeError, ValueError):
                     pass  # null features; the row stays
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=["uuid", *FEATURES, *PEAK, "harmonic_energy_ratio", "mfccs"])
+            yield pd.DataFrame(rows, columns=["uuid", *FEATURES, *PEAK, "peaks_hz", "harmonic_energy_ratio", "mfccs"])
 
-    kinds = ", ".join(f"{c} double" for c in (*FEATURES, *PEAK, "harmonic_energy_ratio"))
+    kinds = ", ".join(f"{c} {'string' if c == 'peaks_hz' else 'double'}" for c in (*FEATURES, *PEAK, "peaks_hz", "harmonic_energy_ratio"))
     return waves.where("uuid is not null and uuid <> ''").select("uuid", "samples", "sample_rate").mapInPandas(run, f"uuid string, {kinds}, mfccs array<double>")
 
 
@@ -63,3 +63,34 @@ def harmonic_vote(candidates: DataFrame, harmonics: int = 4) -> DataFrame:
     sums = spread.groupBy("key", (F.col("bin") / F.col("d")).cast("long").alias("bin")).agg(F.sum("energy").alias("energy"), F.min(F.struct("place", "d")).alias("seen"))
     best = F.row_number().over(W.partitionBy("key").orderBy(F.desc("energy"), "seen"))
     return sums.withColumn("rn", best).where("rn = 1").select("key", "bin")
+
+
+def fit_length(waves: DataFrame, seconds: float) -> DataFrame:
+    """Samples cut or padded with zeros to a length."""
+    n = F.floor(F.col("sample_rate") * seconds).cast("int")
+    padded = F.concat("samples", F.array_repeat(F.lit(0.0), F.greatest(n - F.size("samples"), F.lit(0))))
+    return waves.withColumn("samples", F.slice(padded, F.lit(1), n))
+
+
+def harmonic_share(waves: DataFrame, f0: Column) -> DataFrame:
+    """uuid, harmonic_energy_ratio: share of power near the first eight harmonics of f0 (null samples: null)."""
+
+    @F.pandas_udf("double")
+    def share(samples: pd.Series, rate: pd.Series, base: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else dsp.harmonic_ratio(dsp.normalise(np.asarray(x, float)), int(r), float(b)) for x, r, b in zip(samples, rate, base, strict=True)], dtype=float)
+
+    return waves.select("uuid", share("samples", "sample_rate", f0).alias("harmonic_energy_ratio"))
+
+
+def frame_profiles(waves: DataFrame, frames: int, scale: float = 15.0) -> DataFrame:
+    """uuid, frame, rms, dominant_hz, spatial and magnitude arrays of equal frames (what is left over at the end belongs to none)."""
+    length = F.floor(F.size("samples") / frames).cast("int")
+    numbered = waves.where(F.size("samples") >= frames).select("uuid", "sample_rate", "samples", length.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("frame"))
+
+    @F.pandas_udf("rms double, spatial array<double>, magnitude array<double>, dominant_hz double")
+    def profile(part: pd.Series, rate: pd.Series) -> pd.DataFrame:
+        found = [dsp.frame_profile(np.asarray(x, float), scale, int(r)) for x, r in zip(part, rate, strict=True)]
+        return pd.DataFrame(found, columns=["rms", "spatial", "magnitude", "dominant_hz"])
+
+    cut = numbered.select("uuid", "frame", profile(F.slice("samples", F.col("frame") * F.col("n") + 1, F.col("n")), "sample_rate").alias("p"))
+    return cut.select("uuid", "frame", "p.*")

@@ -76,7 +76,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 def diverse_batch(df: DataFrame, category: str, key: str, n: int) -> DataFrame:
     """n rows taken round-robin over the categories."""
     ranked = df.withColumn("rn", F.row_number().over(W.partitionBy(category).orderBy(key)))
-    return ranked.orderBy("rn", category).limit(n)
+    return ranked.where(F.col("rn") <= n).orderBy("rn", category).limit(n)  # no category gives more than n
 
 
 def text_profile(df: DataFrame, *columns: str) -> DataFrame:
@@ -85,3 +85,43 @@ def text_profile(df: DataFrame, *columns: str) -> DataFrame:
     counts = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))
     return counts.groupBy("column_name").agg(F.sum("n").alias("non_null"), F.count(F.lit(1)).alias("n_unique"), best.alias("b")).select("column_name", "non_null", "n_unique", F.col("b.v").alias("top"), (-F.col("b.neg")).alias("freq"))
+
+
+def matching(df: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows whose column holds a match of the pattern in any case; null matches nothing."""
+    return df.where(F.col(column).rlike(f"(?i){pattern}"))
+
+
+def only(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Rows whose column is in an allow-list."""
+    return df.where(F.col(column).isin(allowed))
+
+
+def valid_events(events: DataFrame) -> DataFrame:
+    """Messages that name both an audio path and a bucket."""
+    return events.where((F.length("audio_path") > 0) & (F.length("bucket") > 0))
+
+
+def counts_by(df: DataFrame, column: str) -> DataFrame:
+    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def since(df: DataFrame, column: str, start: str | None) -> DataFrame:
+    """Rows whose ISO time, compared as text, is not before `start`; all rows without one."""
+    return df if start is None else df.where(F.col(column) >= start)
+
+
+def merge_metrics(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """One row: n_events (distinct uuids), n_matched, n_hot_unmatched and n_dropped (without a uuid), in one aggregation.
+
+    Rows and events are counted for each uuid before they meet, so a uuid with many rows is a few partial sums.
+    """
+    hot = F.coalesce(F.lower(F.trim("source")) == "hot-path", F.lit(False)).cast("long")
+    both = rows.select("uuid", F.lit(1).alias("n"), hot.alias("hot"), F.lit(0).alias("event")).union(events.select("uuid", F.lit(0), F.lit(0).cast("long"), F.lit(1)))
+    each = both.groupBy(blank_to_null(F.col("uuid")).alias("uuid")).agg(F.sum("n").alias("n"), F.sum("hot").alias("hot"), F.max("event").alias("event"))
+    some = F.col("uuid").isNotNull()
+    total = lambda test, value: F.coalesce(F.sum(F.when(test, value)), F.lit(0)).cast("long")
+    return each.agg(
+        total(some, F.col("event")).alias("n_events"), total(some & (F.col("event") == 1), F.col("n")).alias("n_matched"),
+        total(some & (F.col("event") == 0), F.col("hot")).alias("n_hot_unmatched"), total(~some, F.col("n")).alias("n_dropped"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sonolake.functions.clean import no_sentinel, np_round, to_number
 from sonolake.operators import features, zones
 from sonolake.plans import kpi
+from sonolake.sources import paged
 from sonolake.sources.observations import HOT_EVENT, observations, read
 from sonolake.streaming import hot
 
@@ -178,3 +179,51 @@ ORACLE["harmonic_vote"] = """with s as (select user_id as key, event_id as place
  g as (select key, bin // d as bin, sum(energy) as energy, min(place * 10 + d) as seen from s group by 1, 2) select key, bin from (select *, row_number() over (partition by key order by energy desc, seen) as rn from g) where rn = 1"""
 _obs("text_profile", lambda o: zones.text_profile(kpi.typed(o), "category", "source"), f"""{OBS}, l as (select 'category' as column_name, category as value from typed union all select 'source', source from typed), c as (select column_name, value, count(*) as n from l where value is not null group by 1, 2),
  r as (select *, row_number() over (partition by column_name order by n desc, value) as rn, sum(n) over (partition by column_name) as t, count(*) over (partition by column_name) as u from c) select column_name, cast(t as bigint) as non_null, u as n_unique, value as top, n as freq from r where rn = 1""")
+_obs("qa_trim", lambda o: zones.trim_all(o.select("uuid", "category", "source")), f"{OBS} select uuid, trim(category) as category, trim(source) as source from obs")
+_obs("category_search", lambda o: zones.matching(kpi.typed(o), "category", "CAT_1").select("uuid", "category"), f"{OBS} select uuid, category from typed where regexp_matches(category, 'CAT_1', 'i')")
+_obs("allowed_categories", lambda o: zones.only(kpi.typed(o), "category", ["cat_03", "cat_07", "cat_11"]).select("uuid", "category"), f"{OBS} select uuid, category from typed where category in ('cat_03', 'cat_07', 'cat_11')")
+_obs("category_counts", lambda o: zones.counts_by(kpi.typed(o), "category"), f"{OBS} select category, count(*) as n from typed group by category")
+_obs("new_sources", lambda o: paged.new_only(o.select("source_id"), o.where("event_id % 211 = 0")), f"{OBS} select distinct source_id from obs where source_id not in (select source_id from obs where event_id % 211 = 0)")
+_obs("merge_metrics", lambda o: zones.merge_metrics(o.select(F.when(F.col("event_id") % 19 != 0, F.col("uuid")).alias("uuid"), "source"), o.where("event_id % 3 = 0")), f"""{OBS}, r as (select case when event_id % 19 <> 0 then uuid end as uuid, source from obs), e as (select uuid from obs where event_id % 3 = 0)
+ select (select count(distinct uuid) from e) as n_events, count(*) filter (where uuid in (select uuid from e)) as n_matched, count(*) filter (where uuid is not null and uuid not in (select uuid from e) and lower(trim(source)) = 'hot-path') as n_hot_unmatched,
+ count(*) filter (where uuid is null) as n_dropped from r""")
+_SINCE = "2024-01-15T12:00:00.000000Z"
+_obs("incremental_since", lambda o: zones.since(o, "time_recorded", _SINCE).select("uuid"), f"s as (select 'ev-' || lpad(cast(event_id as varchar), 8, '0') as uuid from events where strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') >= '{_SINCE}') select uuid from s")
+
+
+def _paths(spark, d):
+    name = F.col("event_id").cast("string")
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("audio/raw/"), name, F.lit(".wav"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x/"), name, F.lit(".mp3"))).otherwise(name)
+    return read(spark, d, "events").select("event_id", zones.uuid_of_path(path).alias("uuid"))
+
+
+QUERIES["uuid_from_path"] = _paths
+ORACLE["uuid_from_path"] = "select event_id, cast(event_id as varchar) as uuid from events"
+
+
+def _valid_events(spark, d):
+    e = F.col("event_id")
+    events = read(spark, d, "events").select("event_id", F.when(e % 5 > 0, F.concat(F.lit("a/"), e.cast("string"))).alias("audio_path"), F.when(e % 7 > 0, F.lit("landing")).otherwise("").alias("bucket"))
+    return zones.valid_events(events)
+
+
+QUERIES["valid_events"] = _valid_events
+ORACLE["valid_events"] = "select event_id, 'a/' || cast(event_id as varchar) as audio_path, 'landing' as bucket from events where event_id % 5 > 0 and event_id % 7 > 0"
+
+
+def _fixed_length(spark, d):
+    sizes = [features.fit_length(_waves(spark, d), s).select("uuid", F.size("samples").alias("n"), np_round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy")) for s in (0.75, 2.0)]
+    return sizes[0].union(sizes[1])
+
+
+QUERIES["fixed_length"] = _fixed_length
+ORACLE["fixed_length"] = f"""with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)
+ select 'vec-' || cast(vec_id as varchar) as uuid, n, {_R("sum(case when i <= n then cast(v as double) * cast(v as double) else 0 end)", 6)} as energy from x, (select unnest([48, 128]) as n) group by vec_id, n"""
+_POWER = """x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), s as (select vec_id, i, cast(v as double) / max(abs(cast(v as double))) over (partition by vec_id) as v from x),
+ k as (select unnest(range(0, 33)) as f), p as (select vec_id, f, power(sum(v * cos(2 * pi() * f * i / 64)), 2) + power(sum(v * sin(2 * pi() * f * i / 64)), 2) as p from s, k group by vec_id, f)"""
+QUERIES["spectral_rolloff"] = lambda spark, d: QUERIES["acoustic_features"](spark, d).select("uuid", "spectral_rolloff_hz")
+ORACLE["spectral_rolloff"] = f"""with {_POWER}, c as (select vec_id, f, sum(p) over (partition by vec_id order by f) as c, sum(p) over (partition by vec_id) as t from p)
+ select 'vec-' || cast(vec_id as varchar) as uuid, cast(min(f) as double) as spectral_rolloff_hz from c where c >= 0.85 * t group by vec_id"""
+QUERIES["harmonic_share"] = lambda spark, d: features.harmonic_share(_waves(spark, d), F.lit(9.0)).select("uuid", np_round(F.col("harmonic_energy_ratio"), 6).alias("harmonic_energy_ratio"))
+ORACLE["harmonic_share"] = f"""with {_POWER} select 'vec-' || cast(vec_id as varchar) as uuid, {_R("sum(p * ((abs(f - 9) <= 5)::int + (abs(f - 18) <= 5)::int + (abs(f - 27) <= 5)::int)) / sum(p)", 6)} as harmonic_energy_ratio from p group by vec_id"""
+QUERIES["frame_profiles"] = lambda spark, d: features.frame_profiles(_waves(spark, d), 1)

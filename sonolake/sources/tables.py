@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolake.operators.zones import append_evolving
+from sonolake.operators.zones import append_evolving, pending, since
 from sonolake.sources.observations import HOT_EVENT
 
 
@@ -96,6 +96,29 @@ def inspect(spark: SparkSession, bucket: str, table: str = "snapshots") -> dict:
         return {"status": "error", **empty, "error": str(e)[:200]}
 
 
+def read_checkpoint(spark: SparkSession, path: str) -> str | None:
+    """The start of the last run that ended well."""
+    found = read_snapshot(spark, path)
+    return found[0].first()["started"] if found else None
+
+
+def write_checkpoint(spark: SparkSession, path: str, started: str) -> None:
+    write_snapshot(spark.createDataFrame([(started,)], "started string").coalesce(1), path)
+
+
+def ingest_since(rows: DataFrame, time: str, key: str, target: str, checkpoint: str, started: str) -> None:
+    """Appends rows not older than the last run's start whose key is not there yet.
+
+    This run's start is kept once the rows are written, also when there were none; a run that fails before is repeated without doubling rows.
+    """
+    spark = rows.sparkSession
+    fresh = since(rows, time, read_checkpoint(spark, checkpoint)).dropDuplicates([key])
+    if (old := read_parquet(spark, target)) is not None:
+        fresh = pending(fresh, old, key)
+    append(fresh, target)
+    write_checkpoint(spark, checkpoint, started)
+
+
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     """(sample rate, mono samples in -1 .. 1) of PCM of any width; channels are averaged."""
     with wave.open(io.BytesIO(data)) as w:

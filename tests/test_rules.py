@@ -105,6 +105,38 @@ def test_peaks_by_hand():
     assert dsp.local_peaks(y, 0.5, 4, 0.5).tolist() == [4]
 
 
+def test_strongest_peaks():
+    rate = 8000
+    t = np.arange(rate) / rate
+    x = np.sin(2 * np.pi * 440 * t) + 0.5 * np.sin(2 * np.pi * 1000 * t)
+    assert dsp.peak_frequency(x, rate)["peaks_hz"] == "440|1000" and dsp.peak_frequency(x[:60], rate)["peaks_hz"] == ""
+    rms, spatial, magnitude, f0 = dsp.frame_profile(x[:800], 15, rate)
+    assert f0 == 440 and len(spatial) == len(magnitude) == 2 and abs(rms - np.sqrt(0.625)) < 1e-9
+    assert np.allclose(spatial, [2.5 + np.sqrt(k / 401) * 15 for k in (44, 100)])
+    assert dsp.frame_profile(x[:60], 22, rate) == (0.0, [13.5], [1.0], 0.0)
+
+
+def test_lengths_and_frames(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0, 3.0], 2), ("b", None, 2), ("c", [], 2)], "uuid string, samples array<double>, sample_rate int")
+    assert {r.uuid: r.samples for r in features.fit_length(rows, 1).collect()} == {"a": [1.0, 2.0], "b": None, "c": [0.0, 0.0]}
+    assert {r.uuid: r.samples for r in features.fit_length(rows, 2).collect()}["a"] == [1.0, 2.0, 3.0, 0.0]
+    assert [(r.uuid, r.frame, r.magnitude) for r in features.frame_profiles(rows, 1).collect()] == [("a", 0, [1.0])]
+    assert {r.uuid: r[1] for r in features.harmonic_share(rows, F.lit(1.0)).collect()}["c"] == 0.0
+
+
+def test_filters_with_nulls(spark):
+    rows = spark.createDataFrame([("Rain fall",), (None,), ("dog",)], "c string")
+    assert [r.c for r in zones.matching(rows, "c", "rain|cat").collect()] == ["Rain fall"]
+    assert zones.only(rows, "c", []).count() == 0 and zones.since(rows, "c", None).count() == 3
+
+
+def test_merge_metrics(spark):
+    rows = spark.createDataFrame([("a", "hot-path"), ("a", "x"), ("b", " HOT-path "), (" ", "hot-path"), (None, None)], "uuid string, source string")
+    events = spark.createDataFrame([("a",), ("a",), ("z",), (None,)], "uuid string")
+    assert tuple(zones.merge_metrics(rows, events).first()) == (2, 2, 1, 2)
+    assert tuple(zones.merge_metrics(rows.limit(0), events.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_votes():
     assert dsp.vote([(440, 1.0), (880, 1.0), (300, 1.5)]) == 440
     assert dsp.vote([]) == 0

@@ -24,6 +24,18 @@ def test_missing_inputs_are_empty(spark, tmp_path):
     assert tables.inspect(spark, str(tmp_path))["status"] == "no_table"
 
 
+def test_incremental_ingest(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "source_id string, created string")
+    target, mark = f"{tmp_path}/t", f"{tmp_path}/mark"
+    assert tables.read_checkpoint(spark, mark) is None
+    first = rows(("1", "2024-01-01"), ("1", "2024-01-01"), ("2", "2024-01-03"))
+    tables.ingest_since(first, "created", "source_id", target, mark, "2024-01-02")
+    tables.ingest_since(first.union(rows(("3", "2024-01-02"), ("0", "2023-12-01"))), "created", "source_id", target, mark, "2024-01-05")
+    assert sorted(r.source_id for r in spark.read.parquet(target).collect()) == ["1", "2", "3"]
+    tables.ingest_since(first.limit(0), "created", "source_id", target, mark, "2024-01-09")
+    assert tables.read_checkpoint(spark, mark) == "2024-01-09" and spark.read.parquet(target).count() == 3
+
+
 def test_events(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"audio_path": "a/x.wav", "bucket": "b", "duration": 5}))
     r = tables.read_events(spark, str(tmp_path)).first()
