@@ -2,18 +2,18 @@
 
 Texts are read as lower-cased (A-Z) words joined by one blank, with an end symbol.
 
-Learning counts, over all training texts, every word and every run of ORDER + 1 bytes; each task
-pre-aggregates, shards of keys add up. Shards are chosen by a run's last three bytes, so all
-shorter runs are sums inside a shard or, under three bytes, of few numbers from each.
-
-The byte-context trie keeps the `max_nodes` most frequent runs (counts of a run's suffix are never smaller, so
-the trie stays closed under suffixes). Escapes follow method C, with the mass of dropped
-children added. Since the children of a context are children of its suffix as well, what symbol
-exclusion removes at a suffix depends on the next longer context only, so normalisers
-after exclusion are stored with each context, and a text is scored with array look-ups.
-
-Words: the `max_words` most frequent are broadcast with their counts; every other word of a text is
-looked up by joining on shards of the count table, so base_score is exact for all words.
+1. Counting covers every word and every run of ORDER + 1 bytes of all training texts. Each task pre-aggregates, and
+   shards of whole keys add up, so no shard is hot. Runs then go to shards by the last two bytes of their context:
+   a shard has all children of each of its contexts and of their suffixes of two bytes or more. Runs of one and two bytes
+   (65,792 at most, whatever the input) are broadcast.
+2. Each bucket of documents asks for its distinct runs and words. A shard answers ASKED buckets at a time, so what one
+   task reads is bounded where many buckets ask the same shard.
+3. A shard's byte-context trie answers with log probabilities. Escapes follow method C. Since the children of a context
+   are children of its suffix as well, what symbol exclusion removes at a suffix depends on the next longer context
+   only, so normalisers after exclusion are stored with each context, and a run costs a few array look-ups.
+4. Buckets add the answers up.
+
+Nothing is left out of the model at any size: it grows with the input, and no task or broadcast holds all of it.
 
 Null text is empty: it scores the end symbol alone. A null id is a training row.
 Repeated rows are scored and counted each.
@@ -32,11 +32,12 @@ from . import textkernel as K
 from .util import cut, held_out, parts, text_size
 
 ORDER = 5
-MAX_NODES, MAX_WORDS = 1_000_000, 500_000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES, MOST_SHARDS = 64 << 20, 4096
+BUCKET_BYTES = 32 << 20
+ASKED = 512  # buckets that one task answers
 _FLUSH = 3_000_000
 _END_WORD = np.uint64(1)
-_WORDS, _RUNS = 0, 1
+_WORDS, _RUNS, _SHORT = 0, 1, 2
 _U64 = np.uint64
 
 
@@ -96,25 +97,19 @@ class _Counter:
 
 
 def _shard_of(kind: int, key: np.ndarray, n: int) -> np.ndarray:
-    return (K.mix(key & _U64(0xFFFFFF) if kind == _RUNS else key) % _U64(n)).astype(np.int64)
-
-
-_HIST = 640  # eight classes for each doubling of a count
-
-
-def _class(n: np.ndarray) -> np.ndarray:
-    return np.minimum((8 * np.log2(n)).astype(np.int64), _HIST - 1)
+    """Words by their hash, runs by the last two bytes of their context."""
+    return (K.mix((key >> _U64(8)) & _U64(0xFFFF) if kind == _RUNS else key) % _U64(n)).astype(np.int64)
 
 
 def count(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
-    """kind, shard, length (of a run), key array, n array, hist (of counts) over the training rows."""
+    """kind, shard, key array, n array over the training rows; short runs (of two bytes) come in parts."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {_WORDS: _Counter(), _RUNS: _Counter()}
 
         def flush(kind: int) -> pa.RecordBatch:
             key, n = counters[kind].take()
-            there, lists = K.by_shard(_shard_of(kind, key, n_shards), n_shards, key, n)
+            there, lists = K.by_shard(_shard_of(_WORDS, key, n_shards), n_shards, key, n)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(there), kind)), pa.array(there.astype(np.int64)), *lists], names=["kind", "shard", "key", "n"])
 
         for batch in batches:
@@ -128,55 +123,26 @@ def count(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
         for kind in counters:
             yield flush(kind)
 
-    names = ["kind", "shard", "length", "key", "n", "hist"]
-
     def add_up(t: pa.Table) -> pa.Table:
-        kind, shard = t.column("kind")[0].as_py(), t.column("shard")[0].as_py()
+        kind = t.column("kind")[0].as_py()
         key, n = _counted(K.flat(t.column("key"))[0].view(_U64), K.flat(t.column("n"))[0])
-        found = [(0, key, n)]
+        found = [(kind, *K.by_shard(_shard_of(kind, key, n_shards), n_shards, key, n))]
         if kind == _RUNS:
-            found = [(order + 1, key, n)]
-            for length in range(order, 0, -1):
-                key, n = _counted(key & _U64((1 << 8 * length) - 1), n)
-                found.append((length, key, n))
-        whole = [(a, k[i : i + _FLUSH], c[i : i + _FLUSH]) for a, k, c in found for i in range(0, len(k), _FLUSH)]
-        one = lambda arrays: K.list_array(np.concatenate(arrays), np.cumsum([0, *map(len, arrays)]))
-        return pa.table(dict(zip(names, [
-            pa.array([kind] * len(whole), pa.int64()), pa.array([shard] * len(whole), pa.int64()), pa.array([a for a, _, _ in whole], pa.int64()),
-            one([k.view(np.int64) for _, k, _ in whole]), one([c for _, _, c in whole]), one([np.bincount(_class(c), minlength=_HIST) for _, _, c in whole]),
-        ], strict=True)))
+            key, n = _counted(key & _U64(0xFFFF), n)
+            found.append((_SHORT, *K.by_shard(np.zeros(len(key), np.int64), 1, key, n)))
+        return pa.concat_tables(pa.table({"kind": pa.array(np.full(len(there), k)), "shard": pa.array(there.astype(np.int64)), "key": keys, "n": ns}) for k, there, (keys, ns) in found)
 
     a = "array<long>"
     sent = docs.where(~F.col("held_out")).select("text").mapInArrow(tally, f"kind long, shard long, key {a}, n {a}")
-    return cut(sent.groupBy("kind", "shard").applyInArrow(add_up, f"kind long, shard long, length long, key {a}, n {a}, hist {a}"))
-
-
-def most_frequent(counts: DataFrame, kind: int, most: int) -> tuple[list[tuple[int, np.ndarray, np.ndarray]], int, int]:
-    """([(length, keys, counts)] of at most about `most` keys, distinct keys, sum of counts)."""
-    own = counts.where(F.col("kind") == kind)
-    total = F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))
-    row = own.agg(F.sum(F.size("key")).alias("v"), total.alias("n")).first()
-    hist = np.zeros(_HIST, np.int64)
-    for r in own.select(F.posexplode("hist").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n")).toLocalIterator():
-        hist[r.c] = r.n
-    kept = np.cumsum(hist[::-1])[::-1]
-    least = int(np.searchsorted(-kept, -most, "left"))  # the lowest class from which all fit
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key, sizes = K.flat(b.column("key"))
-            n = K.flat(b.column("n"))[0]
-            length = np.repeat(b.column("length").to_numpy(), sizes)
-            keep = (_class(n) >= least) | (length == 1) | (length == 2)  # those are parts of sums; there are few
-            yield pa.RecordBatch.from_arrays([pa.array(length[keep].astype(np.int64)), pa.array(key[keep]), pa.array(n[keep])], names=["length", "key", "n"])
-
-    t = own.select("length", "key", "n").mapInArrow(pick, "length long, key long, n long").toArrow()
-    length, key, n = (t.column(c).to_numpy().astype(np.int64) for c in ("length", "key", "n"))
-    found = []
-    for a in np.unique(length).tolist():
-        k, c = _counted(key[length == a].view(_U64), n[length == a])
-        found.append((a, k, c))
-    return found, int(row.v or 0), int(row.n or 0)
+    return cut(sent.groupBy("kind", "shard").applyInArrow(add_up, f"kind long, shard long, key {a}, n {a}"))
+
+
+def short_runs(counts: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """[(length, keys, counts)] of the runs of one and two bytes: 65,792 numbers at most."""
+    each = counts.where(F.col("kind") == _SHORT).select(F.explode(F.arrays_zip("key", "n")).alias("x"))
+    t = each.groupBy(F.col("x.key").alias("key")).agg(F.sum("x.n").alias("n")).toArrow()
+    two = _counted(t.column("key").to_numpy().view(_U64), t.column("n").to_numpy())
+    return [(1, *_counted(two[0] & _U64(0xFF), two[1])), (2, *two)]
 
 
 class Trie:
@@ -292,74 +258,106 @@ def _mask(length):
     return (_U64(1) << (np.asarray(length) * 8).astype(_U64)) - _U64(1)
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS) -> DataFrame:
+def _levels(key: np.ndarray, n: np.ndarray, order: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """[(length, keys, counts)] of a shard's runs from three bytes to order + 1."""
+    key, n = _counted(key, n)
+    found = [(order + 1, key, n)]
+    for length in range(order, 2, -1):
+        key, n = _counted(key & _mask(length), n)
+        found.append((length, key, n))
+    return [x for x in found if x[0] > 2]
+
+
+def _distinct(found: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U64)
+
+
+def _words_of(w: K.Words) -> np.ndarray:
+    return np.insert(w.hashes(), w.at[1:], _END_WORD)
+
+
+def lm_score(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, asked: int = ASKED
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, modulus, remainder).alias("held_out"))
-    n_shards = parts(text_size(rows)[1], SHARD_BYTES)
+    size = text_size(docs, text_col)[1]
+    n_buckets, n_shards = parts(size, bucket_bytes), min(parts(size, shard_bytes), MOST_SHARDS)
+    rows = docs.select(
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_buckets)).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, modulus, remainder).alias("held_out")
+    )
     counts = count(rows, order, n_shards)
-    runs, _, _ = most_frequent(counts, _RUNS, max_nodes)
-    words, distinct, total = most_frequent(counts, _WORDS, max_words)
-    top = words[0][1:] if words else (np.zeros(0, _U64), np.zeros(0, np.int64))
-    below = np.log10(total + 0.5 * (distinct + 1))
-    unseen = np.log10(0.5) - below
-    shared = sc.broadcast((Trie(runs, order), top[0], np.log10(top[1] + 0.5) - below))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known, logs = shared.value
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for i, j, offsets, data in K.blocks(batch):
-                w = K.Words(offsets, data, lower=True)
-                key, first = byte_runs(w, order)
-                scores = np.add.reduceat(trie.logs(key), first)
-                h = np.insert(w.hashes(), w.at[1:], _END_WORD)
-                counts = w.counts + 1
-                at = np.cumsum(counts) - counts
-                place, there = K.lookup(known, h)
-                value = np.where(there, logs[place] if len(logs) else 0.0, unseen)
-                doc = np.repeat(np.arange(j - i), counts)
-                rare = np.flatnonzero(~there)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=j - i))])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(j - i)), batch.column("doc_id")[i:j], batch.column("held_out")[i:j], pa.array(counts.astype(np.int64)), pa.array(np.add.reduceat(there.astype(np.int64), at)),
-                     pa.array(np.add.reduceat(value, at)), pa.array(scores), K.list_array(h[rare].view(np.int64), ends)],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-                )
-                row += j - i
-
-    scored = cut(rows.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, sizes = K.flat(b.column("rare"))
-            row = np.repeat(b.column("row").to_numpy(), sizes)
-            there, lists = K.by_shard(_shard_of(_WORDS, h.view(_U64), n_shards), n_shards, h, row)
-            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), *lists], names=["shard", "h", "row"])
-
-    def answer(asked: pa.Table, told: pa.Table) -> pa.Table:
-        h, row = K.flat(asked.column("h"))[0].view(_U64), K.flat(asked.column("row"))[0]
-        key, n = K.flat(told.column("key"))[0].view(_U64), K.flat(told.column("n"))[0]
-        at, there = K.lookup(key, h)
-        more = np.log10(n[at[there]] + 0.5) - np.log10(0.5) if len(n) else np.zeros(0)
-        docs, back = np.unique(row[there], return_inverse=True)
-        where, lists = K.by_shard(docs >> 40, int((docs >> 40).max(initial=0)) + 1, docs, np.bincount(back, minlength=len(docs)), np.bincount(back, more, len(docs)).astype(float))
-        return pa.table(dict(zip(["bucket", "row", "k", "more"], [pa.array(where.astype(np.int64)), *lists], strict=True)))
+    row = counts.where(F.col("kind") == _WORDS).agg(F.sum(F.size("key")).alias("v"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()
+    total = int(row.n or 0)
+    below = np.log10(total + 0.5 * (int(row.v or 0) + 1))
+    short = docs.sparkSession.sparkContext.broadcast(short_runs(counts))
+    unseen = np.log10(0.5)
+
+    def ask(t: pa.Table) -> pa.Table:
+        bucket, found = t.column("bucket")[0].as_py(), {_WORDS: [], _RUNS: []}
+        for _, _, offsets, data in K.blocks(t):
+            w = K.Words(offsets, data, lower=True)
+            found[_WORDS].append(np.unique(_words_of(w)))
+            found[_RUNS].append(np.unique(byte_runs(w, order)[0]))
+        out = []
+        for kind, each in found.items():
+            key = _distinct(each)
+            there, (keys,) = K.by_shard(_shard_of(kind, key, n_shards), n_shards, key)
+            out.append(pa.table({"kind": pa.array(np.full(len(there), kind)), "shard": pa.array(there.astype(np.int64)), "piece": pa.array(np.full(len(there), bucket // asked)), "bucket": pa.array(np.full(len(there), bucket)), "key": keys}))
+        return pa.concat_tables(out)
+
+    def answer(asks: pa.Table, told: pa.Table) -> pa.Table:
+        names = ["kind", "shard", "bucket", "known", "logs"]
+        if not len(asks):
+            return pa.table(dict(zip(names, [pa.array([], x) for x in (*[pa.int64()] * 3, pa.list_(pa.float64()), pa.list_(pa.float32()))], strict=True)))
+        kind = asks.column("kind")[0].as_py()
+        h, sizes = K.flat(asks.column("key"))
+        h, ends = h.view(_U64), np.concatenate([[0], np.cumsum(sizes)])
+        key, n = _counted(K.flat(told.column("key"))[0].view(_U64), K.flat(told.column("n"))[0]) if len(told) else (h[:0], sizes[:0])
+        none = np.zeros(len(ends))
+        if kind == _WORDS:
+            at, there = K.lookup(key, h)
+            value = np.full(len(h), unseen)
+            value[there] = np.log10(n[at[there]] + 0.5)
+            lists = [K.list_array(value, ends, pa.float64()), K.list_array(none[:0], none, pa.float32())]
+        else:
+            trie = Trie([*short.value[: min(order + 1, 2)], *_levels(key, n, order)], order)
+            logs = np.concatenate([trie.logs(h[i : i + _FLUSH]) for i in range(0, len(h), _FLUSH)])
+            lists = [K.list_array(none[:0], none, pa.float64()), K.list_array(logs.astype(np.float32), ends, pa.float32())]
+        return pa.table(dict(zip(names, [*(asks.column(c) for c in names[:3]), *lists], strict=True)))
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
-        row = own.column("row").to_numpy()
-        order = np.argsort(row)
-        at = order[np.searchsorted(row[order], K.flat(told.column("row"))[0])] if len(told) else np.zeros(0, np.int64)
-        n_known, base = own.column("n_known").to_numpy().copy(), own.column("base_score").to_numpy().copy()
-        if len(at):
-            np.add.at(n_known, at, K.flat(told.column("k"))[0])
-            np.add.at(base, at, K.flat(told.column("more"), np.float64)[0])
-        return own.select(["doc_id", "held_out", "n_tokens"]).append_column("n_known", pa.array(n_known)).append_column("train_tokens", pa.array(np.full(len(row), total))).append_column("base_score", pa.array(base)).append_column("score", own.column("score"))
-
-    asked = scored.where(F.size("rare") > 0).select("row", "rare").mapInArrow(ask, "shard long, h array<long>, row array<long>")
-    told = counts.where(F.col("kind") == _WORDS).select("shard", "key", "n")
-    extra = asked.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(answer, "bucket long, row array<long>, k array<long>, more array<double>")
-    mine = scored.select(F.shiftright("row", 40).alias("bucket"), "row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
-    return mine.groupBy("bucket").cogroup(extra.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        """Asks went out by shard in ascending order of keys, so the answers of a bucket line up with its keys again."""
+        found = []
+        for _, _, offsets, data in K.blocks(own):
+            w = K.Words(offsets, data, lower=True)
+            key, first = byte_runs(w, order)
+            runs, words = (np.unique(x, return_inverse=True) for x in (key, _words_of(w)))
+            found.append((first, runs[0], runs[1].astype(np.int32), words[0], words[1].astype(np.int32), w.counts + 1))
+        kind, shard = told.column("kind").to_numpy(), told.column("shard").to_numpy()
+        values = {}
+        for k, column, at, dtype in ((_RUNS, "logs", 1, np.float32), (_WORDS, "known", 3, np.float64)):
+            key = _distinct([x[at] for x in found])
+            mine = np.flatnonzero(kind == k)
+            lists = told.column(column).take(pa.array(mine[np.argsort(shard[mine])]))
+            value = np.zeros(len(key), dtype)
+            value[np.argsort(_shard_of(k, key, n_shards), kind="stable")] = K.flat(lists, dtype)[0]
+            values[k] = key, value
+        counts, known, base, scores = [], [], [], []
+        for first, runs, run_at, words, word_at, n in found:
+            logs = values[_RUNS][1][np.searchsorted(values[_RUNS][0], runs)].astype(np.float64)[run_at]
+            word = values[_WORDS][1][np.searchsorted(values[_WORDS][0], words)][word_at]
+            at = np.cumsum(n) - n
+            counts.append(n)
+            known.append(np.add.reduceat((word > unseen).astype(np.int64), at))
+            base.append(np.add.reduceat(word, at) - n * below)
+            scores.append(np.add.reduceat(logs, first))
+        n_tokens, n_known, base, score = (np.concatenate(x) if x else np.zeros(0) for x in (counts, known, base, scores))
+        return pa.table({"doc_id": own.column("doc_id"), "held_out": own.column("held_out"), "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)),
+                         "train_tokens": pa.array(np.full(len(own), total)), "base_score": pa.array(base), "score": pa.array(score)})
+
+    per_bucket, by = rows.groupBy("bucket"), ("kind", "shard", "piece")
+    asks = per_bucket.applyInArrow(ask, "kind long, shard long, piece long, bucket long, key array<long>")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_buckets - 1) // asked).cast("long")))
+    model = counts.where(F.col("kind") != _SHORT).select("kind", "shard", pieces.alias("piece"), "key", "n")
+    answers = asks.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(answer, "kind long, shard long, bucket long, known array<double>, logs array<float>")
+    return per_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

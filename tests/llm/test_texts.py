@@ -85,20 +85,44 @@ def test_pii_iban_context_and_mask(spark):
     assert got[2].spans == [] and got[3].spans == []
 
 
+def _runs(texts, order):
+    import pyarrow as pa
+
+    from sonolake.llm import textkernel as K
+    from sonolake.llm.ppm import byte_runs
+
+    return byte_runs(K.Words(*K.text_buffers(pa.array(texts, pa.string())), lower=True), order)[0]
+
+
+def _whole_trie(texts, order):
+    """One trie over all runs, against which the sharded model is held."""
+    from sonolake.llm.ppm import Trie, _counted
+
+    levels, (k, n) = [], _counted(_runs(texts, order))
+    for length in range(order + 1, 0, -1):
+        levels.append((length, k, n))
+        k, n = _counted(k & np.uint64((1 << 8 * (length - 1)) - 1), n)
+    return Trie(levels, order)
+
+
 def test_lm_score(spark):
     docs = awkward()
+    docs_by = dict(docs)
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     words = {i: [*SPACED.findall(low(t or "")), None] for i, t in docs}
     c = Counter(w for i, ws in words.items() if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    for most in (500_000, 20):
-        got = {r.doc_id: r for r in lm_score(frame(spark, docs), max_words=most, max_nodes=5000).collect()}
+    trie = _whole_trie([t for i, t in docs if not held(i)], 5)
+    for sizes in ({}, {"bucket_bytes": 4000, "shard_bytes": 3000, "asked": 3}):
+        got = {r.doc_id: r for r in lm_score(frame(spark, docs), **sizes).collect()}
         for i, ws in words.items():
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-            assert r.score < 0
+            assert math.isclose(r.score, trie.logs(_runs([docs_by[i]], 5)).sum(), rel_tol=1e-5)
     assert lm_score(frame(spark, docs).limit(0)).count() == 0
+    alone = lm_score(frame(spark, [(i, "x y") for i in range(40) if held(i)])).collect()  # no training rows
+    assert len(alone) and all((r.n_known, r.train_tokens) == (0, 0) and r.score < 0 for r in alone)
 
 
 def test_ppm_probabilities_sum_to_one():
