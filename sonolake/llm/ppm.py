@@ -33,8 +33,8 @@ from .util import cut, held_out, parts, text_size
 
 ORDER = 5
 SHARD_BYTES, MOST_SHARDS = 64 << 20, 4096
-BUCKET_BYTES = 32 << 20
-ASKED = 512  # buckets that one task answers
+BUCKET_BYTES = 16 << 20
+ASKED = 1024  # buckets that one task answers
 _FLUSH = 3_000_000
 _END_WORD = np.uint64(1)
 _WORDS, _RUNS, _SHORT = 0, 1, 2
