@@ -112,14 +112,15 @@ def test_lm_score(spark):
     words = {i: [*SPACED.findall(low(t or "")), None] for i, t in docs}
     c = Counter(w for i, ws in words.items() if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    trie = _whole_trie([t for i, t in docs if not held(i)], 5)
-    for sizes in ({}, {"bucket_bytes": 4000, "shard_bytes": 3000, "asked": 3}):
-        got = {r.doc_id: r for r in lm_score(frame(spark, docs), **sizes).collect()}
+    small = {"bucket_bytes": 4000, "shard_bytes": 3000, "asked": 3}
+    for order, sizes in ((5, {}), (5, small), (6, small), (2, small)):
+        trie = _whole_trie([t for i, t in docs if not held(i)], order)
+        got = {r.doc_id: r for r in lm_score(frame(spark, docs), order=order, **sizes).collect()}
         for i, ws in words.items():
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
-            assert math.isclose(r.score, trie.logs(_runs([docs_by[i]], 5)).sum(), rel_tol=1e-5)
+            assert math.isclose(r.score, trie.logs(_runs([docs_by[i]], order)).sum(), rel_tol=1e-5)
     assert lm_score(frame(spark, docs).limit(0)).count() == 0
     alone = lm_score(frame(spark, [(i, "x y") for i in range(40) if held(i)])).collect()  # no training rows
     assert len(alone) and all((r.n_known, r.train_tokens) == (0, 0) and r.score < 0 for r in alone)
