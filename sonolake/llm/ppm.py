@@ -13,7 +13,8 @@ Texts are read as lower-cased (A-Z) words joined by one blank, with an end symbo
    only, so normalisers after exclusion are stored with each context, and a run costs a few array look-ups.
 4. Buckets add the answers up.
 
-Nothing is left out of the model at any size: it grows with the input, and no task or broadcast holds all of it.
+Nothing is left out of the model at any size: it grows with the input. A task holds one shard of it; from MOST_SHARDS
+shards on, shards grow with the distinct runs and words.
 
 Null text is empty: it scores the end symbol alone. A null id is a training row.
 Repeated rows are scored and counted each.
