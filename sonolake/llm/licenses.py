@@ -4,7 +4,9 @@ Phrases: places where a phrase's words stand consecutively. Texts are lower-case
 becomes two blanks, so every word owns the blank on either side and phrase places are plain
 substrings; word positions are counts of blanks.
 
-Templates: an exact containment join. Blocks (stretches between line ends and . ! ? ;) hold distinct tokens;
+Templates: an exact containment join. Blocks (stretches between blank lines and . ! ? ;) hold distinct tokens; a single
+line end is white space, since license texts are wrapped. A block has at least the tokens of each of its lines, so what
+a cut at every line end (as in the SQL) finds is found as well;
 a block meets a template when it holds at least `threshold` of the template's distinct tokens.
 Tokens are ordered by their frequency over all documents. A block that meets a template of n tokens shares
 a = ceil(threshold * n) of them, so it has one of the template's n - a + 1 rarest (prefix filter), has at
@@ -36,7 +38,7 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCKS = r"[\n.!?;]+"
+_BLOCKS = r"[.!?;]+|\n[ \t\r\x0B\f]*\n"
 
 
 def _blanks(c: Column) -> Column:

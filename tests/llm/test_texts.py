@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,6 +59,18 @@ def test_licenses(spark):
     assert license_scan(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    docs = []
+    for k, (text, width) in enumerate((t, w) for t in (mit, bsd) for w in (30, 72)):
+        for j, (end, mark) in enumerate((("\n", ""), ("\r\n", " * "))):
+            docs.append((10 * k + j, "Copyright 2024" + end * 2 + end.join(mark + x for x in textwrap.wrap(text, width))))
+    docs.append((100, "\n\n".join(textwrap.wrap(mit, 72))))  # paragraphs of their own
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(frame(spark, docs)).collect()}
+    assert got == {i: ("mit" if i < 20 else "bsd", 1.0) if i < 100 else ("", 0.0) for i, _ in docs}
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
