@@ -17,11 +17,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is available and returns what it emitted (an in-memory table of windows)."""
+    """Runs a stream over all that is available and returns what it emitted.
+
+    Appended rows grow with the input and go to a Parquet folder in the shared one. Only the windows of the other modes
+    are an in-memory table of the driver.
+    """
     spark, name = stream.sparkSession, f"replay_{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{base}/{name}-rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{base}/{name}-rows")
+    writer.format("memory").queryName(name).start().awaitTermination()
     return spark.table(name)
 
 

@@ -155,6 +155,12 @@ def test_stream_equals_batch(spark, sf):
     assert hot.replay(hot.unique_events(hot.event_stream(spark, sf)), "append").count() == events.select("event_id").distinct().count()
 
 
+def test_appended_rows_stay_out_of_the_driver(spark, sf):
+    out = hot.replay(hot.unique_events(hot.event_stream(spark, sf)).select("event_id", "user_id", "event_type"), "append")
+    assert out.inputFiles() and out.columns == ["event_id", "user_id", "event_type"]
+    assert hot.replay(hot.unique_events(hot.event_stream(spark, sf)).where("false"), "append").count() == 0
+
+
 def test_ingest_twice_adds_nothing(spark, sf, tmp_path):
     path, rejected = f"{tmp_path}/t", f"{tmp_path}/r"
     for run in ("a", "b"):  # the second run starts over without a checkpoint
