@@ -9,7 +9,7 @@ import pytest
 from sonolake.llm import ngram_join as nj
 from sonolake.llm.embed_dedup import embedding_dedup
 from sonolake.llm.fmindex import FMIndex, WaveletMatrix
-from sonolake.llm.substring import substring_dedup
+from sonolake.llm.substring import _apart, substring_dedup
 from sonolake.llm.trie_join import join
 from sonolake.llm.util import components
 
@@ -58,6 +58,21 @@ def test_substring(spark):
     assert got == substring_rule(docs)
 
 
+@pytest.mark.parametrize("hot", [8, 20_000])
+def test_substring_of_a_stock_sentence(spark, hot):
+    rnd, stock = random.Random(6), " ".join(f"s{i}" for i in range(16))
+    line = lambda k: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(k))
+    docs = awkward() + [(500 + i, f"{line(9)} {stock} {line(9)}") for i in range(80)]
+    docs += [(700 + i, docs[-80 + 3 * i][1] + " " + line(4)) for i in range(20)]
+    got = substring_dedup(frame(spark, docs), hot=hot, bucket_bytes=6000, shard_bytes=3000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == substring_rule(docs)
+
+
+def test_windows_of_a_hot_minimiser_are_dealt_apart():
+    run, window = _apart(np.array([3, 1, 2]), np.array([True, False, False]))
+    assert (run.tolist(), window.tolist()) == ([0, 0, 0, 1, 2], [0, 1, 2, 0, 0])
+
+
 def test_substring_of_nothing(spark):
     assert substring_dedup(frame(spark, awkward()).limit(0)).count() == 0
 
