@@ -2,7 +2,8 @@
 
 Kinds and rules: email; ip (parts at most 255); card (14 to 19 digits passing Luhn); phone (10 to 15
 digits after a plus sign); and, beyond these, iban (mod-97). Matches of one kind are leftmost and do
-not overlap; a match that its validator rejects is dropped without a retry.
+not overlap; a match that its validator rejects is dropped without a retry. An iban pattern may run on into the next words:
+of its beginnings that end at a blank the longest that its validator confirms counts, and the search goes on behind it.
 Offsets are code points, ends exclusive. Each text is handled alone in one pass without a shuffle.
 Null text is empty.
 """
@@ -73,6 +74,19 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost spans that pass mod-97: of a match, or its longest beginning that ends at a blank and passes."""
+    found, m = [], _IBAN.search(text)
+    while m:
+        end = m.end()
+        while end > m.start() and not mod97(text[m.start() : end]):
+            end = text.rfind(" ", m.start(), end)
+        if end > m.start():
+            found.append((m.start(), end))
+        m = _IBAN.search(text, end if end > m.start() else m.start() + 1)
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the confirmed spans, in order of start and kind."""
     found = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
@@ -87,7 +101,7 @@ def find(text: str) -> list[tuple[int, int, int]]:
             for m in _PHONE.finditer(text):
                 if 10 <= len(_NOT_DIGIT.sub("", m.group())) <= 15:
                     found.append((m.start(), 3, m.end()))
-        found += [(m.start(), 4, m.end()) for m in _IBAN.finditer(text) if mod97(m.group())]
+        found += [(s, 4, e) for s, e in ibans(text)]
         found.sort()
     return found
 

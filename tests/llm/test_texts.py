@@ -98,6 +98,15 @@ def test_pii_iban_context_and_mask(spark):
     assert got[2].spans == [] and got[3].spans == []
 
 
+def test_ibans_among_other_words():
+    de, gb, be, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "NO93 8601 1117 947"
+    for text, want in (
+        (f"{de} BIC COBADEFFXXX", [de]), (f"{gb} AND go", [gb]), ("DE89370400440532013000 2024", ["DE89370400440532013000"]),
+        (f"{be} {no}", [be, no]), (f"AB12 CDEF GHIJ {de}", [de]), (f"x{de}", []), ("GB83 WEST 1234 5698 7654 32 AND", []),
+    ):
+        assert [text[s:e] for s, e in pii.ibans(text)] == want, text
+
+
 def _runs(texts, order):
     import pyarrow as pa
 
