@@ -6,9 +6,11 @@ once: its words become symbols of the benchmark's own vocabulary (any other word
 run), and the automaton runs over the symbol runs. Word positions map back to
 character offsets of the original text.
 
-The benchmark is a stated query set: it is collected, checked against `most_bytes`, and broadcast. A larger one
-is cut into several automata of that size, which each task uses one after another.
-Null or wordless texts and items hit nothing. Items with equal ids count once.
+The benchmark is a stated query set: it is collected and broadcast whole. `most_bytes` bounds the text of one automaton,
+not their sum: a larger benchmark becomes several automata, all of which the driver builds and each task holds at once,
+so memory grows with the benchmark.
+Null or wordless texts and items hit nothing. Items with equal ids count once; those without an id count as one, which is
+a null at the end of the items hit.
 """
 
 from __future__ import annotations
@@ -87,7 +89,7 @@ def scan(windows: Windows, automaton, w: K.Words, h: np.ndarray, covered: np.nda
 
 
 def _automata(benchmark: DataFrame, id_col: str, text_col: str, length: int, most_bytes: int) -> list[Windows]:
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
     groups, room = [[]], most_bytes
     for r in items.toLocalIterator():
         if len(r.t) > room and groups[-1]:
@@ -121,7 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 total = np.concatenate([[0], np.cumsum(hit)])
                 items, spans = [[]] * (j - i), [[]] * (j - i)
                 for d, hits in found.items():
-                    items[d] = sorted(hits)
+                    items[d] = sorted(hits - {None}) + [None] * (None in hits)
                     spans[d] = _original(w, hit, d, data)
                 yield pa.RecordBatch.from_arrays(
                     [*(c[i:j] for c in (batch.columns if keep else batch.columns[:1])), pa.array(w.counts.astype(np.int64)), pa.array(total[w.at[1:]] - total[w.at[:-1]]), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS)],

@@ -44,6 +44,27 @@ def test_decontaminate(spark):
     assert decontaminate(frame(spark, docs), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_items_without_an_id_hit(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four"), (7, "two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x One two three"), (2, "four four"), (3, "two three"), (4, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == {1: (3, ["7", None]), 2: (2, [None]), 3: (2, ["7"]), 4: (0, [])}
+
+
+def test_op3_equals_its_sql_with_items_without_an_id(spark, tmp_path):
+    import duckdb
+
+    from sonolake.llm.sql import ORACLE
+
+    spark.createDataFrame([(None, "one two three"), (None, "four"), (7, "two three")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x One two three"), (2, "four four"), (3, "two three"), (4, "x")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = QUERIES["op3_decontaminate"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"select {', '.join(got.columns)} from ({ORACLE['op3_decontaminate']})").fetchall())
+
+
 def test_licenses(spark):
     docs = awkward() + [(900, "cc by nc cc by-nc CC/BY nc!"), (901, "  Under the MIT license"), (902, "xx under the mit license."), (903, "éunder the mit license"), (904, "apache license version 2 under the mit licenses under the mit license"), (905, "This work is licensed under the GNU General Public License, version 3.")]
     got = {r.doc_id: r for r in license_scan(frame(spark, docs)).collect()}
