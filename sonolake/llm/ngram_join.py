@@ -12,11 +12,15 @@
 3. Signatures meet in shards. Each task links its own holders of a signature to the smallest, so a shard gets
    one holder for each task, however large a group is. The links' components are the candidate groups.
 4. Groups are joined exactly with prefix trees. A large group, by sets or by n-grams, is cut into chunks by salt, and
-   each pair of chunks is one piece of work, so no task holds a whole group.
+   each pair of chunks is one piece of work, so no task holds a whole group. Chunks are as large as a shard's share, so
+   that pieces are even; from CHUNKS chunks on they grow up to CHUNK_TOKENS n-grams, so that a text is dealt
+   CHUNKS times or as its n-grams demand.
 5. Verified links give the components; links of copies are counted by class sizes.
 
 Null or wordless texts have empty sets and link with nothing. Shorter texts are one n-gram. A null id links with
-nothing. Rows with equal ids count as one document (of the smaller set hash when they differ) in links.
+nothing. Rows with equal ids are one document: repeated rows count once in links, and where such rows differ in text,
+each row has the links of its own text, and all of them the one component that any of them reaches. Very long texts are
+sets like any other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +42,8 @@ RATIO = 1.2
 SPARE, THIN = 4, 2
 FULL = 16  # parts hold FULL / 2 n-grams or more: SPARE and THIN apply
 SMALL = 60  # classes up to this size have few parts, none of them thin; all are sent
-CHUNK = 1200  # sets of a chunk
-CHUNK_TOKENS = 1_000_000  # n-grams of a chunk, on average over its group
+CHUNK, CHUNKS = 250, 64  # sets of a chunk; chunks of a group, unless its n-grams demand more
+CHUNK_TOKENS = 500_000  # n-grams of a chunk, on average over its group
 SHARD_BYTES = 32 << 20
 _U64 = np.uint64
 
@@ -60,6 +64,16 @@ def sets(w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return key, np.bincount(doc, minlength=len(w.counts))
 
 
+def names(key: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two hashes of each whole set (0 for an empty one)."""
+    out, some = np.zeros((2, len(sizes)), _U64), np.flatnonzero(sizes)
+    at = (np.cumsum(sizes) - sizes)[some]
+    for k, salt in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
+        if len(some):
+            out[k, some] = K.mix(np.add.reduceat(K.mix(key ^ _U64(salt)), at) + sizes[some].astype(_U64))
+    return out
+
+
 def _class(n: int) -> int:
     return int(math.log(n) / math.log(RATIO) + 1e-9)
 
@@ -103,11 +117,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, j, offsets, data in K.blocks(b):
                 key, sizes = sets(K.Words(offsets, data, lower=True), n)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                some = np.flatnonzero(sizes)
-                name = np.zeros((2, j - i), _U64)
-                for k, salt in enumerate((0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)):
-                    if len(key):
-                        name[k, some] = K.mix(np.add.reduceat(K.mix(key ^ _U64(salt)), at[some]) + sizes[some].astype(_U64))
+                name = names(key, sizes)
                 sigs = [signatures(key[at[d] : at[d + 1]], num, den) if sizes[d] else key[:0] for d in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j], pa.array(sizes.astype(np.int64)), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)),
@@ -117,8 +127,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     known = cut(rows.mapInArrow(describe, "doc_id long, n_shingles long, name long, name2 long, sigs array<long>"))
     some = known.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("name", "name2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")))
-    holders = some.join(classes, ["name", "name2"]).where("doc_id = rep").select("rep", "sigs").dropDuplicates(["rep"])
+    members = some.select("doc_id", "name", "name2", "n_shingles").distinct()
+    classes = cut(members.groupBy("name", "name2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")))
+    holders = some.join(classes, ["name", "name2"]).where("doc_id = rep").select("name", "name2", "rep", "sigs").dropDuplicates(["name", "name2"]).select("rep", "sigs")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,20 +153,22 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = _chunked(groups, rows, classes)
 
     def verify(t: pa.Table) -> pa.Table:
-        task = np.array(t.column("task").to_pylist(), object)
-        ids, copies, side = (t.column(c).to_numpy() for c in ("rep", "copies", "side"))
-        cross = t.column("cross").to_numpy()
-        order = np.argsort(task, kind="stable")
-        out: list[list[np.ndarray]] = [[], [], []]
+        component, lo, hi, ids, name, copies, side = (t.column(c).to_numpy() for c in ("component", "lo", "hi", "rep", "name", "copies", "side"))
         texts = t.column("text").combine_chunks()
         if isinstance(texts, pa.ChunkedArray):
             texts = pa.concat_arrays(texts.chunks)
-        ends = np.flatnonzero(np.concatenate([task[order][1:] != task[order][:-1], [True]])) + 1
-        for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            at = order[lo:hi]
+        order = np.lexsort((name, hi, lo, component))
+        new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (component, lo, hi)], axis=0)])
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at in np.split(order, np.flatnonzero(new)[1:]):
             key, sizes = _sets_of(texts.take(pa.array(at)), n)
+            # the text of this class, once: ids may come with other texts and in several rows
+            mine = np.flatnonzero((names(key, sizes)[0].view(np.int64) == name[at]) & np.concatenate([[True], name[at][1:] != name[at][:-1]]))
             own = np.split(key, np.cumsum(sizes)[:-1])
-            both = cross[at[0]]  # two chunks, of which one may be empty: links inside a chunk belong to its own piece of work
+            own, at = [own[k] for k in mine], at[mine]
+            if not len(at):
+                continue
+            both = lo[at[0]] != hi[at[0]]  # two chunks, of which one may be empty: links inside a chunk belong to its own piece of work
             links, label = np.zeros(len(at), np.int64), np.arange(len(at))
             for i, j in join(own, num, den):
                 if both:
@@ -165,14 +178,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(j):
                     _unite(label, i, j)
             root = np.array([_root(label, k) for k in range(len(at))], np.int64)
-            for x, y in zip(out, (ids[at], ids[at[root]], links), strict=True):
+            for x, y in zip(out, (ids[at], ids[at[root]], name[at], links), strict=True):
                 x.append(y[links > 0])
-        return pa.table({c: pa.array(np.concatenate(x).astype(np.int64)) for c, x in zip(("a", "b", "links"), out, strict=True)})
-
-    found = cut(work.groupBy("shard").applyInArrow(verify, "a long, b long, links long"))
-    joined = components(found.select("a", "b"))
-    linked = joined.join(found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
-    of = classes.join(linked, classes.rep == linked.node, "left").select("name", "name2", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+        return pa.table({c: pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for c, x in zip(("a", "b", "name", "links"), out, strict=True)})
+
+    found = cut(work.groupBy("shard").applyInArrow(verify, "a long, b long, name long, links long"))
+    # ids with different texts tie their classes together
+    several = members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    ties = members.join(several, "doc_id").join(classes, ["name", "name2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    joined = components(found.select("a", "b").union(ties))
+    links = found.groupBy(F.col("a").alias("rep"), "name").agg(F.sum("links").alias("links"))
+    of = classes.join(joined, classes.rep == joined.node, "left").join(links, ["rep", "name"], "left")
+    of = of.select("name", "name2", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     mine = known.drop("sigs").join(of, ["name", "name2"], "left")
     real = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return mine.select(
@@ -200,17 +217,17 @@ def _unite(label: np.ndarray, i: int, others: np.ndarray) -> None:
 
 
 def _chunked(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates with their texts, dealt to pieces of work: task (text), shard, side, cross (of two chunks), rep, copies, text."""
-    held = groups.join(classes.select(F.col("rep").alias("node"), "copies", "size"), "node")
-    large = held.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_TOKENS)).alias("chunks"))
+    """Candidates with their texts, dealt to pieces of work: shard, component, lo, hi (chunks), side, rep, name, copies, text."""
+    held = groups.join(classes.select(F.col("rep").alias("node"), "name", "copies", "size"), "node")
+    by_sets = F.least(F.count(F.lit(1)) / CHUNK, F.lit(float(CHUNKS)))
+    large = held.groupBy("component").agg(F.ceil(F.greatest(by_sets, F.sum("size") / CHUNK_TOKENS)).alias("chunks"))
     sized = held.drop("size").join(large, "component")
     # each set is dealt once for each chunk of its group, and shards hold as many dealt sets at every size
-    n_shards = parts(int(sized.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n")).first()["n"]), CHUNK // 4)
+    n_shards = parts(int(sized.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n")).first()["n"]), CHUNK)
     # a merge join at every size: the candidates grow with the input, so they are never broadcast
     texts = sized.join(rows.where("doc_id is not null and text is not null").hint("merge"), sized.node == rows.doc_id).drop("doc_id")
-    salted = texts.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    # chunk c meets every chunk from itself on: it takes part in the tasks (min, max) of all pairs that name it
+    salted = texts.withColumn("side", F.pmod(F.xxhash64("node", "name"), F.col("chunks")))
+    # chunk c meets every chunk from itself on: it takes part in the pieces (lo, hi) of all pairs that name it
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-    task = F.concat_ws("/", F.col("component"), lo, hi)
-    return dealt.select(task.alias("task"), F.pmod(F.xxhash64(task), F.lit(n_shards)).alias("shard"), F.col("mine").alias("side"), (lo != hi).alias("cross"), F.col("node").alias("rep"), "copies", "text")
+    dealt = dealt.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return dealt.select(F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(n_shards)).alias("shard"), "component", "lo", "hi", "side", F.col("node").alias("rep"), "name", "copies", "text")
