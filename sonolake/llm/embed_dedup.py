@@ -1,10 +1,12 @@
 """Near-duplicate vectors by PCA-ordered tiled comparison.
 
-1. Vectors are normalised in double precision; equal vectors form one class (partial aggregation).
+1. Equal vectors, by two 64-bit hashes of their values, form one class (partial aggregation); the others are normalised
+   in double precision.
 2. The second-moment matrix (dimensions squared, whatever the input) is summed over all vectors, and its
    eigenvectors, largest first, give the order of dimensions.
 3. Vectors are dealt to tiles by their first principal coordinate, with quantile bounds. Unit vectors at cosine c are
-   at most sqrt(2 - 2c) apart, so tiles whose ranges are further apart are never compared.
+   at most sqrt(2 - 2c) apart, so tiles whose ranges are further apart are never compared. A tile is one row, which
+   an explode sends to its pairs one by one.
 4. A pair of tiles is compared block by block: leading dimensions first; the product of the suffix norms
    bounds what is left, and a pair is dropped as soon as it cannot reach the threshold. While many pairs are
    alive the next dimensions come as a matrix product, then only the living pairs go on.
@@ -12,8 +14,10 @@
 5. Each piece of work returns link counts and a spanning forest, never all pairs; the forests' components are
    the groups.
 
-Null, zero and non-finite vectors, null components and vectors of another length than most link with nothing.
-Rows with a null id link with nothing. Repeated ids count as separate vectors in n_links.
+Vectors of different lengths have no cosine: each length that occurs more than once is compared by itself.
+Null, empty, zero and non-finite vectors, vectors with null components and rows with a null id link with nothing.
+Repeated rows count as separate vectors in n_links. Very long vectors get tiles of fewer vectors; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from .util import components, cut, parts
 
 THRESHOLD = 0.9
 TILE, BLOCK = 4096, 512
+TILE_BYTES = 8 << 20  # of a tile's values; longer vectors have tiles of fewer
 _STEPS = (8, 16, 32)
 
 
@@ -58,20 +63,26 @@ def near_pairs(a: np.ndarray, b: np.ndarray, ra: np.ndarray, rb: np.ndarray, lea
     return i[exact], j[exact]
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = THRESHOLD, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    usual = rows.where(sound).groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return alone
-    d = usual.d
-    good = F.coalesce(sound & (F.size("v") == d), F.lit(False))
-    # + 0.0 makes -0.0 and 0.0 equal; equal values have equal hashes, and values decide
-    mine = rows.where(good).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    classes = cut(mine.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    lengths = rows.where(sound).groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    out, compared = None, []
+    for r in lengths.toLocalIterator():  # one comparison for each length that occurs more than once
+        part = _of_one_length(rows.where(sound & (F.size("v") == r.d)), r.d, least, max(BLOCK // 2, min(tile, tile_bytes // (8 * r.d))) if tile > BLOCK else tile)
+        out, compared = part if out is None else out.union(part), [*compared, r.d]
+    alone = rows.where(~(sound & F.size("v").isin(compared))) if compared else rows
+    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return alone if out is None else out.union(alone)
+
+
+def _of_one_length(rows: DataFrame, d: int, least: float, tile: int) -> DataFrame:
+    """The result for sound vectors of d components."""
+    # + 0.0 makes -0.0 and 0.0 equal; two hashes of a vector stand for it, so that it travels once for each class
+    valued = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumns({f"h{k}": F.xxhash64(F.lit(k), "v") for k in (1, 2)})
+    classes = cut(valued.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
     n_tiles = parts(classes.count(), tile)
 
     def unit(b: pa.RecordBatch) -> np.ndarray:
@@ -97,34 +108,30 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             lists = K.list_array(x.ravel(), np.arange(len(x) + 1) * d, pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("copies"), pa.array(x @ turn[:, 0]), lists], names=["rep", "copies", "x", "v"])
 
-    placed = cut(classes.mapInArrow(project, "rep long, copies long, x double, v array<double>"))
+    placed = cut(classes.select("rep", "copies", "v").mapInArrow(project, "rep long, copies long, x double, v array<double>"))
     bounds = np.array(placed.approxQuantile("x", [k / n_tiles for k in range(1, n_tiles)], 0.1 / n_tiles) if n_tiles > 1 else [])
     width = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    # vectors of one coordinate share a range; a salt keeps their tiles small
+    # tile t lies between bounds t - 1 and t, so the tiles within `width` of it are those from first[t] to last[t]
+    lows, highs = np.concatenate([[-np.inf], bounds]), np.concatenate([bounds, [np.inf]])
+    first, last = np.searchsorted(highs, lows - width, "left"), np.searchsorted(lows, highs + width, "right") - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors of one coordinate share a range; a salt keeps their tiles small."""
         for b in batches:
             x, rep = b.column("x").to_numpy(), b.column("rep").to_numpy().astype(np.uint64)
             lo, hi = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
             t = lo + (K.mix(rep) % (hi - lo + 1).astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(t), b.column("rep"), b.column("copies"), b.column("v")], names=["tile", "rep", "copies", "v"])
-
-    def partners(t: int) -> np.ndarray:
-        """Tiles from t on that reach within `width` of tile t."""
-        end = bounds[t] if t < len(bounds) else np.inf
-        return np.arange(t, np.searchsorted(bounds, end + width, "right") + 1)
-
-    def bundle(t: pa.Table) -> pa.Table:
-        """The tile once for each pair of tiles it is in."""
-        own = t.column("tile")[0].as_py()
-        pairs = [(own, p) for p in partners(own).tolist()] + [(q, own) for q in range(own) if own in partners(q)]
-        rep, copies = t.column("rep").to_numpy(), t.column("copies").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(t), b.column("rep"), b.column("copies"), b.column("v")], names=["own", "rep", "copies", "v"])
+
+    def gathered(t: pa.Table) -> pa.Table:
+        """A tile as one row, with the range of its partners."""
+        own = t.column("own")[0].as_py()
+        one = lambda c: pa.array([t.column(c).to_numpy().tolist()], pa.list_(pa.int64()))
         v = K.flat(t.column("v"), np.float64)[0].tobytes()
-        wide = lambda x: pa.array([x.tolist()] * len(pairs), pa.list_(pa.int64()))
-        return pa.table({"a": pa.array([p for p, _ in pairs]), "b": pa.array([q for _, q in pairs]), "own": pa.array([own] * len(pairs)), "rep": wide(rep), "copies": wide(copies), "v": pa.array([v] * len(pairs), pa.binary())})
+        return pa.table({"own": pa.array([own]), "first": pa.array([int(first[own])]), "last": pa.array([int(last[own])]), "rep": one("rep"), "copies": one("copies"), "v": pa.array([v], pa.binary())})
 
     def compare(t: pa.Table) -> pa.Table:
-        sides = sorted(zip(t.column("own").to_pylist(), t.column("rep").to_pylist(), t.column("copies").to_pylist(), t.column("v").to_pylist(), strict=True), key=lambda s: s[0])
+        sides = sorted(zip(*(t.column(c).to_pylist() for c in ("own", "rep", "copies", "v")), strict=True), key=lambda s: s[0])
         same = t.column("a")[0].as_py() == t.column("b")[0].as_py()
         if not same and len(sides) < 2:
             sides = []
@@ -132,11 +139,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         copies = np.concatenate([np.array(s[2]) for s in sides]).astype(np.int64) if sides else reps
         x = np.concatenate([np.frombuffer(s[3]).reshape(-1, d) for s in sides]) if sides else np.zeros((0, d))
         r = x @ turn
-        first = len(sides[0][1]) if sides else 0
+        lead = len(sides[0][1]) if sides else 0
         links, label = np.zeros(len(x), np.int64), np.arange(len(x))
-        for p in range(0, first, BLOCK):
-            end = min(p + BLOCK, first)
-            for q in range(p if same else first, len(x), BLOCK):
+        for p in range(0, lead, BLOCK):
+            end = min(p + BLOCK, lead)
+            for q in range(p if same else lead, len(x), BLOCK):
                 stop = min(q + BLOCK, len(x))
                 i, j = near_pairs(x[p:end], x[q:stop], r[p:end], r[q:stop], least)
                 i, j = i + p, j + q
@@ -149,9 +156,12 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         some = np.flatnonzero(links)
         return pa.table({"a": pa.array(reps[some]), "b": pa.array(reps[label[some]]), "links": pa.array(links[some])})
 
-    tiles = placed.mapInArrow(deal, "tile long, rep long, copies long, v array<double>").groupBy("tile").applyInArrow(bundle, "a long, b long, own long, rep array<long>, copies array<long>, v binary")
-    found = cut(tiles.groupBy("a", "b").applyInArrow(compare, "a long, b long, links long"))
+    tiles = placed.mapInArrow(deal, "own long, rep long, copies long, v array<double>").groupBy("own").applyInArrow(gathered, "own long, first long, last long, rep array<long>, copies array<long>, v binary")
+    # the tile once for each pair of tiles it is in, one after another
+    paired = tiles.withColumn("other", F.explode(F.sequence("first", "last"))).select(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "copies", "v")
+    found = cut(paired.groupBy("a", "b").applyInArrow(compare, "a long, b long, links long"))
+    # a repeated id with different values may stand for several classes: its links add up
     groups = components(found.select("a", "b")).join(found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
-    of = classes.join(groups, classes.rep == groups.node, "left").select("v", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    linked = mine.join(of, "v").select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    return linked.union(rows.where(~good).select("vec_id", F.lit(0).cast("long"), F.col("vec_id") + F.lit(0).cast("long"), F.lit(True)))
+    of = classes.drop("v").join(groups, F.col("rep") == F.col("node"), "left").select("h1", "h2", "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    mine = valued.select("vec_id", "h1", "h2").join(of, ["h1", "h2"])
+    return mine.select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
