@@ -104,6 +104,34 @@ def test_ngram_join_of_other_lengths_and_thresholds(spark, monkeypatch, tokens):
         assert got == near_rule(docs, n, num)
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    t, near, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "tto")
+    near += " end"
+    rows = spark.createDataFrame([(1, t), (1, t), (2, near), (3, other), (1, other), (5, other), (5, "v w x y z"), (6, "v w x y z"), (None, t)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.n_links) for r in nj.ngram_join(rows).collect())
+    assert got == [(0, 58, 0, 0), (1, 58, 1, 1), (1, 58, 1, 1), (1, 58, 1, 2), (2, 59, 1, 1), (3, 58, 1, 2), (5, 3, 1, 1), (5, 58, 1, 2), (6, 3, 1, 1)]
+
+
+def test_pieces_of_a_large_group_are_even(spark):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(80)]
+    docs = [(i, " ".join(x if rnd.random() > 0.004 else f"y{rnd.randrange(10**6)}" for x in base)) for i in range(1500)]
+    seen = {}
+    chunked = nj._chunked
+
+    def watched(*args):
+        work = chunked(*args)
+        seen["rows"] = [r["count"] for r in work.groupBy("component", "lo", "hi").count().collect()]
+        return work
+
+    nj._chunked = watched
+    try:
+        got = nj.ngram_join(frame(spark, docs)).where("n_links > 0").count()
+    finally:
+        nj._chunked = chunked
+    assert got > 1200 and max(seen["rows"]) < 2.6 * nj.CHUNK
+
+
 def test_ngram_join_of_nothing(spark):
     assert nj.ngram_join(frame(spark, awkward()).limit(0)).count() == 0
 
@@ -162,3 +190,9 @@ def test_embeddings(spark, tile):
     want = {i: (int(near[k].sum()), int(label[k]), bool(label[k] == i)) for k, i in enumerate(ids)}
     assert got == want | {i: (0, i, True) for i, _ in bad}
     assert embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_embeddings_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [1.0, 0.0, 0.0], 0), (4, [2.0, 0.0, 0.0], 0), (4, [2.0, 0.0, 0.0], 0), (5, [1.0], 0), (None, [1.0, 0.0], 0), (6, [], 0), (7, [-0.0, 1.0], 0), (8, [0.0, 1.0], 0)]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, own long")).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (4, 2, 3), (5, 0, 5), (6, 0, 6), (7, 1, 7), (8, 1, 7)]

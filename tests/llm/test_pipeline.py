@@ -9,7 +9,7 @@ from .test_pairs import near_rule
 
 def test_stages_and_columns(spark):
     docs = frame(spark, awkward()).drop("bucket", "n_words", "spans")
-    gone = {i for i, (_, c, _) in near_rule(awkward()).items() if c != i}
+    gone = {i for i, (_, c, _) in near_rule(awkward(), 5, 80).items() if c != i}
     kept = P.near_duplicate_stage(spark, docs, "")
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in awkward()} - gone
     clash = frame(spark, awkward())
