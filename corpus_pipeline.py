@@ -39,9 +39,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (3-word shingles, Jaccard >= 0.9)."""
+    """One document, that of the smallest id, of each group of near copies (5-word shingles, Jaccard >= 0.8)."""
     ship(spark)
-    gone = ngram_join(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = ngram_join(docs, n=5, num=80).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
