@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sonolake.llm import packing, pii
-from sonolake.llm.decontaminate import decontaminate
+from sonolake.llm.decontaminate import MOST_BYTES, _parts, decontaminate
 from sonolake.llm.licenses import PHRASES, license_scan
 from sonolake.llm.ppm import lm_score
 from sonolake.llm.quality import quality
@@ -30,7 +30,7 @@ def test_decontaminate(spark):
         w = ALNUM.findall(low(t or ""))
         for k in range(max(len(w) - 9, 1 if w else 0)):
             windows[tuple(w[k : k + 10])].add(str(i))
-    for most in (8 << 20, 30):
+    for most in (MOST_BYTES, 400):
         got = {r.doc_id: r for r in decontaminate(frame(spark, docs), bench, most_bytes=most).collect()}
         for i, t in docs:
             w, hit, names = ALNUM.findall(low(t or "")), set(), set()
@@ -44,6 +44,25 @@ def test_decontaminate(spark):
     assert decontaminate(frame(spark, docs), bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_more_distinct_words_than_symbols(spark):
+    assert list(_parts("a b cc dd ee ff g", 2, 5)) == ["a b", "b cc", "cc dd", "dd ee", "ee ff", "ff g"]
+    own = [p.split() for p in _parts(" ".join(map(str, range(1_150_000))), 10, MOST_BYTES)]
+    assert all(len(p) < 0x110000 - 0x10000 for p in own) and own[0][0] == "0" and own[-1][-1] == "1149999"
+    assert all(int(q[0]) == int(p[-1]) - 8 for p, q in zip(own, own[1:]))
+    docs = spark.createDataFrame([(1, " ".join(map(str, range(2_000, 2_012)))), (2, "0 1 2 3 4 5 6 7 8 9 x"), (3, "1 3 5"), (4, None), (5, "")], "doc_id long, text string").coalesce(1)
+    item = spark.createDataFrame([(1, " ".join(map(str, range(3_000))))], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate(docs, item, most_bytes=5000).collect()}
+    assert got == {1: (12, 12, ["1"]), 2: (11, 10, ["1"]), 3: (3, 0, []), 4: (0, 0, []), 5: (0, 0, [])}
+
+
+def test_decontaminate_keeps_columns_of_any_name(spark):
+    docs = frame(spark, awkward()).coalesce(1).withColumns({"_hits_so_far": F.lit(1), "items": F.lit("x")})
+    out = decontaminate(docs, spark.createDataFrame([(1, "one two"), (2, "zz")], "item_id long, text string"), most_bytes=8, keep=True)
+    assert set(out.columns) == {*docs.columns, "n_hit"} and out.where("_hits_so_far = 1").count() == docs.count()
+    assert out.where("n_hit > 0").count() == sum("one two" in low(t or "") for _, t in awkward())
+    assert decontaminate(docs.limit(0), docs.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == 0
+
+
 def test_items_without_an_id_hit(spark):
     bench = spark.createDataFrame([(None, "one two three"), (None, "four"), (7, "two three")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x One two three"), (2, "four four"), (3, "two three"), (4, "x")], "doc_id long, text string")
