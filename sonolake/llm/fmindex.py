@@ -19,7 +19,7 @@ class BitVector:
         padded = np.zeros((n // 64 + 1) * 64, np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view(U64)
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)]).astype(np.int32)
         self.ones = int(self.before[-1])
 
     def rank(self, i: np.ndarray) -> np.ndarray:
@@ -64,25 +64,26 @@ def _dense(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class FMIndex:
     """Index over pieces (a flat array of 64-bit tokens cut at `lengths`), for statistics up to `depth` tokens.
 
+    What is kept is compressed: the BWT as packed bits of a wavelet matrix, the bounds of runs of suffixes as packed bits,
+    the start and the smallest weight of each run, and the streamed text in 32-bit symbols. The suffix array and all
+    else that sorting needs goes once the index is built.
+
     statistics(): streams pieces from right to left, all of them side by side. Each step
     widens the interval of a match of full depth to that of its first depth - 1 tokens
-    (the parent in the suffix tree, kept as run boundaries) and extends it backwards by
-    one token with two ranks in the wavelet matrix.
+    (the parent in the suffix tree) and extends it backwards by one token with two ranks in the wavelet matrix.
     """
 
-    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, depth: int):
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, depth: int, weights: np.ndarray):
+        """weights: one for each piece; a run of suffixes keeps the smallest."""
         self.depth = depth
-        self.alphabet = np.unique(tokens)
+        alphabet = np.unique(tokens)
         pieces = len(lengths)
         n = len(tokens) + pieces
-        text = np.zeros(n + 1, np.int64)  # 0 ends the text, 1 ends a piece
-        at = np.arange(len(tokens)) + np.repeat(np.arange(pieces), lengths)
-        text[:n] = 1
-        text[at] = np.searchsorted(self.alphabet, tokens) + 2
+        text = np.ones(n + 1, np.int64)  # 0 ends the text, 1 ends a piece
+        text[np.arange(len(tokens)) + np.repeat(np.arange(pieces), lengths)] = np.searchsorted(alphabet, tokens) + 2
         text[n] = 0
-        self.text, self.first = text, np.cumsum(lengths + 1) - (lengths + 1)
-        self.owner = np.concatenate([np.repeat(np.arange(pieces), lengths + 1), [pieces]])
-        size = n + 1
+        self.text, self.first = text.astype(np.int32), np.cumsum(lengths + 1) - (lengths + 1)
+        self.size = size = n + 1
         rank, known = _dense(text)[1], 1
         while known < depth:
             step = min(known, depth - known)
@@ -90,47 +91,35 @@ class FMIndex:
             ahead[: size - step] = rank[step:] + 1
             order, new = _dense(rank * (size + 1) + ahead)
             half, rank, known = rank, new, known + step
-        self.suffixes = order
-        s = np.concatenate([order, [size]])
         # runs that share the first depth - 1 tokens: equal in two overlapping halves
         back = depth - 1 - (depth - step)
         a, b = half[order], np.zeros(size, np.int64)
         inside = order + back < size
         b[inside] = half[order[inside] + back] + 1
         fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        self.parent_lo, self.parent_hi = self._runs(fresh)
+        self.parents, self.parent_at = BitVector(fresh), np.append(np.flatnonzero(fresh), size).astype(np.int32)
         deep = rank[order]
-        self.fresh = np.concatenate([[True], deep[1:] != deep[:-1]])
-        bwt = text[s[:-1] - 1]
-        symbols = len(self.alphabet) + 2
+        fresh = np.concatenate([[True], deep[1:] != deep[:-1]])
+        owner = np.append(np.repeat(weights, lengths + 1), np.iinfo(np.int64).max)
+        self.runs, self.least = BitVector(fresh), np.minimum.reduceat(owner[order], np.flatnonzero(fresh))
+        symbols = len(alphabet) + 2
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-        self.wavelet = WaveletMatrix(bwt, symbols)
-        self.size = size
-
-    @staticmethod
-    def _runs(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(fresh)
-        run = np.cumsum(fresh) - 1
-        return starts[run], np.append(starts[1:], len(fresh))[run]
+        self.wavelet = WaveletMatrix(text[order - 1], symbols)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward step: intervals of symbol + match."""
         below, upto = self.wavelet.rank(symbol, lo, hi)
         return self.smaller[symbol] + below, self.smaller[symbol] + upto
 
-    def statistics(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
         """For each piece's window of `depth` tokens, the smallest weight of a piece that has it.
 
-        weights: one for each piece. Returns (windows of each piece, flat minima).
+        Returns (windows of each piece, flat minima).
         """
         lengths = np.diff(np.append(self.first, self.size - 1)) - 1
         windows = np.maximum(lengths - self.depth + 1, 0)
         out_at = np.cumsum(windows) - windows
         out = np.zeros(int(windows.sum()), np.int64)
-        runs = np.flatnonzero(self.fresh)
-        each = np.append(weights, np.iinfo(np.int64).max)[self.owner[self.suffixes]]
-        least = np.minimum.reduceat(each, runs)
-        run_of = np.cumsum(self.fresh) - 1
         order = np.argsort(-lengths, kind="stable")
         live_until = lengths[order]
         lo, hi = np.zeros(len(order), np.int64), np.full(len(order), self.size, np.int64)
@@ -140,9 +129,10 @@ class FMIndex:
             position = lengths[p] - 1 - step
             a, b = lo[:live], hi[:live]
             if step >= self.depth:  # matches have full depth: drop the last token
-                a, b = self.parent_lo[a], self.parent_hi[a]
-            a, b = self.extend(self.text[self.first[p] + position], a, b)
+                run = self.parents.rank(a + 1)
+                a, b = self.parent_at[run - 1].astype(np.int64), self.parent_at[run].astype(np.int64)
+            a, b = self.extend(self.text[self.first[p] + position].astype(np.int64), a, b)
             lo[:live], hi[:live] = a, b
             if step >= self.depth - 1:
-                out[out_at[p] + position] = least[run_of[a]]
+                out[out_at[p] + position] = self.least[self.runs.rank(a + 1) - 1]
         return windows, out

@@ -99,8 +99,15 @@ def _rows(schema: list[str], columns: list) -> pa.Table:
     return pa.table(dict(zip(schema, columns, strict=True)))
 
 
-def _table(names: list[str], bucket: int, shard: np.ndarray, n: int, *columns: np.ndarray) -> pa.Table:
-    there, lists = K.by_shard(shard, n, *columns)
+def _ends(there: np.ndarray, shard: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Offsets of the lists of the shards `there`, of which shard[i] gets sizes[i] values more."""
+    total = np.zeros(len(there) + 1, np.int64)
+    np.add.at(total, np.searchsorted(there, shard) + 1, sizes)
+    return np.cumsum(total)
+
+
+def _table(names: list[str], bucket: int, shard: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    there, lists = K.by_shard(shard, *columns)
     return _rows(names, [pa.array(np.full(len(there), bucket)), pa.array(there.astype(np.int64)), *lists])
 
 
@@ -114,8 +121,8 @@ _TEXTS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("run", _L),
 _HITS = "bucket long, run array<long>, size array<long>, least array<long>"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_RUNS, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept_text: see the module."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_RUNS, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, texts: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: see the module."""
     _, size = text_size(docs, text_col)
     n_buckets, n_shards = parts(size, bucket_bytes), parts(size, shard_bytes)
     rows = docs.select(
@@ -132,7 +139,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         key, lo, hi, run, of = (np.concatenate(x) for x in zip(*found, strict=True))
         key, lo, hi, _ = _least_by(key, lo, hi)
         runs = np.bincount(np.searchsorted(key, of[np.unique(run, return_index=True)[1]]), minlength=len(key))
-        return _table(_KEYS.names, bucket, (key % np.uint64(n_shards)).astype(np.int64), n_shards, key, lo, hi, runs)
+        return _table(_KEYS.names, bucket, (key % np.uint64(n_shards)).astype(np.int64), key, lo, hi, runs)
 
     def repeated(t: pa.Table) -> pa.Table:
         key, sizes = K.flat(t.column("key"))
@@ -145,11 +152,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         runs = np.zeros(len(least), np.int64)
         np.add.at(runs, back, K.flat(t.column("runs"))[0])
         often = (least < most)[back]
-        there, lists = K.by_shard(bucket[often], n_buckets, key[often])
+        there, lists = K.by_shard(bucket[often], key[often])
         marked = often & (runs > hot)[back]
         own = key[marked][np.argsort(bucket[marked], kind="stable")]
-        ends = np.cumsum(np.bincount(bucket[marked], minlength=n_buckets)[there])
-        return _rows(["bucket", "key", "hot"], [pa.array(there.astype(np.int64)), *lists, K.list_array(own, np.concatenate([[0], ends]))])
+        ends = _ends(there, bucket[marked], np.ones(len(own), np.int64))
+        return _rows(["bucket", "key", "hot"], [pa.array(there.astype(np.int64)), *lists, K.list_array(own, ends)])
 
     def runs_of(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t) or not len(told):
@@ -176,11 +183,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         shard = (np.where(n == 0, run, key) % np.uint64(n_shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         shard, run, lo, hi, first, n = (x[order] for x in (shard, run, lo, hi, first, n))
-        there, lists = K.by_shard(shard, n_shards, run, n, lo, hi)
+        there, lists = K.by_shard(shard, run, n, lo, hi)
         n = np.maximum(n, 1)
         words = tokens[K.ragged(first, n + length - 1)]
-        ends = np.cumsum(np.bincount(shard, n + length - 1, n_shards)[there]).astype(np.int64)
-        return _rows(_TEXTS.names, [pa.array(np.full(len(there), t.column("bucket")[0].as_py())), pa.array(there.astype(np.int64)), *lists, K.list_array(words.view(np.int64), np.concatenate([[0], ends]))])
+        ends = _ends(there, shard, n + length - 1)
+        return _rows(_TEXTS.names, [pa.array(np.full(len(there), t.column("bucket")[0].as_py())), pa.array(there.astype(np.int64)), *lists, K.list_array(words.view(np.int64), ends)])
 
     def matched(t: pa.Table) -> pa.Table:
         run, sizes = K.flat(t.column("run"))
@@ -192,20 +199,21 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         np.minimum.at(weight, back, lo)
         ends = np.cumsum(n + length - 1)
         lengths = (n + length - 1)[at]
-        index = FMIndex(words[K.ragged((ends - (n + length - 1))[at], lengths)], lengths, length)
-        windows, least = index.statistics(weight)
+        windows, least = FMIndex(words[K.ragged((ends - (n + length - 1))[at], lengths)], lengths, length, weight).statistics()
         w_at = np.cumsum(windows) - windows
         smallest = np.minimum.reduceat(least, w_at) if len(least) else least
         told = np.flatnonzero(smallest[back] < hi)
         told = told[np.argsort(bucket[told], kind="stable")]
-        there, (runs, counts) = K.by_shard(bucket[told], n_buckets, run[told], np.where(single[told], 0, windows[back[told]]))
+        there, (runs, counts) = K.by_shard(bucket[told], run[told], np.where(single[told], 0, windows[back[told]]))
         values = least[K.ragged(w_at[back[told]], windows[back[told]])]
-        ends = np.cumsum(np.bincount(bucket[told], windows[back[told]], n_buckets)[there]).astype(np.int64)
-        return _rows(["bucket", "run", "size", "least"], [pa.array(there.astype(np.int64)), runs, counts, K.list_array(values, np.concatenate([[0], ends]))])
+        ends = _ends(there, bucket[told], windows[back[told]])
+        return _rows(["bucket", "run", "size", "least"], [pa.array(there.astype(np.int64)), runs, counts, K.list_array(values, ends)])
+
+    nothing = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts).empty_table()
 
     def cleaned(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string()), "kept_text": pa.array([], pa.string())})
+            return nothing
         hit = len(told) > 0
         if hit:
             run, n = K.flat(told.column("run"))[0].view(np.uint64), K.flat(told.column("size"))[0]
@@ -213,7 +221,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             least, w_at = K.flat(told.column("least"))[0], (np.cumsum(np.maximum(n, 1)) - np.maximum(n, 1))[order]
             run, single = run[order], n[order] == 0
             alone, alone_at, run, w_at = run[single], w_at[single], run[~single], w_at[~single]
-        counts, removed, digests, texts = [], [], [], []
+        counts, removed, digests, kept_texts = [], [], [], []
         for i, w, h, (first, size, _, doc), ids in _parsed(t, length, anchor):
             gone = np.zeros(len(h) + 1, np.int64)
             if hit and len(first) and len(alone):
@@ -240,12 +248,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own = [x for x, k in zip(own, keep[w.at[d] : w.at[d + 1]].tolist(), strict=True) if k]
                 kept = b" ".join(own)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept.decode())
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": pa.array(np.concatenate(counts).astype(np.int64)), "n_removed": pa.array(np.concatenate(removed).astype(np.int64)), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string())})
+                if texts:
+                    kept_texts.append(kept.decode())
+        columns = [t.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed).astype(np.int64)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
+        return _rows(nothing.column_names, columns[: nothing.num_columns])
 
     a, per_bucket = "array<long>", rows.groupBy("bucket")
     sent = per_bucket.applyInArrow(keys_of, f"bucket long, shard long, key {a}, lo {a}, hi {a}, runs {a}")
     told = sent.groupBy("shard").applyInArrow(repeated, f"bucket long, key {a}, hot {a}")
     texts = per_bucket.cogroup(told.groupBy("bucket")).applyInArrow(runs_of, f"bucket long, shard long, run {a}, size {a}, lo {a}, hi {a}, words {a}")
     hits = texts.groupBy("shard").applyInArrow(matched, _HITS)
-    return per_bucket.cogroup(hits.groupBy("bucket")).applyInArrow(cleaned, f"{_RESULT}, kept_text string")
+    return per_bucket.cogroup(hits.groupBy("bucket")).applyInArrow(cleaned, _RESULT + ", kept_text string" * texts)
