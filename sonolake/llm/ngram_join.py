@@ -135,10 +135,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             key, sizes = K.flat(b.column("sigs"))
             key, lead, one, other = _stars(key.view(_U64), np.repeat(b.column("rep").to_numpy(), sizes))
-            there, lists = K.by_shard((key % _U64(n_shards)).astype(np.int64), n_shards, key, lead)
+            there, lists = K.by_shard((key % _U64(n_shards)).astype(np.int64), key, lead)
             count = len(there)
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), *lists, *(K.list_array(x[:0], np.zeros(count + 1)) for x in (one, other))], names=["shard", "key", "lead", "a", "b"])
-            there, lists = K.by_shard(K.mix(one.view(_U64)).astype(np.int64) % n_shards if len(one) else one, n_shards, one, other)
+            there, lists = K.by_shard(K.mix(one.view(_U64)).astype(np.int64) % n_shards if len(one) else one, one, other)
             yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), *(K.list_array(x[:0], np.zeros(len(there) + 1)) for x in (one, other)), *lists], names=["shard", "key", "lead", "a", "b"])
 
     def meet(t: pa.Table) -> pa.Table:

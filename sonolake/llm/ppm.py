@@ -2,22 +2,26 @@
 
 Texts are read as lower-cased (A-Z) words joined by one blank, with an end symbol.
 
-1. Counting covers every word and every run of ORDER + 1 bytes of all training texts. Each task pre-aggregates, and
-   shards of whole keys add up, so no shard is hot. Runs then go to shards by the last two bytes of their context:
-   a shard has all children of each of its contexts and of their suffixes of two bytes or more. Runs of one and two bytes
-   (65,792 at most, whatever the input) are broadcast.
-2. Each bucket of documents asks for its distinct runs and words. A shard answers ASKED buckets at a time, so what one
-   task reads is bounded where many buckets ask the same shard.
-3. A shard's byte-context trie answers with log probabilities. Escapes follow method C. Since the children of a context
-   are children of its suffix as well, what symbol exclusion removes at a suffix depends on the next longer context
-   only, so normalisers after exclusion are stored with each context, and a run costs a few array look-ups.
-4. Buckets add the answers up.
-
-Nothing is left out of the model at any size: it grows with the input. A task holds one shard of it; from MOST_SHARDS
-shards on, shards grow with the distinct runs and words.
-
-Null text is empty: it scores the end symbol alone. A null id is a training row.
-Repeated rows are scored and counted each.
+1. Counting covers every word and every run of ORDER + 1 bytes of all training texts, and names the runs of the held-out
+   ones. Each task pre-aggregates, and shards by the hash of the whole key add up, so no shard is hot.
+2. Runs go to model shards by the last two bytes of their context: a shard has all children of each of its contexts and
+   of their suffixes of two bytes or more. Pairs of bytes with more than half a shard's runs go by three bytes instead.
+   Runs of one and two bytes (65,792 at most, whatever the input) are broadcast, and those of three bytes that end such a hot
+   pair's context, at most 256 for each of them.
+3. A shard's byte-context trie gives log probabilities. An escape takes DISCOUNT from every symbol seen. Since the children of
+   a context are children of its suffix as well, what symbol exclusion removes at a suffix depends on the next longer context
+   only, so normalisers after exclusion are stored with each context, and a run costs a few array look-ups. Every distinct run is
+   worked out once, and the answers are dealt by the hash of the run: a table that no frequent context makes uneven.
+4. Each bucket of documents asks for its distinct runs and words. A shard of answers meets a number of buckets at a time
+   that grows with the number of shards, so what one task reads is bounded, and answers are read again in
+   proportion to the input.
+5. Buckets add the answers up.
+
+Nothing is left out of the model at any size: it grows with the input, and so does the number of its shards.
+
+Null text is empty: it scores the end symbol alone. A null id is a training row. Repeated rows are scored and counted each.
+Texts of any length are scored whole; a longer one than a bucket has a bucket of its own size. An empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +38,14 @@ from . import textkernel as K
 from .util import cut, held_out, parts, text_size
 
 ORDER = 5
-SHARD_BYTES, MOST_SHARDS = 64 << 20, 4096
+DISCOUNT = 0.3  # what a seen symbol's count gives to the escape
+SHARD_BYTES = 32 << 20  # of text, whose runs and words one task adds up
+RUNS = 400_000  # distinct runs of a shard of the model and of the answers
 BUCKET_BYTES = 16 << 20
-ASKED = 1024  # buckets that one task answers
+ASKED = 2  # buckets that one task answers, for each shard of answers
 _FLUSH = 3_000_000
 _END_WORD = np.uint64(1)
-_WORDS, _RUNS, _SHORT = 0, 1, 2
+_WORDS, _RUNS = 0, 1
 _U64 = np.uint64
 
 
@@ -80,8 +87,9 @@ class _Counter:
         self.found: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, key: np.ndarray) -> None:
-        self.found.append(_counted(key))
+    def add(self, key: np.ndarray, times: int) -> None:
+        key, n = _counted(key)
+        self.found.append((key, n * times))
         self.size += len(self.found[-1][0])
 
     def settled(self, most: int) -> bool:
@@ -97,53 +105,86 @@ class _Counter:
         return out
 
 
-def _shard_of(kind: int, key: np.ndarray, n: int) -> np.ndarray:
-    """Words by their hash, runs by the last two bytes of their context."""
-    return (K.mix((key >> _U64(8)) & _U64(0xFFFF) if kind == _RUNS else key) % _U64(n)).astype(np.int64)
+def _shard_of(key: np.ndarray, n: int) -> np.ndarray:
+    return (K.mix(key) % _U64(n)).astype(np.int64)
+
+
+def _pair(key: np.ndarray) -> np.ndarray:
+    """The last two bytes of a run's context."""
+    return ((key >> _U64(8)) & _U64(0xFFFF)).astype(np.int64)
+
+
+def _model_shard(key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """By the last two bytes of the context, or three where the two are hot."""
+    context = key >> _U64(8)
+    return _shard_of(np.where(hot[_pair(key)], context & _U64(0xFFFFFF) | _U64(1 << 32), context & _U64(0xFFFF)), n)
 
 
 def count(docs: DataFrame, order: int, n_shards: int) -> DataFrame:
-    """kind, shard, key array, n array over the training rows; short runs (of two bytes) come in parts."""
+    """kind, shard, key array, n array: words of the training rows, and runs of all rows (0 for those of held-out rows alone)."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = {_WORDS: _Counter(), _RUNS: _Counter()}
 
         def flush(kind: int) -> pa.RecordBatch:
             key, n = counters[kind].take()
-            there, lists = K.by_shard(_shard_of(_WORDS, key, n_shards), n_shards, key, n)
+            there, lists = K.by_shard(_shard_of(key, n_shards), key, n)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(there), kind)), pa.array(there.astype(np.int64)), *lists], names=["kind", "shard", "key", "n"])
 
         for batch in batches:
-            for _, _, offsets, data in K.blocks(batch):
-                w = K.Words(offsets, data, lower=True)
-                counters[_WORDS].add(np.concatenate([w.hashes(), np.full(len(w.counts), _END_WORD)]))
-                counters[_RUNS].add(byte_runs(w, order)[0])
-                for kind in counters:
-                    if not counters[kind].settled(_FLUSH):
-                        yield flush(kind)
+            held = batch.column("held_out")
+            for learnt, part in ((1, batch.filter(pc.invert(held))), (0, batch.filter(held))):
+                for _, _, offsets, data in K.blocks(part):
+                    w = K.Words(offsets, data, lower=True)
+                    if learnt:
+                        counters[_WORDS].add(np.concatenate([w.hashes(), np.full(len(w.counts), _END_WORD)]), 1)
+                    counters[_RUNS].add(byte_runs(w, order)[0], learnt)
+                    for kind in counters:
+                        if not counters[kind].settled(_FLUSH):
+                            yield flush(kind)
         for kind in counters:
             yield flush(kind)
 
     def add_up(t: pa.Table) -> pa.Table:
-        kind = t.column("kind")[0].as_py()
         key, n = _counted(K.flat(t.column("key"))[0].view(_U64), K.flat(t.column("n"))[0])
-        found = [(kind, *K.by_shard(_shard_of(kind, key, n_shards), n_shards, key, n))]
-        if kind == _RUNS:
-            key, n = _counted(key & _U64(0xFFFF), n)
-            found.append((_SHORT, *K.by_shard(np.zeros(len(key), np.int64), 1, key, n)))
-        return pa.concat_tables(pa.table({"kind": pa.array(np.full(len(there), k)), "shard": pa.array(there.astype(np.int64)), "key": keys, "n": ns}) for k, there, (keys, ns) in found)
+        at = [0, len(key)]
+        return pa.table({"kind": t.column("kind")[:1], "shard": t.column("shard")[:1], "key": K.list_array(key.view(np.int64), np.array(at)), "n": K.list_array(n, np.array(at))})
 
     a = "array<long>"
-    sent = docs.where(~F.col("held_out")).select("text").mapInArrow(tally, f"kind long, shard long, key {a}, n {a}")
+    sent = docs.select("text", "held_out").mapInArrow(tally, f"kind long, shard long, key {a}, n {a}")
     return cut(sent.groupBy("kind", "shard").applyInArrow(add_up, f"kind long, shard long, key {a}, n {a}"))
 
 
-def short_runs(counts: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """[(length, keys, counts)] of the runs of one and two bytes: 65,792 numbers at most."""
-    each = counts.where(F.col("kind") == _SHORT).select(F.explode(F.arrays_zip("key", "n")).alias("x"))
-    t = each.groupBy(F.col("x.key").alias("key")).agg(F.sum("x.n").alias("n")).toArrow()
-    two = _counted(t.column("key").to_numpy().view(_U64), t.column("n").to_numpy())
-    return [(1, *_counted(two[0] & _U64(0xFF), two[1])), (2, *two)]
+def hot_pairs(runs: DataFrame, most: int) -> tuple[int, np.ndarray]:
+    """(distinct runs, whether each pair of context bytes has more than `most` of them), from 65,536 counts at most."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            total += np.bincount(_pair(K.flat(b.column("key"))[0].view(_U64)), minlength=1 << 16)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    t = runs.select("key").mapInArrow(tally, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << 16, np.int64)
+    total[t.column("pair").to_numpy()] = t.column("n").to_numpy()
+    return int(total.sum()), total > most
+
+
+def short_runs(runs: DataFrame, hot: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """[(length, keys, counts)] of the runs of one and two bytes, and of three whose context is a hot pair."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, n = K.flat(b.column("key"))[0].view(_U64), K.flat(b.column("n"))[0]
+            for length, some in ((2, n > 0), (3, (n > 0) & hot[_pair(key)])):
+                k, c = _counted(key[some] & _mask(length), n[some])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), length)), pa.array(k.view(np.int64)), pa.array(c)], names=["length", "key", "n"])
+
+    t = runs.select("key", "n").mapInArrow(tally, "length long, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n")).toArrow()
+    length, key, n = t.column("length").to_numpy(), t.column("key").to_numpy().view(_U64), t.column("n").to_numpy()
+    two, three = (_counted(key[length == k], n[length == k]) for k in (2, 3))
+    return [(1, *_counted(two[0] & _U64(0xFF), two[1])), (2, *two), (3, *three)]
 
 
 class Trie:
@@ -169,13 +210,11 @@ class Trie:
         parent = self.find(length[symbol] - 1, key[symbol] >> _U64(8))
         below = np.bincount(parent, count_of[symbol], n)
         kinds = np.bincount(parent, minlength=n).astype(float)
-        dropped = np.maximum(count_of - below, 0) * (length > 0)
-        escape = dropped + kinds
         has = kinds > 0
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.log_n = np.log10(count_of)
-            self.norm = np.where(has, np.log10(below + escape), np.nan)  # nan: no such context
-            self.escape = np.log10(escape) - self.norm
+            self.log_n = np.log10(count_of - DISCOUNT)
+            self.norm = np.where(has, np.log10(below), np.nan)  # nan: no such context
+            self.escape = np.log10(DISCOUNT * kinds) - self.norm
             self.direct = np.full(n, np.nan)
             self.direct[symbol] = self.log_n[symbol] - self.norm[parent]
             # after exclusion of a context's children, at its suffix
@@ -187,9 +226,8 @@ class Trie:
             away = np.bincount(parent, twin_n, n)
             suffix_ok = (suffix >= 0) & (length > 0)
             rest, rest_kinds = np.maximum(below[suffix] - away, 0), np.maximum(kinds[suffix] - kinds, 0)
-            rest_escape = np.where(rest_kinds > 0, dropped[suffix] + rest_kinds, 0)
-            self.next_norm = np.where(suffix_ok & (rest_kinds > 0), np.log10(rest + rest_escape), np.nan)
-            self.next_escape = np.where(suffix_ok & (rest_kinds > 0), np.log10(rest_escape) - self.next_norm, 0.0)
+            self.next_norm = np.where(suffix_ok & (rest_kinds > 0), np.log10(rest), np.nan)
+            self.next_escape = np.where(suffix_ok & (rest_kinds > 0), np.log10(DISCOUNT * rest_kinds) - self.next_norm, 0.0)
         self.last = -np.log10(max(1.0, 256.0 - kinds[0])) if n else -np.log10(256.0)
         for name in ("log_n", "norm", "escape", "direct", "next_norm", "next_escape"):
             setattr(self, name, getattr(self, name).astype(np.float32))
@@ -259,14 +297,20 @@ def _mask(length):
     return (_U64(1) << (np.asarray(length) * 8).astype(_U64)) - _U64(1)
 
 
-def _levels(key: np.ndarray, n: np.ndarray, order: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """[(length, keys, counts)] of a shard's runs from three bytes to order + 1."""
-    key, n = _counted(key, n)
-    found = [(order + 1, key, n)]
-    for length in range(order, 2, -1):
+def _levels(key: np.ndarray, n: np.ndarray, order: int, hot: np.ndarray, short: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """[(length, keys, counts)] of a shard's training runs: the short ones as told, the others from its own (of which some count 0)."""
+    pairs = np.unique(_pair(key))
+    key, n = key[n > 0], n[n > 0]
+    found = [x for x in short if x[0] <= min(order + 1, 2)]
+    for length in range(order + 1, 2, -1):
         key, n = _counted(key & _mask(length), n)
-        found.append((length, key, n))
-    return [x for x in found if x[0] > 2]
+        if length > 3:
+            found.append((length, key, n))
+    if order >= 2:  # three bytes after a hot pair are spread over shards: those counts come from all of them
+        own = ~hot[_pair(key)]
+        told = np.isin(_pair(short[2][1]), pairs)
+        found.append((3, *_counted(np.concatenate([key[own], short[2][1][told]]), np.concatenate([n[own], short[2][2][told]]))))
+    return found
 
 
 def _distinct(found: list[np.ndarray]) -> np.ndarray:
@@ -277,20 +321,59 @@ def _words_of(w: K.Words) -> np.ndarray:
     return np.insert(w.hashes(), w.at[1:], _END_WORD)
 
 
+def answers(counts: DataFrame, order: int, most: int) -> tuple[DataFrame, int]:
+    """(kind, shard, key array, value array of all runs and training words, number of shards).
+
+    The value is log10 of a run's probability, or of a word's count and a half.
+    """
+    runs = counts.where(F.col("kind") == _RUNS)
+    total, hot = hot_pairs(runs, most // 2)
+    n = parts(total, most)
+    told = counts.sparkSession.sparkContext.broadcast((hot, short_runs(runs, hot)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, c = K.flat(b.column("key"))[0].view(_U64), K.flat(b.column("n"))[0]
+            for i in range(0, len(key), _FLUSH):
+                there, lists = K.by_shard(_model_shard(key[i : i + _FLUSH], told.value[0], n), key[i : i + _FLUSH], c[i : i + _FLUSH])
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int64)), *lists], names=["shard", "key", "n"])
+
+    names = ["kind", "shard", "key", "value"]
+
+    def known(t: pa.Table) -> pa.Table:
+        hot, short = told.value
+        key, c = _counted(K.flat(t.column("key"))[0].view(_U64), K.flat(t.column("n"))[0])
+        trie = Trie(_levels(key, c, order, hot, short), order)
+        there, lists = K.by_shard(_shard_of(key, n), key, np.concatenate([np.zeros(0), *(trie.logs(key[i : i + _FLUSH]) for i in range(0, len(key), _FLUSH))]))
+        return pa.table(dict(zip(names, [pa.array(np.full(len(there), _RUNS)), pa.array(there.astype(np.int64)), *lists], strict=True)))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, c = K.flat(b.column("key"))[0].view(_U64), K.flat(b.column("n"))[0]
+            there, lists = K.by_shard(_shard_of(key, n), key, np.log10(c + 0.5))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), _WORDS)), pa.array(there.astype(np.int64)), *lists], names=names)
+
+    a, schema = "array<long>", "kind long, shard long, key array<long>, value array<double>"
+    model = runs.select("key", "n").mapInArrow(deal, f"shard long, key {a}, n {a}").groupBy("shard").applyInArrow(known, schema)
+    return model.union(counts.where(F.col("kind") == _WORDS).select("key", "n").mapInArrow(words, schema)), n
+
+
 def lm_score(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, asked: int = ASKED
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 5, remainder: int = 1, order: int = ORDER,
+    bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, runs: int = RUNS, asked: int = ASKED,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     size = text_size(docs, text_col)[1]
-    n_buckets, n_shards = parts(size, bucket_bytes), min(parts(size, shard_bytes), MOST_SHARDS)
+    n_buckets = parts(size, bucket_bytes)
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n_buckets)).alias("bucket"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col, modulus, remainder).alias("held_out")
     )
-    counts = count(rows, order, n_shards)
+    counts = count(rows, order, parts(size, shard_bytes))
     row = counts.where(F.col("kind") == _WORDS).agg(F.sum(F.size("key")).alias("v"), F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()
     total = int(row.n or 0)
     below = np.log10(total + 0.5 * (int(row.v or 0) + 1))
-    short = docs.sparkSession.sparkContext.broadcast(short_runs(counts))
+    told, n_shards = answers(counts, order, runs)
+    at_once = asked * n_shards
     unseen = np.log10(0.5)
 
     def ask(t: pa.Table) -> pa.Table:
@@ -302,8 +385,8 @@ def lm_score(
         out = []
         for kind, each in found.items():
             key = _distinct(each)
-            there, (keys,) = K.by_shard(_shard_of(kind, key, n_shards), n_shards, key)
-            out.append(pa.table({"kind": pa.array(np.full(len(there), kind)), "shard": pa.array(there.astype(np.int64)), "piece": pa.array(np.full(len(there), bucket // asked)), "bucket": pa.array(np.full(len(there), bucket)), "key": keys}))
+            there, (keys,) = K.by_shard(_shard_of(key, n_shards), key)
+            out.append(pa.table({"kind": pa.array(np.full(len(there), kind)), "shard": pa.array(there.astype(np.int64)), "piece": pa.array(np.full(len(there), bucket // at_once)), "bucket": pa.array(np.full(len(there), bucket)), "key": keys}))
         return pa.concat_tables(out)
 
     def answer(asks: pa.Table, told: pa.Table) -> pa.Table:
@@ -313,17 +396,18 @@ def lm_score(
         kind = asks.column("kind")[0].as_py()
         h, sizes = K.flat(asks.column("key"))
         h, ends = h.view(_U64), np.concatenate([[0], np.cumsum(sizes)])
-        key, n = _counted(K.flat(told.column("key"))[0].view(_U64), K.flat(told.column("n"))[0]) if len(told) else (h[:0], sizes[:0])
+        key, value = (K.flat(told.column("key"))[0].view(_U64), K.flat(told.column("value"), np.float64)[0]) if len(told) else (h[:0], np.zeros(0))
+        order_ = np.argsort(key)
+        at, there = K.lookup(key[order_], h)
         none = np.zeros(len(ends))
         if kind == _WORDS:
-            at, there = K.lookup(key, h)
-            value = np.full(len(h), unseen)
-            value[there] = np.log10(n[at[there]] + 0.5)
-            lists = [K.list_array(value, ends, pa.float64()), K.list_array(none[:0], none, pa.float32())]
+            found = np.full(len(h), unseen)
+            found[there] = value[order_[at[there]]]
+            lists = [K.list_array(found, ends, pa.float64()), K.list_array(none[:0], none, pa.float32())]
         else:
-            trie = Trie([*short.value[: min(order + 1, 2)], *_levels(key, n, order)], order)
-            logs = np.concatenate([trie.logs(h[i : i + _FLUSH]) for i in range(0, len(h), _FLUSH)])
-            lists = [K.list_array(none[:0], none, pa.float64()), K.list_array(logs.astype(np.float32), ends, pa.float32())]
+            if not there.all():
+                raise ValueError("a run without an answer")  # every run of every row was counted
+            lists = [K.list_array(none[:0], none, pa.float64()), K.list_array(value[order_[at]].astype(np.float32), ends, pa.float32())]
         return pa.table(dict(zip(names, [*(asks.column(c) for c in names[:3]), *lists], strict=True)))
 
     def finish(own: pa.Table, told: pa.Table) -> pa.Table:
@@ -341,7 +425,7 @@ def lm_score(
             mine = np.flatnonzero(kind == k)
             lists = told.column(column).take(pa.array(mine[np.argsort(shard[mine])]))
             value = np.zeros(len(key), dtype)
-            value[np.argsort(_shard_of(k, key, n_shards), kind="stable")] = K.flat(lists, dtype)[0]
+            value[np.argsort(_shard_of(key, n_shards), kind="stable")] = K.flat(lists, dtype)[0]
             values[k] = key, value
         counts, known, base, scores = [], [], [], []
         for first, runs, run_at, words, word_at, n in found:
@@ -358,7 +442,7 @@ def lm_score(
 
     per_bucket, by = rows.groupBy("bucket"), ("kind", "shard", "piece")
     asks = per_bucket.applyInArrow(ask, "kind long, shard long, piece long, bucket long, key array<long>")
-    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_buckets - 1) // asked).cast("long")))
-    model = counts.where(F.col("kind") != _SHORT).select("kind", "shard", pieces.alias("piece"), "key", "n")
-    answers = asks.groupBy(*by).cogroup(model.groupBy(*by)).applyInArrow(answer, "kind long, shard long, bucket long, known array<double>, logs array<float>")
-    return per_bucket.cogroup(answers.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_buckets - 1) // at_once).cast("long")))
+    table = told.select("kind", "shard", pieces.alias("piece"), "key", "value")
+    answered = asks.groupBy(*by).cogroup(table.groupBy(*by)).applyInArrow(answer, "kind long, shard long, bucket long, known array<double>, logs array<float>")
+    return per_bucket.cogroup(answered.groupBy("bucket")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -166,13 +166,12 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType | None
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(values, kind or pa.int64()))
 
 
-def by_shard(shard: np.ndarray, n: int, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
+def by_shard(shard: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.ListArray]]:
     """Groups rows by shard: the shards that occur, and a list column for each column (64-bit)."""
     order = np.argsort(shard, kind="stable")
-    counts = np.bincount(shard, minlength=n)
-    there = np.flatnonzero(counts)
-    offsets = np.concatenate([[0], np.cumsum(counts[there])])
-    return there, [list_array(c[order].view(np.int64) if c.dtype == U64 else c[order], offsets, pa.float64() if c.dtype == np.float64 else None) for c in columns]
+    there, counts = np.unique(shard, return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    return there, [list_array(c[order].view(np.int64) if c.dtype == U64 else c[order], offsets, pa.float64() if c.dtype == np.float64 else pa.float32() if c.dtype == np.float32 else None) for c in columns]
 
 
 def flat(column: pa.ChunkedArray | pa.Array, dtype=np.int64) -> tuple[np.ndarray, np.ndarray]:
