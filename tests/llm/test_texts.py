@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sonolake.llm import packing, pii
 from sonolake.llm.decontaminate import MOST_BYTES, _parts, decontaminate
 from sonolake.llm.licenses import PHRASES, license_scan
-from sonolake.llm.ppm import lm_score
+from sonolake.llm.ppm import DISCOUNT, lm_score
 from sonolake.llm.quality import quality
 from sonolake.llm.queries import QUERIES, tokenizer_path
 from sonolake.llm.toxicity import toxicity
@@ -167,6 +167,34 @@ def _whole_trie(texts, order):
     return Trie(levels, order)
 
 
+def ppm_rule(texts, order):
+    """Prediction by partial matching with exclusion from plain dictionaries: a function text -> log10 of its probability."""
+    line = lambda t: b"\0" * order + " ".join(SPACED.findall(low(t or ""))).encode() + b"\0"
+    seen = defaultdict(Counter)
+    for s in map(line, texts):
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                seen[s[i - k : i]][s[i]] += 1
+
+    def score(text):
+        s, total = line(text), 0.0
+        for i in range(order, len(s)):
+            out = set()
+            for k in range(order, -1, -1):
+                own = {c: n for c, n in seen.get(s[i - k : i], {}).items() if c not in out}
+                if s[i] in own:
+                    total += math.log10((own[s[i]] - DISCOUNT) / sum(own.values()))
+                    break
+                if own:
+                    total += math.log10(DISCOUNT * len(own) / sum(own.values()))
+                    out |= set(own)
+            else:
+                total -= math.log10(256 - len(seen.get(b"", {})))
+        return total
+
+    return score
+
+
 def test_lm_score(spark):
     docs = awkward()
     docs_by = dict(docs)
@@ -174,15 +202,18 @@ def test_lm_score(spark):
     words = {i: [*SPACED.findall(low(t or "")), None] for i, t in docs}
     c = Counter(w for i, ws in words.items() if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    small = {"bucket_bytes": 4000, "shard_bytes": 3000, "asked": 3}
+    small = {"bucket_bytes": 4000, "shard_bytes": 3000, "runs": 700, "asked": 1}
     for order, sizes in ((5, {}), (5, small), (6, small), (2, small)):
         trie = _whole_trie([t for i, t in docs if not held(i)], order)
+        plain = ppm_rule([t for i, t in docs if not held(i)], order)
         got = {r.doc_id: r for r in lm_score(frame(spark, docs), order=order, **sizes).collect()}
         for i, ws in words.items():
             r = got[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), rel_tol=1e-9)
             assert math.isclose(r.score, trie.logs(_runs([docs_by[i]], order)).sum(), rel_tol=1e-5)
+            if len(ws) < 2000:
+                assert math.isclose(r.score, plain(docs_by[i]), rel_tol=1e-5), (order, i)
     assert lm_score(frame(spark, docs).limit(0)).count() == 0
     alone = lm_score(frame(spark, [(i, "x y") for i in range(40) if held(i)])).collect()  # no training rows
     assert len(alone) and all((r.n_known, r.train_tokens) == (0, 0) and r.score < 0 for r in alone)
