@@ -121,7 +121,7 @@ _TEXTS = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("run", _L),
 _HITS = "bucket long, run array<long>, size array<long>, least array<long>"
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_RUNS, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, texts: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT_RUNS, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: see the module."""
     _, size = text_size(docs, text_col)
     n_buckets, n_shards = parts(size, bucket_bytes), parts(size, shard_bytes)
@@ -209,7 +209,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ends = _ends(there, bucket[told], windows[back[told]])
         return _rows(["bucket", "run", "size", "least"], [pa.array(there.astype(np.int64)), runs, counts, K.list_array(values, ends)])
 
-    nothing = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts).empty_table()
+    nothing = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text).empty_table()
 
     def cleaned(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
@@ -248,7 +248,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     own = [x for x, k in zip(own, keep[w.at[d] : w.at[d + 1]].tolist(), strict=True) if k]
                 kept = b" ".join(own)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                if texts:
+                if with_text:
                     kept_texts.append(kept.decode())
         columns = [t.column("doc_id"), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(np.concatenate(removed).astype(np.int64)), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())]
         return _rows(nothing.column_names, columns[: nothing.num_columns])
@@ -258,4 +258,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = sent.groupBy("shard").applyInArrow(repeated, f"bucket long, key {a}, hot {a}")
     texts = per_bucket.cogroup(told.groupBy("bucket")).applyInArrow(runs_of, f"bucket long, shard long, run {a}, size {a}, lo {a}, hi {a}, words {a}")
     hits = texts.groupBy("shard").applyInArrow(matched, _HITS)
-    return per_bucket.cogroup(hits.groupBy("bucket")).applyInArrow(cleaned, _RESULT + ", kept_text string" * texts)
+    return per_bucket.cogroup(hits.groupBy("bucket")).applyInArrow(cleaned, _RESULT + ", kept_text string" * with_text)
