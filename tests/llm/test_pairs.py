@@ -54,7 +54,7 @@ def near_rule(docs, n=3, num=90):
 
 def test_substring(spark):
     docs = awkward()
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, docs), texts=True).collect() if hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(frame(spark, docs), with_text=True).collect() if hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256}
     assert got == substring_rule(docs)
 
 
