@@ -314,7 +314,17 @@ def _levels(key: np.ndarray, n: np.ndarray, order: int, hot: np.ndarray, short:
 
 
 def _distinct(found: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, _U64)
+    return K.distinct(np.concatenate(found)) if found else np.zeros(0, _U64)
+
+
+def _coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of each value among them)."""
+    order = np.argsort(x)
+    s = x[order]
+    fresh = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    code = np.empty(len(x), np.int32)
+    code[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return s[fresh], code
 
 
 def _words_of(w: K.Words) -> np.ndarray:
@@ -380,8 +390,8 @@ def lm_score(
         bucket, found = t.column("bucket")[0].as_py(), {_WORDS: [], _RUNS: []}
         for _, _, offsets, data in K.blocks(t):
             w = K.Words(offsets, data, lower=True)
-            found[_WORDS].append(np.unique(_words_of(w)))
-            found[_RUNS].append(np.unique(byte_runs(w, order)[0]))
+            found[_WORDS].append(K.distinct(_words_of(w)))
+            found[_RUNS].append(K.distinct(byte_runs(w, order)[0]))
         out = []
         for kind, each in found.items():
             key = _distinct(each)
@@ -416,8 +426,8 @@ def lm_score(
         for _, _, offsets, data in K.blocks(own):
             w = K.Words(offsets, data, lower=True)
             key, first = byte_runs(w, order)
-            runs, words = (np.unique(x, return_inverse=True) for x in (key, _words_of(w)))
-            found.append((first, runs[0], runs[1].astype(np.int32), words[0], words[1].astype(np.int32), w.counts + 1))
+            runs, words = (_coded(x) for x in (key, _words_of(w)))
+            found.append((first, *runs, *words, w.counts + 1))
         kind, shard = told.column("kind").to_numpy(), told.column("shard").to_numpy()
         values = {}
         for k, column, at, dtype in ((_RUNS, "logs", 1, np.float32), (_WORDS, "known", 3, np.float64)):

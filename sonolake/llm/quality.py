@@ -5,7 +5,9 @@
    from a root is a rule, a conjunction of comparisons on statistics; lasso logistic regression weighs the rules.
 3. The rules with a weight become one Spark column expression over the statistics.
 
-Null and empty texts have all statistics 0. Repeated rows are scored each. Without labels the score is 0.5.
+Null and empty texts have all statistics 0; texts of any length are read whole. Repeated rows are scored each, and an id with
+several texts is learnt from one of them, that of the smallest hash. Labels without a document and null labels or ids are
+not learnt from. Without labels the score is 0.5. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .labelled import sample
+from .labelled import one_each, sample
 from .util import held_out
 
 MOST_ROWS = 8000
@@ -57,7 +59,7 @@ def statistics(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
     top = np.zeros(docs)
     np.maximum.at(top, of, times)
     again = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
-    line_key = np.unique((lines.documents().astype(np.uint64) << np.uint64(44)) | (lines.hashes() >> np.uint64(20)))
+    line_key = K.distinct((lines.documents().astype(np.uint64) << np.uint64(44)) | (lines.hashes() >> np.uint64(20)))
     longest = np.zeros(docs)
     np.maximum.at(longest, doc, lengths)
     letters = np.maximum(per_doc(_LETTER[data]), 1)
@@ -156,7 +158,8 @@ def lasso(r: np.ndarray, y: np.ndarray, penalty: float = PENALTY, rounds: int =
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, held, most_rows: int = MOST_ROWS) -> tuple[list[tuple[Rule, float]], float]:
     """([(rule, weight)], bias)."""
-    t = with_statistics(sample(docs, labels, label, held, most_rows), ("doc_id", "label")).dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    rows = with_statistics(sample(docs, labels, label, held, most_rows), ("doc_id", "label", "pick"))
+    t = one_each(rows, "label", *STATS).toArrow().sort_by("doc_id")
     if not len(t):
         return [], 0.0
     x, y = np.stack([t.column(c).to_numpy() for c in STATS], axis=1), t.column("label").to_numpy().astype(float)

@@ -1,9 +1,11 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct single words, their beginnings (PREFIX bytes, for inflected and compound words), word pairs
-and pairs with one word between, of lower-cased alphanumeric words, hashed to 2**BITS. Per-coordinate rates and the L1 term leave few weights, which are broadcast (at most 2**BITS).
-Fitting uses at most MOST_ROWS labelled rows that are not held out (a documented bound); every text is scored
-whole. Null and empty texts score the bias alone. Repeated rows are scored each.
+Features are the distinct single words, word pairs and pairs with one word between, of lower-cased alphanumeric words, hashed to
+2**BITS. Per-coordinate rates and the L1 term leave few weights; those are broadcast (at most 2**BITS).
+Fitting uses at most MOST_ROWS labelled rows that are not held out (a documented bound), in an order given by their ids; every
+text is scored whole. Null and empty texts score the bias alone. Repeated rows are scored each, and an id with several
+texts is learnt from one of them, that of the smallest hash. Labels without a document and null labels or ids are not
+learnt from. Without labels every score is 0.5. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .labelled import sample
+from .labelled import one_each, sample
 from .util import held_out
 
-BITS = 18
-PREFIX = 6
+BITS = 20
 MOST_ROWS = 12000
-ALPHA, BETA, L1, L2, EPOCHS = 0.15, 1.0, 10.0, 0.5, 4
+ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 0.5, 4
 _BIAS = 1 << BITS
 _U64 = np.uint64
 
@@ -30,8 +31,7 @@ _U64 = np.uint64
 def features(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """(hashed features, document of each), not yet distinct."""
     h, doc = w.hashes(), w.documents()
-    begins = K.mix(w.hashes(PREFIX) ^ _U64(0x94D049BB133111EB))
-    found, docs = [h, begins], [doc, doc]
+    found, docs = [h], [doc]
     for gap, salt in ((1, 0xD1342543DE82EF95), (2, 0xAF251AF3B0F025B5)):
         if len(h) > gap:
             own = doc[gap:] == doc[:-gap]
@@ -58,40 +58,41 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, held, most_rows: int = MOST_ROWS, epochs: int = EPOCHS) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str, held, most_rows: int = MOST_ROWS, l1: float = L1, epochs: int = EPOCHS) -> np.ndarray:
     """Weights (the last one is the bias)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, offsets, data in K.blocks(b):
                 f, doc = features(K.Words(offsets, data, K.ALNUM, lower=True))
-                both = np.unique((doc << BITS) | f)
+                both = K.distinct((doc << BITS) | f)
                 ends = np.searchsorted(both, np.arange(j - i + 1) << BITS)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((both & (_BIAS - 1)).astype(np.int32)))], names=["doc_id", "label", "f"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j], b.column("pick")[i:j], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((both & (_BIAS - 1)).astype(np.int32)))], names=["doc_id", "label", "pick", "f"])
 
-    t = sample(docs, labels, label, held, most_rows).mapInArrow(hashed, "doc_id long, label int, f array<int>").dropDuplicates(["doc_id"]).toArrow()
+    t = one_each(sample(docs, labels, label, held, most_rows).mapInArrow(hashed, "doc_id long, label int, pick long, f array<int>"), "label", "f").toArrow()
     order = np.argsort(K.mix(t.column("doc_id").to_numpy().astype(_U64)))
     f, y = t.column("f").combine_chunks(), t.column("label").to_numpy()
     flat, ends = f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(f.offsets.to_numpy()))])
-    model = Ftrl()
+    model = Ftrl(l1=l1)
     for _ in range(epochs):
         for k in order.tolist():
             model.learn(np.append(flat[ends[k] : ends[k + 1]], _BIAS), int(y[k]))
     return model.weights()
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most_rows: int = MOST_ROWS, l1: float = L1) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
-    weights = fit(docs, labels, label, held_out("doc_id", modulus, remainder), most_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    weights = fit(docs, labels, label, held_out("doc_id", modulus, remainder), most_rows, l1)
+    shared = docs.sparkSession.sparkContext.broadcast((some := np.flatnonzero(weights), weights[some]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = np.zeros(_BIAS + 1)
+        w[shared.value[0]] = shared.value[1]
         for b in batches:
             for i, j, offsets, data in K.blocks(b):
                 f, doc = features(K.Words(offsets, data, K.ALNUM, lower=True))
                 some = w[f] != 0
-                both = np.unique((doc[some] << BITS) | f[some])
+                both = K.distinct((doc[some] << BITS) | f[some])
                 total = np.bincount(both >> BITS, w[both & (_BIAS - 1)], j - i) + w[_BIAS]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("held_out")[i:j], pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "held_out", "score"])
 
