@@ -11,15 +11,17 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sonolake.llm import packing, pii
+from sonolake.llm import quality as Q
+from sonolake.llm import toxicity as X
 from sonolake.llm.decontaminate import MOST_BYTES, _parts, decontaminate
 from sonolake.llm.licenses import PHRASES, license_scan
 from sonolake.llm.ppm import DISCOUNT, lm_score
-from sonolake.llm.quality import quality
 from sonolake.llm.queries import QUERIES, tokenizer_path
-from sonolake.llm.toxicity import toxicity
 
 from .common import ALNUM, SPACED, awkward, frame, low
 
+quality, toxicity = Q.quality, X.toxicity
+
 
 def test_decontaminate(spark):
     docs = awkward()
@@ -298,5 +300,80 @@ def test_classifiers_without_rows_or_labels(spark):
         assert f(docs.limit(0), none).count() == 0
 
 
+def test_quality_by_plain_rules(spark):
+    """The statistics by plain Python, the compiled column by its rules, the weights by the lasso's optimality conditions."""
+    docs = [(i, t) for i, t in awkward()[:70] if t] + [(500, "A b b\nA b b\n#x 12 !\n\n")]
+    from sonolake.llm import textkernel as K
+    import pyarrow as pa
+
+    s = Q.statistics(*K.text_buffers(pa.array([t for _, t in docs])))
+    for (_, t), row in zip(docs, s, strict=True):
+        w, raw = SPACED.findall(t), t.encode()
+        lines = [x for x in t.split("\n") if x]
+        letters = sum(len(c.encode()) for c in t if c.isascii() and c.isalpha() or not c.isascii())
+        n, odd = max(len(w), 1), [c for c in t if c.isascii() and c > " " and c != "\x7f" and not c.isalnum() and c not in ".,;:!?'\"()-"]
+        want = {
+            "n_bytes": len(raw), "n_words": len(w), "word_length": sum(len(x.encode()) for x in w) / n, "upper_share": sum("A" <= c <= "Z" for c in t) / max(letters, 1),
+            "digit_share": sum("0" <= c <= "9" for c in t) / len(raw), "odd_share": len(odd) / len(raw), "distinct_share": len(set(w)) / n, "repeat_share": sum(a == b for a, b in zip(w, w[1:])) / n,
+            "top_share": max(Counter(w).values(), default=0) / n, "longest_word": max((len(x.encode()) for x in w), default=0), "short_share": sum(len(x.encode()) <= 2 for x in w) / n,
+            "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0, "line_length": sum(len(x.encode()) for x in lines) / max(len(lines), 1),
+        }
+        for name, value in want.items():
+            assert math.isclose(row[Q.STATS.index(name)], value, abs_tol=1e-9), (name, t[:60])
+    rng = np.random.default_rng(5)
+    x = rng.random((400, len(Q.STATS)))
+    y = ((x[:, 1] > 0.5) & (x[:, 3] < 0.7)).astype(float)
+    paths = Q.boosted_paths(x, y)
+    r = np.stack([Q.holds(p, x) for p in paths], axis=1).astype(float)
+    for p, column in zip(paths, r.T, strict=True):
+        assert column.tolist() == [float(all((row[k] > bound) == above for k, bound, above in p)) for row in x]
+    weights, bias = Q.lasso(r, y, rounds=20_000)
+    slope = r.T @ (1 / (1 + np.exp(-(r @ weights + bias))) - y) / len(y)
+    assert np.all(np.abs(slope) <= Q.PENALTY + 1e-4) and np.allclose(slope[weights != 0], -np.sign(weights[weights != 0]) * Q.PENALTY, atol=1e-4)
+    kept = [(p, float(v)) for p, v in zip(paths, weights, strict=True) if v]
+    rows = spark.createDataFrame([tuple(map(float, row)) for row in x[:60]], ", ".join(f"{c} double" for c in Q.STATS))
+    got = [v.p for v in rows.select(Q.compiled(kept, bias).alias("p")).collect()]
+    assert np.allclose(sorted(got), sorted(1 / (1 + math.exp(-(bias + sum(v for p, v in kept if all((row[k] > b) == above for k, b, above in p))))) for row in x[:60]))
+
+
+def test_toxicity_by_a_plain_loop(spark):
+    """FTRL-proximal in a plain loop over dictionaries gives the same scores."""
+    from sonolake.llm import textkernel as K
+
+    rnd = random.Random(11)
+    docs = [(i, " ".join(rnd.choices(["Bad", "so", "day", "tree", "é", "rain"] + ["vile"] * (i % 3 == 0), k=9))) for i in range(120)] + [(500, None), (501, "")]
+    labels = [(i, int("vile" in t)) for i, t in docs if t]
+    hashes = {w: int(K.Words(*K.text_buffers(__import__("pyarrow").array([w])), K.ALNUM, lower=True).hashes()[0]) for w in {low(x) for _, t in docs for x in (t or "").split()}}
+    mixed = lambda v: int(K.mix(np.array([v % (1 << 64)], np.uint64))[0])
+
+    def hashed(t):
+        w = [hashes[low(x)] for x in (t or "").split()]
+        pairs = [mixed(a * salt + b) for gap, salt in ((1, 0xD1342543DE82EF95), (2, 0xAF251AF3B0F025B5)) for a, b in zip(w, w[gap:])]
+        return {v >> (64 - X.BITS) for v in [*w, *pairs]} | {"bias"}
+
+    z, n = defaultdict(float), defaultdict(float)
+    weight = lambda f: 0.0 if abs(z[f]) <= 1.0 else -(z[f] - math.copysign(1.0, z[f])) / ((X.BETA + math.sqrt(n[f])) / X.ALPHA + X.L2)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = sorted((mixed(i), hashed(dict(docs)[i]), y) for i, y in labels if not held(i))
+    for _ in range(X.EPOCHS):
+        for _, features, y in rows:
+            w = {f: weight(f) for f in features}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for f in features:
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / X.ALPHA * w[f]
+                n[f] += g * g
+    got = {r.doc_id: r.score for r in X.toxicity(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"), l1=1.0).collect()}
+    for i, t in docs:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-sum(map(weight, hashed(t))))), rel_tol=1e-9), i
+
+
+def test_repeated_ids_are_learnt_alike(spark):
+    docs = spark.createDataFrame([(i % 40, f"{'bad' if i % 2 else 'good'} w{i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    for f in (quality, toxicity):
+        runs = [sorted((r.doc_id, r.score) for r in f(docs.repartition(n, "text"), labels).collect()) for n in (1, 3)]
+        assert runs[0] == runs[1] and len(runs[0]) == 400
+
+
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
