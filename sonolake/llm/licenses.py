@@ -1,20 +1,22 @@
 """License scans, in DataFrame functions only.
 
-Phrases: places where a phrase's words stand consecutively. Texts are lower-cased and each separator run
-becomes two blanks, so every word owns the blank on either side and phrase places are plain
-substrings; word positions are counts of blanks.
-
-Templates: an exact containment join. Blocks (stretches between blank lines and . ! ? ;) hold distinct tokens; a single
-line end is white space, since license texts are wrapped. A block has at least the tokens of each of its lines, so what
-a cut at every line end (as in the SQL) finds is found as well;
-a block meets a template when it holds at least `threshold` of the template's distinct tokens.
-Tokens are ordered by their frequency over all documents. A block that meets a template of n tokens shares
+One pass over the text makes a small row for each document, which is written: base columns, and the template tokens of each
+block. Letters A-Z are lower-cased and separators become blanks, but for sentence marks and line ends, by one translate().
+
+Phrases: places where a phrase's words stand consecutively. Each separator run becomes two blanks, so every word owns the
+blank on either side and phrase places are plain substrings; word positions are counts of blanks.
+
+Templates: an exact containment join. Blocks are paragraphs (between blank lines) for templates that are paragraphs of
+license texts, and sentences (between . ! ? ; within a paragraph) for those that are one sentence; a single line end is white space, since
+license texts are wrapped. A block meets a template when it holds at least `threshold` of the template's distinct tokens.
+Tokens are ordered by the number of sentences that hold them, over all documents. A block that meets a template of n tokens shares
 a = ceil(threshold * n) of them, so it has one of the template's n - a + 1 rarest (prefix filter), has at
-least a tokens (length filter), and what follows its first shared token on both sides still
+least a tokens of templates (length filter), and what follows its first shared token on both sides still
 reaches a (positional filter). What passes is verified by intersection.
 
-The template index is a parameter of bounded size and is broadcast; text is never shuffled.
-Null text is empty. Rows with equal ids share their template labels. A null id has no template labels.
+The template index is a parameter of bounded size and is broadcast; text is never shuffled. Labels go back by the number of a row, not by
+its id, so rows with null or equal ids keep their own. Null text is empty and has no labels; texts of any length are
+scanned whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import cut
+
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening sentences of public licenses, with their labels.
+#: Sentences of public licenses and license notices, with their labels.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("apache-2", "licensed under the apache license version 2"),
@@ -36,9 +40,24 @@ TEMPLATES = (
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
     ("cc0", "the author has waived all copyright and related or neighboring rights to this work"),
 )
+#: Whole paragraphs of public licenses, with their labels.
+PARAGRAPHS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+)
 THRESHOLD = 0.8
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCKS = r"[.!?;]+|\n[ \t\r\x0B\f]*\n"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MARKS = ".!?;"
+_BLANK = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in _MARKS + "\n")
+
+
+def spelled(text: Column) -> Column:
+    """Words of lower-case letters, digits and what is beyond ASCII; between them blanks, line ends, and a point for each sentence mark."""
+    return F.translate(text, _UPPER + _MARKS + _BLANK, _LOWER + "." * len(_MARKS) + " " * len(_BLANK))
 
 
 def _blanks(c: Column) -> Column:
@@ -50,81 +69,86 @@ def _padded(words: Column) -> Column:
     return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def base_scan(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, found (labels of the phrases) and lowered text."""
-    df = docs.withColumn("n_words", (_blanks(F.col("norm")) / 2).cast("long"))
+def base_columns(phrases: dict[str, str]) -> list[Column]:
+    """n_words, n_base, first_word, last_word and found (labels of the phrases) from norm."""
+    n_words = (_blanks(F.col("norm")) / 2).cast("long")
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in phrases.items():
         own = phrase.split()
-        spelled = " " + "  ".join(own) + " "
-        there = F.col("norm").contains(spelled)
-        without = F.replace(F.col("norm"), F.lit(spelled), F.lit(""))
-        counts.append(F.when(there, ((F.length("norm") - F.length(without)) / len(spelled)).cast("long")).otherwise(F.lit(0)))
-        firsts.append(F.when(there, (_blanks(F.substring_index("norm", spelled, 1)) / 2).cast("long")))
-        lasts.append(F.when(there, F.col("n_words") - (_blanks(F.substring_index("norm", spelled, -1)) / 2).cast("long") - len(own)))
+        written = " " + "  ".join(own) + " "
+        there = F.col("norm").contains(written)
+        without = F.replace(F.col("norm"), F.lit(written), F.lit(""))
+        counts.append(F.when(there, ((F.length("norm") - F.length(without)) / len(written)).cast("long")).otherwise(F.lit(0)))
+        firsts.append(F.when(there, (_blanks(F.substring_index("norm", written, 1)) / 2).cast("long")))
+        lasts.append(F.when(there, n_words - (_blanks(F.substring_index("norm", written, -1)) / 2).cast("long") - len(own)))
         labels.append(F.when(there, F.lit(label)))
     pick = lambda f, cols: f(*cols) if len(cols) > 1 else cols[0]
-    return df.select(
-        "doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), pick(F.least, firsts).alias("first_word"), pick(F.greatest, lasts).alias("last_word"), F.array_compact(F.array(*labels)).alias("found")
-    )
+    return [n_words.alias("n_words"), sum(counts[1:], counts[0]).alias("n_base"), pick(F.least, firsts).alias("first_word"), pick(F.greatest, lasts).alias("last_word"), F.array_compact(F.array(*labels)).alias("found")]
+
 
+def template_tokens(text: Column, vocabulary: list[str]) -> Column:
+    """For each paragraph, for each of its sentences, the distinct tokens that templates have, as places in the vocabulary."""
+    place = F.create_map(*(F.lit(x) for pair in zip(vocabulary, range(len(vocabulary)), strict=True) for x in pair))
+    known = lambda s: F.array_distinct(F.transform(F.filter(F.split(s, "[ \n]+"), lambda w: w.isin(vocabulary)), lambda w: place[w]))
+    some = lambda lists: F.filter(lists, lambda x: F.size(x) > 0)
+    return some(F.transform(F.split(text, "\n *\n"), lambda p: some(F.transform(F.split(p, "\\.+"), known))))
 
-def token_order(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Rank of each template token by its frequency over all documents, rarest first."""
-    words = docs.select(F.explode(F.split("norm", " +")).alias("token")).where(F.col("token").isin(vocabulary))
-    counts = {r.token: r.n for r in words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    return {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (counts.get(t, 0), t)))}
 
+def token_order(rows: DataFrame, count: int) -> list[int]:
+    """Rank of each template token by the number of sentences that hold it, rarest first."""
+    each = rows.select(F.explode(F.flatten(F.flatten("blocks"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.token: r.n for r in each.toLocalIterator()}  # one row for each token of the templates
+    rank = [0] * count
+    for k, token in enumerate(sorted(range(count), key=lambda t: (counts.get(t, 0), t))):
+        rank[token] = k
+    return rank
 
-def template_join(docs: DataFrame, order: dict[str, int], templates, threshold: float) -> DataFrame:
-    """doc_id, block (number), label, template, containment of every block that meets a template."""
-    spark = docs.sparkSession
+
+def template_join(blocks: DataFrame, rank: list[int], templates: list[tuple[str, list[int]]], threshold: float) -> DataFrame:
+    """row, label, containment of every block (row, known: token places) that meets a template."""
+    spark = blocks.sparkSession
     index, whole = [], []
-    for k, (label, text) in enumerate(templates):
-        tokens = sorted(set(text.split()), key=order.__getitem__)
+    for k, (label, places) in enumerate(templates):
+        tokens = sorted(rank[t] for t in places)
         least = math.ceil(threshold * len(tokens) - 1e-9)
         whole.append((k, label, tokens, len(tokens), least))
         index += [(t, k, p) for p, t in enumerate(tokens[: len(tokens) - least + 1])]
-    prefixes = sorted({t for t, _, _ in index})
-    likely = F.lit(False)
-    for t in prefixes:
-        likely = likely | F.col("norm").contains(f" {t} ")
-    ranks = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    blocks = (
-        docs.where(F.col("doc_id").isNotNull() & likely)
-        .select("doc_id", F.posexplode(F.split("lowered", _BLOCKS)).alias("block", "raw"))
-        .select("doc_id", "block", F.array_distinct(F.filter(F.split(F.regexp_replace("raw", _SEPARATORS, " "), " +"), lambda w: w != "")).alias("tokens"))
-        # tokens outside every template come first in the order: they are the rarest for this join
-        .withColumn("known", F.array_sort(F.array_compact(F.transform("tokens", lambda w: ranks[w]))))
-    )
-    posted = F.broadcast(spark.createDataFrame([(order[t], k, p) for t, k, p in index], "rank int, template int, position int"))
-    sides = F.broadcast(spark.createDataFrame(whole, "template int, label string, own array<string>, n int, least int"))
+    # tokens outside every template come first in the order: they are the rarest for this join
+    ranks = F.array(*map(F.lit, rank))
+    ranked = blocks.where(F.size("known") >= min(w[4] for w in whole)).select("row", F.array_sort(F.transform("known", lambda t: ranks[t])).alias("known"))
+    posted = F.broadcast(spark.createDataFrame(index, "rank int, template int, position int"))
+    sides = F.broadcast(spark.createDataFrame(whole, "template int, label string, own array<int>, n int, least int"))
     candidates = (
-        blocks.where(F.size("known") >= min(w[4] for w in whole))
-        .select("*", F.posexplode("known").alias("at", "rank"))
+        ranked.select("*", F.posexplode("known").alias("at", "rank"))
         .join(posted, "rank")
         .join(sides, "template")
-        .where((F.size("tokens") >= F.col("least")) & (F.least(F.size("known") - F.col("at"), F.col("n") - F.col("position")) >= F.col("least")))
+        .where((F.size("known") >= F.col("least")) & (F.least(F.size("known") - F.col("at"), F.col("n") - F.col("position")) >= F.col("least")))
     )
-    shared = F.size(F.array_intersect("tokens", "own"))
-    return candidates.withColumn("containment", shared / F.col("n")).where(shared >= F.col("least")).select("doc_id", "block", "template", "label", "containment").distinct()
+    shared = F.size(F.array_intersect("known", "own"))
+    return candidates.where(shared >= F.col("least")).select("row", "label", (shared / F.col("n")).alias("containment"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, paragraphs=PARAGRAPHS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    # explode() of one value keeps each text from being worked out again for every filter that Catalyst pushes down
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(F.lower(F.coalesce(F.col(text_col), F.lit(""))))).alias("lowered"))
-    rows = rows.select("doc_id", "lowered", F.explode(F.array(F.regexp_replace("lowered", _SEPARATORS, "  "))).alias("spaced"))
-    rows = rows.select("doc_id", "lowered", F.explode(F.array(_padded(F.trim("spaced")))).alias("norm"))
-    order = token_order(rows, sorted({t for _, text in templates for t in text.split()}))
-    met = template_join(rows, order, templates, threshold).groupBy("doc_id").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best"))
+    vocabulary = sorted({t for _, text in (*templates, *paragraphs) for t in text.split()})
+    place = {t: k for k, t in enumerate(vocabulary)}
+    # explode() of one value keeps each text from being worked out again for every expression that uses it
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.explode(F.array(spelled(F.coalesce(F.col(text_col), F.lit(""))))).alias("plain"))
+    rows = rows.select("doc_id", "plain", F.explode(F.array(_padded(F.trim(F.regexp_replace("plain", "[ .\n]+", "  "))))).alias("norm"))
+    rows = cut(rows.select("doc_id", F.monotonically_increasing_id().alias("row"), *base_columns(phrases), template_tokens(F.col("plain"), vocabulary).alias("blocks")))
+    rank, met = token_order(rows, len(vocabulary)), None
+    per_paragraph = rows.select("row", F.explode("blocks").alias("paragraph"))
+    for own, blocks in ((templates, per_paragraph.select("row", F.explode("paragraph").alias("known"))), (paragraphs, per_paragraph.select("row", F.array_distinct(F.flatten("paragraph")).alias("known")))):
+        if own:
+            part = template_join(blocks, rank, [(label, sorted({place[t] for t in text.split()})) for label, text in own], threshold)
+            met = part if met is None else met.union(part)
+    if met is None:
+        found = rows.withColumns({"met": F.array().cast("array<string>"), "best": F.lit(None).cast("double")})
+    else:
+        found = rows.join(met.groupBy("row").agg(F.collect_set("label").alias("met"), F.max("containment").alias("best")), "row", "left")  # a label of the templates each
     both = F.array_sort(F.array_union("found", F.coalesce("met", F.array().cast("array<string>"))))
-    return (
-        base_scan(rows, phrases)
-        .join(met, "doc_id", "left")
-        .select(
-            "doc_id", "n_words", "n_base", "first_word", "last_word",
-            F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
-            F.when(F.size("found") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
-        )
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word",
+        F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"),
+        F.when(F.size("found") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )

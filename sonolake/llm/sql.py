@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import PHRASES, TEMPLATES, THRESHOLD
+from .licenses import PARAGRAPHS, PHRASES, TEMPLATES, THRESHOLD
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
@@ -47,14 +47,17 @@ links as (select a, b from p join c ca on a = ca.doc_id join c cb on b = cb.doc_
 select w.doc_id, coalesce(c.n, 0) as n_shingles, coalesce(least(low.m, w.doc_id), w.doc_id) as component_id, coalesce(n.n, 0) as n_links from w left join c on w.doc_id = c.doc_id left join low on w.doc_id = low.a left join n on w.doc_id = n.a"""
 
 _PHRASES = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
-_TEMPLATES = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))!r})" for k, (label, text) in enumerate(TEMPLATES))
+_TEMPLATES = ", ".join(f"('{kind}', '{label}', {sorted(set(text.split()))!r})" for kind, own in (("sentence", TEMPLATES), ("paragraph", PARAGRAPHS)) for label, text in own)
+_PLAIN = rf"regexp_replace(regexp_replace({_LOWERED}, '[!?;]', '.', 'g'), '[\x00-\x09\x0B-\x2D\x2F\x3A-\x60\x7B-\x7F]', ' ', 'g')"
 _OP7 = rf"""with w as (select doc_id, regexp_extract_all({_LOWERED}, '{_ALNUM}') as ws from documents), ph(phrase, label, k) as (values {_PHRASES}),
 places as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from w where len(ws) > 0),
 hit as (select doc_id, i - 1 as i, label from places, ph where array_to_string(ws[i:i + k - 1], ' ') = phrase),
 base as (select doc_id, count(*) as n, min(i) as a, max(i) as z, string_agg(distinct label, ',' order by label) as l from hit group by 1),
-blocks as (select doc_id, list_distinct(regexp_extract_all(block, '{_ALNUM}')) as t from (select doc_id, unnest(regexp_split_to_array({_LOWERED}, '[\n.!?;]+')) as block from documents)),
-tp(id, label, own) as (values {_TEMPLATES}),
-near as (select doc_id, label, len(list_intersect(t, own)) / cast(len(own) as double) as c from blocks, tp where len(list_intersect(t, own)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
+paragraphs as (select doc_id, unnest(regexp_split_to_array({_PLAIN}, '\n *\n')) as p from documents),
+sentences as (select doc_id, unnest(regexp_split_to_array(p, '\.+')) as p from paragraphs),
+blocks as (select doc_id, kind, list_distinct(regexp_extract_all(p, '{_ALNUM}')) as t from (select doc_id, 'sentence' as kind, p from sentences union all select doc_id, 'paragraph', p from paragraphs)),
+tp(kind, label, own) as (values {_TEMPLATES}),
+near as (select doc_id, label, len(list_intersect(t, own)) / cast(len(own) as double) as c from blocks join tp on blocks.kind = tp.kind where len(t) >= ceil({THRESHOLD} * len(own) - 1e-9) and len(list_intersect(t, own)) >= ceil({THRESHOLD} * len(own) - 1e-9)),
 best as (select doc_id, max(c) as c from near group by 1),
 labels as (select doc_id, string_agg(distinct label, ',' order by label) as l from (select doc_id, label from hit union select doc_id, label from near) group by 1)
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(base.n, 0) as n_base, base.a as first_word, base.z as last_word, coalesce(base.l, '') as base_labels, coalesce(labels.l, '') as labels,
