@@ -14,7 +14,7 @@ from sonolake.llm import packing, pii
 from sonolake.llm import quality as Q
 from sonolake.llm import toxicity as X
 from sonolake.llm.decontaminate import MOST_BYTES, _parts, decontaminate
-from sonolake.llm.licenses import PHRASES, license_scan
+from sonolake.llm.licenses import PARAGRAPHS, PHRASES, TEMPLATES, license_scan
 from sonolake.llm.ppm import DISCOUNT, lm_score
 from sonolake.llm.queries import QUERIES, tokenizer_path
 
@@ -113,6 +113,32 @@ def test_licenses_in_wrapped_lines(spark):
     assert got == {i: ("mit" if i < 20 else "bsd", 1.0) if i < 100 else ("", 0.0) for i, _ in docs}
 
 
+def test_license_paragraphs_and_rows_with_one_id(spark):
+    isc, gpl = PARAGRAPHS[3][1].split(), PARAGRAPHS[5][1]
+    wrapped = "\n".join(textwrap.wrap(" ".join(w.upper() if k % 9 == 0 else w for k, w in enumerate(isc)), 60))
+    rows = [(1, f"Hello.\n\n{wrapped.replace(' granted', '; granted')}.\n\nBye"), (1, "nothing"), (None, gpl), (2, " ".join(isc[: len(isc) // 2])), (3, "under the \u212aey license"), (4, None)]
+    got = sorted((r.doc_id or 0, r.labels, r.score) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "gpl-3", 1.0), (1, "", 0.0), (1, "isc", 1.0), (2, "", 0.0), (3, "", 0.0), (4, "", 0.0)]
+
+
+def test_op7_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from sonolake.llm.sql import ORACLE
+
+    rnd = random.Random(12)
+    words = sorted({w for _, t in (*TEMPLATES, *PARAGRAPHS) for w in t.split()})
+    marks = ["\n", ". ", "\n\n", "; ", "\n - \n", "\t"]
+    pick = lambda: rnd.choice(TEMPLATES + PARAGRAPHS)[1].split() if rnd.random() < 0.6 else [*rnd.choices(words, k=6), "x", "MIT"]
+    text = lambda: "".join((rnd.choice(marks) if rnd.random() < 0.08 else " ") + w for w in pick() if rnd.random() < 0.95)
+    spark.createDataFrame([(i, "".join(text() for _ in range(rnd.randint(0, 5))) or None) for i in range(300)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = QUERIES["op7_license_scan"](spark, str(tmp_path))
+    rows = sorted(map(repr, map(tuple, got.collect())))
+    assert rows == sorted(map(repr, con.execute(f"select {', '.join(got.columns)} from ({ORACLE['op7_license_scan']})").fetchall())) and sum("bsd" in r for r in rows) > 3
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
