@@ -2,13 +2,18 @@
 
 1. Each text becomes its set of n-gram hashes. Equal sets form one class (partial aggregation), and only a
    class's smallest id goes on.
-2. Candidates, exactly: sets a and b that reach num/den differ in at most (|a| + |b|)(den - num)/(den + num) n-grams.
+2. Candidates, exactly, by signatures of which similar sets have one in common.
+   Thresholds at which a part (below) holds FULL / 2 n-grams or more: sets a and b that reach num/den differ in at most
+   (|a| + |b|)(den - num)/(den + num) n-grams.
    The hash space is cut into SPARE + 1 parts more than that, so a similar pair agrees on at least SPARE + 1 whole
    parts. Each set sends one signature for each part, but leaves out parts of at most THIN n-grams if it has no more
    than SPARE of them: of a pair's common parts one is then left, unless both sets have more thin parts, and
-   then both send all. Thresholds that leave parts with few n-grams leave out only empty parts, and have an eighth
-   more parts to spare. How many parts there are follows from a set's size class, and sets send those of
+   then both send all. How many parts there are follows from a set's size class, and sets send those of
    every class up to their largest partner's as well.
+   Lower thresholds, whose parts would be single n-grams: the n-grams that come first in one global order, as many as
+   a set may miss and one more (prefix filter). The order is by how many sets, over all documents, have an n-gram of the
+   same slot, rarest first, then by hash: SLOTS counts, whatever the input, are gathered and broadcast. N-grams
+   that share a slot only change the order, never the result.
 3. Signatures meet in shards. Each task links its own holders of a signature to the smallest, so a shard gets
    one holder for each task, however large a group is. The links' components are the candidate groups.
 4. Groups are joined exactly with prefix trees. A large group, by sets or by n-grams, is cut into chunks by salt, and
@@ -41,6 +46,8 @@ N, NUM, DEN = 3, 90, 100
 RATIO = 1.2
 SPARE, THIN = 4, 2
 FULL = 16  # parts hold FULL / 2 n-grams or more: SPARE and THIN apply
+SLOTS = 1 << 20  # counts behind the global order of n-grams
+_SLICE = 1 << 16
 SMALL = 60  # classes up to this size have few parts, none of them thin; all are sent
 CHUNK, CHUNKS = 250, 64  # sets of a chunk; chunks of a group, unless its n-grams demand more
 CHUNK_TOKENS = 500_000  # n-grams of a chunk, on average over its group
@@ -79,13 +86,13 @@ def _class(n: int) -> int:
 
 
 def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
-    """One hash for each part of the hash space, for the size classes in which partners look."""
+    """One hash for each part of the hash space, for the size classes in which partners look (parts of FULL / 2 n-grams or more)."""
     n, out = len(own), []
     # every class from the set's own to that of its largest partner: two partners share the larger one's class
     for k in range(_class(n), _class(max(n, n * den // num)) + 1):
         largest = int(RATIO ** (k + 1)) + 1
         needed = 2 * largest * (den - num) // (den + num) + 1
-        spare, thin = (SPARE, THIN) if den + num >= FULL * (den - num) else (needed // 8, 0)
+        spare, thin = SPARE, THIN
         spare = spare if largest > SMALL else 0
         cuts = needed + spare
         part = ((K.mix(own) >> _U64(32)) * _U64(cuts)) >> _U64(32)
@@ -98,6 +105,40 @@ def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def slot_counts(rows: DataFrame, n: int) -> np.ndarray:
+    """How many sets have an n-gram of each slot, over all documents: SLOTS numbers."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for _, _, offsets, data in K.blocks(b):
+                total += np.bincount(_slot(sets(K.Words(offsets, data, lower=True), n)[0]), minlength=SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS // _SLICE)), pa.array([x.astype(np.uint32).tobytes() for x in total.reshape(-1, _SLICE)], pa.binary())], names=["slice", "counts"])
+
+    def add_up(t: pa.Table) -> pa.Table:
+        total = np.zeros(_SLICE, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    counts = np.zeros((SLOTS // _SLICE, _SLICE), np.int64)
+    for r in rows.select("text").mapInArrow(tally, "slice long, counts binary").groupBy("slice").applyInArrow(add_up, "slice long, counts binary").toLocalIterator():
+        counts[r.slice] = np.frombuffer(bytes(r.counts), np.int64)
+    return counts.ravel()
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (K.mix(key) >> _U64(44)).astype(np.int64)
+
+
+def prefixes(key: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat n-grams that come first in the global order, how many of each set): one more than a partner may miss."""
+    order = np.lexsort((key, counts[_slot(key)], np.repeat(np.arange(len(sizes)), sizes)))
+    most = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
+    return key[order][K.ragged(np.cumsum(sizes) - sizes, most)], most
+
+
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(keys, smallest holder of each, and links that connect the holders of a key: one for each holder)."""
     order = np.lexsort((doc, key))
@@ -111,6 +152,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included)."""
     n_shards = parts(text_size(docs, text_col)[1], SHARD_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    whole_parts = den + num >= FULL * (den - num)
+    shared = None if whole_parts else rows.sparkSession.sparkContext.broadcast(slot_counts(rows, n))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,10 +161,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 key, sizes = sets(K.Words(offsets, data, lower=True), n)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 name = names(key, sizes)
-                sigs = [signatures(key[at[d] : at[d + 1]], num, den) if sizes[d] else key[:0] for d in range(j - i)]
+                if whole_parts:
+                    each = [signatures(key[at[d] : at[d + 1]], num, den) if sizes[d] else key[:0] for d in range(j - i)]
+                    sigs, counts = np.concatenate(each), [len(x) for x in each]
+                else:
+                    sigs, counts = prefixes(key, sizes, shared.value, num, den)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id")[i:j], pa.array(sizes.astype(np.int64)), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)),
-                     K.list_array(np.concatenate(sigs).view(np.int64), np.cumsum([0, *map(len, sigs)]))],
+                     K.list_array(sigs.view(np.int64), np.concatenate([[0], np.cumsum(counts)]))],
                     names=["doc_id", "n_shingles", "name", "name2", "sigs"],
                 )
 
