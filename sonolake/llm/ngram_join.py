@@ -11,9 +11,10 @@
    then both send all. How many parts there are follows from a set's size class, and sets send those of
    every class up to their largest partner's as well.
    Lower thresholds, whose parts would be single n-grams: the n-grams that come first in one global order, as many as
-   a set may miss and one more (prefix filter). The order is by how many sets, over all documents, have an n-gram of the
-   same slot, rarest first, then by hash: SLOTS counts, whatever the input, are gathered and broadcast. N-grams
-   that share a slot only change the order, never the result.
+   a set may miss and one more (prefix filter). The order is by how many sets, over all documents, have the n-gram, rarest
+   first, then by hash. Buckets of documents ask shards of n-grams for these counts; 32 bits of an n-gram travel beside
+   its shard, and n-grams that agree in them share a count, which only changes the order, never the result. An n-gram
+   of one set alone is no signature.
 3. Signatures meet in shards. Each task links its own holders of a signature to the smallest, so a shard gets
    one holder for each task, however large a group is. The links' components are the candidate groups.
 4. Groups are joined exactly with prefix trees. A large group, by sets or by n-grams, is cut into chunks by salt, and
@@ -46,8 +47,8 @@ N, NUM, DEN = 3, 90, 100
 RATIO = 1.2
 SPARE, THIN = 4, 2
 FULL = 16  # parts hold FULL / 2 n-grams or more: SPARE and THIN apply
-SLOTS = 1 << 20  # counts behind the global order of n-grams
-_SLICE = 1 << 16
+BUCKET_BYTES = 16 << 20  # of text of a bucket, and of the text whose n-grams a shard of counts holds
+_EXACT = 200  # counts beyond are told by their logarithm
 SMALL = 60  # classes up to this size have few parts, none of them thin; all are sent
 CHUNK, CHUNKS = 250, 64  # sets of a chunk; chunks of a group, unless its n-grams demand more
 CHUNK_TOKENS = 500_000  # n-grams of a chunk, on average over its group
@@ -105,38 +106,58 @@ def signatures(own: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def slot_counts(rows: DataFrame, n: int) -> np.ndarray:
-    """How many sets have an n-gram of each slot, over all documents: SLOTS numbers."""
+def _short(key: np.ndarray, n_shards: int) -> np.ndarray:
+    """The shard of an n-gram and 32 of its bits."""
+    h = K.mix(key)
+    return ((h % _U64(n_shards)) << _U64(32)) | (h >> _U64(32))
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            for _, _, offsets, data in K.blocks(b):
-                total += np.bincount(_slot(sets(K.Words(offsets, data, lower=True), n)[0]), minlength=SLOTS)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS // _SLICE)), pa.array([x.astype(np.uint32).tobytes() for x in total.reshape(-1, _SLICE)], pa.binary())], names=["slice", "counts"])
-
-    def add_up(t: pa.Table) -> pa.Table:
-        total = np.zeros(_SLICE, np.int64)
-        for x in t.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    counts = np.zeros((SLOTS // _SLICE, _SLICE), np.int64)
-    for r in rows.select("text").mapInArrow(tally, "slice long, counts binary").groupBy("slice").applyInArrow(add_up, "slice long, counts binary").toLocalIterator():
-        counts[r.slice] = np.frombuffer(bytes(r.counts), np.int64)
-    return counts.ravel()
+def _level(n: np.ndarray) -> np.ndarray:
+    """A count in one byte, in the same order."""
+    return np.where(n <= _EXACT, n, _EXACT + np.log2(np.maximum(n, 1))).astype(np.uint8)
 
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return (K.mix(key) >> _U64(44)).astype(np.int64)
+def frequencies(bucketed: DataFrame, n: int, n_shards: int) -> DataFrame:
+    """(bucket, shard, levels) of each bucket's distinct n-grams, in the order of _short()."""
 
+    def ask(t: pa.Table) -> pa.Table:
+        own = np.sort(np.concatenate([_short(sets(K.Words(offsets, data, lower=True), n)[0], n_shards) for _, _, offsets, data in K.blocks(t)]))
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        times, own = np.diff(np.append(at, len(own))), own[at]
+        there, first = np.unique((own >> _U64(32)).astype(np.int64), return_index=True)
+        ends = np.append(first, len(own))
+        often = np.flatnonzero(times > 1)  # most n-grams of a bucket are in one set of it
+        cuts = np.searchsorted(often, ends)
+        lists = lambda values, cut: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(values.astype(np.int32)))
+        return pa.table({
+            "shard": pa.array(there), "bucket": pa.array(np.full(len(there), t.column("bucket")[0].as_py())), "key": lists((own & _U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), ends),
+            "place": lists(often - np.repeat(first, np.diff(cuts)), cuts), "times": lists(times[often], cuts),
+        })
 
-def prefixes(key: np.ndarray, sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(flat n-grams that come first in the global order, how many of each set): one more than a partner may miss."""
-    order = np.lexsort((key, counts[_slot(key)], np.repeat(np.arange(len(sizes)), sizes)))
+    def add_up(t: pa.Table) -> pa.Table:
+        key, sizes = K.flat(t.column("key"), np.int32)
+        key, starts = key.view(np.uint32), np.cumsum(sizes) - sizes
+        place, often = K.flat(t.column("place"), np.int32)
+        count = np.ones(len(key), np.int64)
+        count[np.repeat(starts, often) + place] = K.flat(t.column("times"), np.int32)[0]
+        order = np.argsort(key)
+        fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        level = np.empty(len(key), np.uint8)
+        level[order] = _level(np.add.reduceat(count[order], np.flatnonzero(fresh)))[np.cumsum(fresh) - 1]
+        return pa.table({"bucket": t.column("bucket"), "shard": t.column("shard"), "levels": pa.array([level[i : i + k].tobytes() for i, k in zip(starts, sizes, strict=True)], pa.binary())})
+
+    asked = bucketed.groupBy("bucket").applyInArrow(ask, "shard long, bucket long, key array<int>, place array<int>, times array<int>")
+    return asked.groupBy("shard").applyInArrow(add_up, "bucket long, shard long, levels binary")
+
+
+def prefixes(key: np.ndarray, sizes: np.ndarray, level: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat n-grams that come first in the global order, how many of each set): one more than a partner may miss, without those of one set."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((key, level, doc))
     most = np.where(sizes > 0, sizes - -(-num * sizes // den) + 1, 0)
-    return key[order][K.ragged(np.cumsum(sizes) - sizes, most)], most
+    at = order[K.ragged(np.cumsum(sizes) - sizes, most)]
+    at = at[level[at] > 1]
+    return key[at], np.bincount(doc[at], minlength=len(sizes))
 
 
 def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,31 +169,41 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], doc[first], *K.forest(doc[doc != lead], lead[doc != lead])
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents linked directly, copies included)."""
     n_shards = parts(text_size(docs, text_col)[1], SHARD_BYTES)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    whole_parts = den + num >= FULL * (den - num)
-    shared = None if whole_parts else rows.sparkSession.sparkContext.broadcast(slot_counts(rows, n))
+    described = "doc_id long, n_shingles long, name long, name2 long, sigs array<long>"
+    columns = ["doc_id", "n_shingles", "name", "name2", "sigs"]
+
+    def row(ids: pa.Array, key: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, counts: np.ndarray | list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), *(pa.array(x.view(np.int64)) for x in names(key, sizes)), K.list_array(sigs.view(np.int64), np.cumsum([0, *counts]))], names=columns)
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, offsets, data in K.blocks(b):
                 key, sizes = sets(K.Words(offsets, data, lower=True), n)
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                name = names(key, sizes)
-                if whole_parts:
-                    each = [signatures(key[at[d] : at[d + 1]], num, den) if sizes[d] else key[:0] for d in range(j - i)]
-                    sigs, counts = np.concatenate(each), [len(x) for x in each]
-                else:
-                    sigs, counts = prefixes(key, sizes, shared.value, num, den)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id")[i:j], pa.array(sizes.astype(np.int64)), pa.array(name[0].view(np.int64)), pa.array(name[1].view(np.int64)),
-                     K.list_array(sigs.view(np.int64), np.concatenate([[0], np.cumsum(counts)]))],
-                    names=["doc_id", "n_shingles", "name", "name2", "sigs"],
-                )
-
-    known = cut(rows.mapInArrow(describe, "doc_id long, n_shingles long, name long, name2 long, sigs array<long>"))
+                each = [signatures(key[at[d] : at[d + 1]], num, den) if sizes[d] else key[:0] for d in range(j - i)]
+                yield row(b.column("doc_id")[i:j], key, sizes, np.concatenate(each), [len(x) for x in each])
+
+    def by_prefix(own: pa.Table, told: pa.Table) -> pa.Table:
+        """The levels of a bucket line up with its n-grams in the order of _short()."""
+        ids, told = own.column("doc_id").combine_chunks(), told.sort_by("shard")
+        level = np.frombuffer(b"".join(told.column("levels").to_pylist()), np.uint8)
+        blocks = [(i, j, *sets(K.Words(offsets, data, lower=True), n)) for i, j, offsets, data in K.blocks(own)]
+        short = K.distinct(np.concatenate([np.zeros(0, _U64), *(_short(key, n_counts) for _, _, key, _ in blocks)]))
+        found = [row(ids[i:j], key, sizes, *prefixes(key, sizes, level[np.searchsorted(short, _short(key, n_counts))], num, den)) for i, j, key, sizes in blocks]
+        none = pa.schema([*((c, pa.int64()) for c in columns[:4]), ("sigs", pa.list_(pa.int64()))])
+        return pa.Table.from_batches(found) if found else none.empty_table()
+
+    if den + num >= FULL * (den - num):
+        known = cut(rows.mapInArrow(by_parts, described))
+    else:
+        n_counts = parts(text_size(docs, text_col)[1], bucket_bytes)
+        bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_counts)))
+        levels = frequencies(bucketed, n, n_counts)
+        known = cut(bucketed.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(by_prefix, described))
     some = known.where("n_shingles > 0 and doc_id is not null")
     members = some.select("doc_id", "name", "name2", "n_shingles").distinct()
     classes = cut(members.groupBy("name", "name2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("size")))
