@@ -100,7 +100,7 @@ def test_ngram_join_of_other_lengths_and_thresholds(spark, monkeypatch, tokens):
         long = [f"k{g}x{i}" for i in range(rnd.choice([90, 260, 700]))]
         docs += [(1000 + 20 * g + k, " ".join(long[: len(long) * (100 - 5 * k) // 100])) for k in range(10)]
     for n, num in ((5, 80), (3, 60)):
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in nj.ngram_join(frame(spark, docs), n=n, num=num).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in nj.ngram_join(frame(spark, docs), n=n, num=num, bucket_bytes=tokens * 20).collect()}
         assert got == near_rule(docs, n, num)
 
 
