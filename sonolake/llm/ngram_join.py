@@ -308,4 +308,6 @@ def _chunked(groups: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFram
     # chunk c meets every chunk from itself on: it takes part in the pieces (lo, hi) of all pairs that name it
     dealt = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
-    return dealt.select(F.pmod(F.xxhash64("component", "lo", "hi"), F.lit(n_shards)).alias("shard"), "component", "lo", "hi", "side", F.col("node").alias("rep"), "name", "copies", "text")
+    # the pieces of a group go to shards one after another, so that large ones do not meet by chance
+    number = F.expr("lo * chunks - lo * (lo - 1) div 2 + hi - lo")
+    return dealt.select(F.pmod(F.pmod(F.xxhash64("component"), F.lit(n_shards)) + number, F.lit(n_shards)).alias("shard"), "component", "lo", "hi", "side", F.col("node").alias("rep"), "name", "copies", "text")
