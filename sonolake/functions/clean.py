@@ -29,6 +29,22 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c.cast("string")), F.lit(""))
 
 
+def tags_list(c: Column, mark: str = "|") -> Column:
+    """The tags of a text, in order, without empty ones."""
+    return F.filter(F.split(c, f"[{mark}]"), lambda t: t != "")
+
+
+def tags_text(tags: Column) -> Column:
+    """Tags as one text, joined by |."""
+    return F.array_join(tags, "|")
+
+
+def hundreds_path(hz: Column, name: Column) -> Column:
+    """The path of a recording by its band of a hundred Hz."""
+    low = F.floor(hz / 100).cast("long") * 100
+    return F.format_string("audio/%d-%d/%s.wav", low, low + 100, name.cast("string"))
+
+
 def to_number(c: Column) -> Column:
     """A number where the text is one, else null (NaN included)."""
     text = c.cast("string")

@@ -1,19 +1,15 @@
-"""Scores of rendered patterns, and the interference field they are rendered from."""
+"""Scores of rendered patterns."""
 
 from __future__ import annotations
 
 import numpy as np
 
-SPLIT = 0.62  # radius that parts the inner from the outer sources
-INNER, OUTER = 8, 14
-
 
 def symmetry_score(gray: np.ndarray) -> float:
-    """Half of one plus the correlation of an image and its mirror image, within 0 .. 1."""
+    """Half of one plus the correlation of an image and its mirror image, within 0 .. 1; half for an even gray."""
     a, b = gray.astype(float).ravel(), gray[:, ::-1].astype(float).ravel()
     a, b = a - a.mean(), b - b.mean()
-    norm = np.sqrt((a * a).sum() * (b * b).sum())
-    return float(np.clip(0.5 * ((a * b).sum() / norm + 1), 0, 1)) if norm > 0 else 1.0
+    return float(np.clip(0.5 * ((a * b).sum() / (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-12) + 1), 0, 1))
 
 
 def pattern_stability(frames: list[np.ndarray], step: int = 3) -> float:
@@ -22,21 +18,3 @@ def pattern_stability(frames: list[np.ndarray], step: int = 3) -> float:
     if len(own) < 2:
         return 1.0
     return float(np.mean([(a * b).sum() / (np.sqrt((a * a).sum() * (b * b).sum()) + 1e-12) for a, b in zip(own, own[1:])]))
-
-
-def sources() -> np.ndarray:
-    """Positions of the wave sources on two rings of the unit disc."""
-    rings = [(SPLIT * 0.5, INNER), ((1 + SPLIT) / 2, OUTER)]
-    return np.concatenate([np.stack([r * np.cos(t), r * np.sin(t)], axis=1) for r, k in rings for t in [2 * np.pi * np.arange(k) / k]])
-
-
-def interference(size: int, frequencies: list[float], amplitude: float, t: float) -> np.ndarray:
-    """Height field of waves of some spatial frequencies from all sources, on a square grid over the disc."""
-    axis = np.linspace(-1, 1, size)
-    x, y = np.meshgrid(axis, axis)
-    field = np.zeros((size, size))
-    for sx, sy in sources():
-        d = np.hypot(x - sx, y - sy)
-        for f in frequencies:
-            field += 0.6 * amplitude * np.sin(2 * np.pi * f / 2 * d + 0.3 * t * f)
-    return np.where(np.hypot(x, y) <= 1, field, 0.0)

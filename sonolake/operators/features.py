@@ -45,13 +45,21 @@ def long_enough(waves: DataFrame) -> DataFrame:
 
 
 def sliding_windows(waves: DataFrame) -> DataFrame:
-    """uuid, offset, energy of quarter-second windows at half steps; a short signal is one window."""
+    """uuid, offset, energy of quarter-second windows at half steps; a short signal is one window.
+
+    The energy is the sum of the power over the one-sided spectrum. By Parseval that is half of n times the sum of squares
+    and of the power of the bins that have no mirror: the mean's and, for even n, the highest one's.
+    """
     width = F.floor(F.col("sample_rate") * 0.25).cast("int")
     step = F.greatest((width / 2).cast("int"), F.lit(1))
     offsets = F.when(F.size("samples") > width, F.sequence(F.lit(0), F.size("samples") - width - 1, step)).otherwise(F.array(F.lit(0)))
     length = F.when(F.size("samples") > width, width).otherwise(F.size("samples"))
     cut = waves.where("size(samples) > 0").select("uuid", "samples", length.alias("w"), F.explode(offsets).alias("offset"))
-    return cut.select("uuid", "offset", F.aggregate(F.slice("samples", F.col("offset") + 1, F.col("w")), F.lit(0.0), lambda a, x: a + x * x).alias("energy"))
+    cut = cut.select("uuid", "offset", "w", F.slice("samples", F.col("offset") + 1, F.col("w")).alias("x"))
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
+    mean, squares = total(F.col("x")), total(F.transform("x", lambda x: x * x))
+    highest = F.when(F.col("w") % 2 == 0, total(F.transform("x", lambda x, i: F.when(i % 2 == 0, x).otherwise(-x)))).otherwise(F.lit(0.0))
+    return cut.select("uuid", "offset", ((F.col("w") * squares + mean * mean + highest * highest) / 2).alias("energy"))
 
 
 def harmonic_vote(candidates: DataFrame, harmonics: int = 4) -> DataFrame:

@@ -39,14 +39,12 @@ def merge_events(rows: DataFrame, events: DataFrame) -> DataFrame:
     rows = rows if "device" in rows.columns else rows.withColumn("device", F.lit(None).cast("string"))
     last = latest(events, ["uuid"], "event_time").select("uuid", blank_to_null(F.col("device")).alias("_device"), blank_to_null(F.col("event_time")).alias("_time"))
     merged = rows.join(last, "uuid", "left")
-    return merged.withColumn("device", F.coalesce("_device", blank_to_null(F.col("device")), F.lit("-"))).withColumn("time_recorded", F.coalesce("_time", "time_recorded", F.lit(""))).drop("_device", "_time")
+    return merged.withColumn("device", F.coalesce("_device", blank_to_null(F.col("device")), F.lit("-"))).withColumn("time_recorded", F.coalesce("_time", blank_to_null(F.col("time_recorded")), F.lit(""))).drop("_device", "_time")
 
 
 def uuid_of_path(path):
-    """The file stem of an audio path, by pattern or by the last part."""
-    by_pattern = F.nullif(F.regexp_extract(path, r"/([^/]+)\.wav$", 1), F.lit(""))
-    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    return F.coalesce(by_pattern, F.nullif(stem, F.lit("")))
+    """What stands behind the last slash of a path, without the ending .wav; other endings stay, and nothing is null."""
+    return F.nullif(F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.wav$", ""), F.lit(""))
 
 
 def append_evolving(old: DataFrame, new: DataFrame) -> DataFrame:

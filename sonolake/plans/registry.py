@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sonolake.functions.clean import no_sentinel, np_round, to_number
+from sonolake.functions.clean import hundreds_path, no_sentinel, np_round, tags_list, tags_text, to_number
 from sonolake.operators import features, zones
 from sonolake.plans import kpi
 from sonolake.sources import paged
@@ -71,7 +71,7 @@ _obs("lenient_numeric", lambda o: o.select("uuid", np_round(to_number(F.col("pea
 _obs("qa_required_keys", lambda o: zones.required_keys(zones.trim_all(o.select("uuid", "category")), "uuid", "category"), f"{OBS} select uuid, trim(category) as category from obs where length(trim(category)) > 0")
 _obs("pending_by_source", lambda o: kpi.typed(zones.pending(o, o.where("event_id % 3 = 0"))).groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{OBS} select source, count(*) as n from typed where event_id % 3 <> 0 group by source")
 _obs("pending_left_anti", lambda o: zones.pending(o.where("event_id % 3 = 0"), o.where("event_id % 6 = 0")).select("uuid", "source_id"), f"{OBS} select uuid, source_id from obs where event_id % 3 = 0 and event_id % 6 <> 0")
-_obs("pending_second_run", lambda o: zones.pending(o, o).agg(F.count(F.lit(1)).alias("n_pending")), "one as (select 1) select cast(0 as bigint) as n_pending")
+_obs("pending_second_run", lambda o: zones.pending(o, o).agg(F.count(F.lit(1)).alias("n_pending")), f"{OBS} select count(*) as n_pending from obs where uuid not in (select uuid from obs)")
 _obs("zone_overlap", lambda o: zones.zone_overlap({"landing": o, "trusted": o.where("event_id % 3 = 0"), "exploitation": o.where("event_id % 6 = 0")}), f"""{OBS}, z as (select uuid, 'landing' as zone from obs union all select uuid, 'trusted' from obs where event_id % 3 = 0 union all select uuid, 'exploitation' from obs where event_id % 6 = 0)
  select a.zone as zone_a, b.zone as zone_b, count(*) as n_shared from (select distinct * from z) a join (select distinct * from z) b on a.uuid = b.uuid and a.zone <= b.zone group by 1, 2""")
 _obs("column_profile", lambda o: zones.column_profile(kpi.typed(o).select("uuid", "category", "source", "peak")).select("column_name", "non_null"), f"{OBS} select 'uuid' as column_name, count(uuid) as non_null from typed union all select 'category', count(category) from typed union all select 'source', count(source) from typed union all select 'peak', count(peak) from typed")
@@ -117,9 +117,9 @@ def _event_json_parse(spark, d):
 
 QUERIES["event_json_parse"] = _event_json_parse
 ORACLE["event_json_parse"] = "select cast(event_id as varchar) as uuid, 'landing' as bucket, 44100 as sample_rate, 5 as duration, event_type as device from events"
-QUERIES["path_template"] = lambda spark, d: read(spark, d, "events").select("event_id", F.format_string("audio/%d-%d/%s.wav", F.floor(F.col("value") / 100).cast("long") * 100, (F.floor(F.col("value") / 100).cast("long") + 1) * 100, F.col("event_id").cast("string")).alias("path"))
+QUERIES["path_template"] = lambda spark, d: read(spark, d, "events").select("event_id", hundreds_path(F.col("value"), F.col("event_id")).alias("path"))
 ORACLE["path_template"] = "select event_id, 'audio/' || cast(cast(floor(value / 100) as bigint) * 100 as varchar) || '-' || cast((cast(floor(value / 100) as bigint) + 1) * 100 as varchar) || '/' || cast(event_id as varchar) || '.wav' as path from events"
-QUERIES["tags_roundtrip"] = lambda spark, d: read(spark, d, "part").select("p_partkey", F.array_join(F.transform(F.split("p_type", " "), F.lower), "|").alias("tags"), F.size(F.split("p_type", " ")).cast("long").alias("n_tags"))
+QUERIES["tags_roundtrip"] = lambda spark, d: read(spark, d, "part").select("p_partkey", tags_text(tags_list(F.lower("p_type"), " ")).alias("tags"), F.size(tags_list(tags_text(tags_list(F.col("p_type"), " ")))).cast("long").alias("n_tags"))
 ORACLE["tags_roundtrip"] = "select p_partkey, replace(lower(p_type), ' ', '|') as tags, cast(length(p_type) - length(replace(p_type, ' ', '')) + 1 as bigint) as n_tags from part"
 QUERIES["diverse_batch"] = lambda spark, d: zones.diverse_batch(read(spark, d, "documents").select("doc_id", "source"), "source", "doc_id", 250)
 ORACLE["diverse_batch"] = "select doc_id, source, rn from (select *, row_number() over (order by rn, source) as place from (select doc_id, source, row_number() over (partition by source order by doc_id) as rn from documents)) where place <= 250"
@@ -171,8 +171,9 @@ ORACLE["spectral_features"] = f"""with x as (select vec_id, unnest(embedding) as
  select 'vec-' || cast(b.vec_id as varchar) as uuid, {_R("max(c)", 5)} as spectral_centroid_hz, {_R("sqrt(sum((f - c) * (f - c) * m * m) / max(p))", 5)} as spectral_bandwidth_hz, {_R("max(fl)", 5)} as spectral_flatness,
  {_R("-sum(case when m * m / p > 1e-20 then m * m / p * ln(m * m / p) else 0 end)", 5)} as spectral_entropy from b join t on b.vec_id = t.vec_id group by b.vec_id"""
 QUERIES["sliding_windows"] = lambda spark, d: features.sliding_windows(_waves(spark, d)).select("uuid", "offset", np_round(F.col("energy"), 6).alias("energy"))
-ORACLE["sliding_windows"] = f"""with x as (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), o as (select unnest(range(0, 48, 8)) as o)
- select 'vec-' || cast(vec_id as varchar) as uuid, cast(o as int) as "offset", {_R("sum(cast(v as double) * cast(v as double))", 6)} as energy from x, o where i >= o and i < o + 16 group by vec_id, o"""
+ORACLE["sliding_windows"] = f"""with x as (select vec_id, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), o as (select unnest(range(0, 48, 8)) as o), k as (select unnest(range(0, 9)) as f),
+ p as (select vec_id, o, f, power(sum(v * cos(2 * pi() * f * (i - o) / 16)), 2) + power(sum(v * sin(2 * pi() * f * (i - o) / 16)), 2) as p from x, o, k where i >= o and i < o + 16 group by vec_id, o, f)
+ select 'vec-' || cast(vec_id as varchar) as uuid, cast(o as int) as "offset", {_R("sum(p)", 6)} as energy from p group by vec_id, o"""
 # whole energies, so that sums don't depend on their order
 QUERIES["harmonic_vote"] = lambda spark, d: features.harmonic_vote(read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("place"), F.floor("value").alias("bin"), (F.col("event_id") % 97 + 1).alias("energy")))
 ORACLE["harmonic_vote"] = """with s as (select user_id as key, event_id as place, cast(floor(value) as bigint) as bin, event_id % 97 + 1 as energy, d from events, (select unnest([1, 2, 3, 4]) as d) where floor(value) > 0 and cast(floor(value) as bigint) % d = 0),
@@ -198,7 +199,7 @@ def _paths(spark, d):
 
 
 QUERIES["uuid_from_path"] = _paths
-ORACLE["uuid_from_path"] = "select event_id, cast(event_id as varchar) as uuid from events"
+ORACLE["uuid_from_path"] = "select event_id, cast(event_id as varchar) || case when event_id % 3 = 1 then '.mp3' else '' end as uuid from events"
 
 
 def _valid_events(spark, d):

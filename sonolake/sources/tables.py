@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import wave
 from collections.abc import Iterator
@@ -22,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _glob(spark: SparkSession, path: str) -> list[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return [] if found is None else sorted(f.getPath().toString() for f in found)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A metadata table: header, all text, values over several lines, doubled quotes."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -50,9 +57,19 @@ def append_text(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 
 def export_csv(rows: DataFrame, path: str, first: tuple[str, ...] = ()) -> None:
-    """CSV with the priority columns first, then the others as they come."""
+    """CSV with the priority columns first, then the others as they come. Each list of columns has a folder of its own."""
     order = [c for c in first if c in rows.columns] + [c for c in rows.columns if c not in first]
-    rows.select(*(F.col(f"`{c}`") for c in order)).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    folder = hashlib.md5("\n".join(order).encode()).hexdigest()[:12]
+    rows.select(*(F.col(f"`{c}`") for c in order)).write.mode("append").option("header", True).option("escape", '"').csv(f"{path}/columns={folder}")
+
+
+def read_exports(spark: SparkSession, path: str) -> DataFrame | None:
+    """All that was exported to a path under the union of its columns; what a row lacks is null."""
+    out = None
+    for folder in _glob(spark, f"{path}/columns=*"):
+        part = read_csv(spark, folder)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def write_snapshot(rows: DataFrame, path: str) -> int:

@@ -75,7 +75,7 @@ def test_pending_twice_is_empty(spark):
 
 def test_paths(spark):
     df = spark.createDataFrame([("audio/hot-path/raw/x1.wav",), ("plain",), ("a/b.mp3",), ("",), (None,)], "p string")
-    assert [r[0] for r in df.select(zones.uuid_of_path(F.col("p"))).collect()] == ["x1", "plain", "b", None, None]
+    assert [r[0] for r in df.select(zones.uuid_of_path(F.col("p"))).collect()] == ["x1", "plain", "b.mp3", None, None]
 
 
 def test_aliases_round_trip(spark):
@@ -137,6 +137,30 @@ def test_merge_metrics(spark):
     assert tuple(zones.merge_metrics(rows.limit(0), events.limit(0)).first()) == (0, 0, 0, 0)
 
 
+def test_window_energy_is_the_spectrums(spark):
+    rng = np.random.default_rng(3)
+    rows = [("e", rng.normal(size=60).tolist(), 40), ("o", rng.normal(size=60).tolist(), 44), ("s", rng.normal(size=7).tolist(), 40)]
+    got = features.sliding_windows(spark.createDataFrame(rows, "uuid string, samples array<double>, sample_rate int")).collect()
+    by = {u: (np.array(x), r) for u, x, r in rows}
+    assert len(got) > 10
+    for r in got:
+        x, rate = by[r.uuid]
+        w = int(rate * 0.25) if len(x) > int(rate * 0.25) else len(x)
+        assert np.isclose(r.energy, (np.abs(np.fft.rfft(x[r.offset : r.offset + w])) ** 2).sum())
+
+
+def test_bins_are_rounded():
+    rate = 1000
+    x = np.sin(2 * np.pi * 99.6 * np.arange(1000) / rate)
+    assert dsp.peak_frequency(np.concatenate([x]), rate)["peak_frequency_hz"] == 100.0
+
+
+def test_blank_times_are_empty(spark):
+    rows = spark.createDataFrame([("a", " "), ("b", None), ("c", "t")], "uuid string, time_recorded string")
+    events = spark.createDataFrame([("a", "mic", " ")], "uuid string, device string, event_time string")
+    assert {r.uuid: (r.device, r.time_recorded) for r in zones.merge_events(rows, events).collect()} == {"a": ("mic", ""), "b": ("-", ""), "c": ("-", "t")}
+
+
 def test_votes():
     assert dsp.vote([(440, 1.0), (880, 1.0), (300, 1.5)]) == 440
     assert dsp.vote([]) == 0

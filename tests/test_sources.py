@@ -62,7 +62,9 @@ def test_snapshots(spark, tmp_path):
 
 def test_export_csv(spark, tmp_path):
     tables.export_csv(spark.createDataFrame([(1, "a,b")], "x int, uuid string"), f"{tmp_path}/c", ("uuid",))
-    assert tables.read_csv(spark, f"{tmp_path}/c").columns == ["uuid", "x"]
+    tables.export_csv(spark.createDataFrame([("c", 2), ("d", 3)], "name string, uuid int"), f"{tmp_path}/c", ("uuid",))
+    out = tables.read_exports(spark, f"{tmp_path}/c")
+    assert sorted((r.uuid, r.x, r.name) for r in out.collect()) == [("2", None, "c"), ("3", None, "d"), ("a,b", "1", None)] and tables.read_exports(spark, f"{tmp_path}/none") is None
 
 
 def test_waves(spark, tmp_path):
@@ -114,7 +116,8 @@ def test_ingest_takes_new_ids_once(spark):
 
 
 def test_image_scores():
-    field = images.interference(65, [3.0, 5.0], 1.0, 0.0)
-    assert images.symmetry_score(field) > 0.9
+    axis = np.linspace(-1, 1, 65)
+    field = np.cos(9 * np.hypot(*np.meshgrid(axis, axis)))
+    assert images.symmetry_score(field) > 0.9 and images.symmetry_score(np.full((5, 5), 7)) == 0.5
     assert images.symmetry_score(np.arange(64).reshape(8, 8) % 8) < 0.1
     assert images.pattern_stability([field]) == 1.0 and abs(images.pattern_stability([field] * 7) - 1) < 1e-9
