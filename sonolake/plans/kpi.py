@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sonolake.functions.clean import band, no_sentinel, np_round, to_number
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column as double: numbers as they are (not a number: null), text by to_number()."""
+    kind, c = dict(df.dtypes)[name], F.col(name)
+    if kind in ("double", "float"):
+        return F.when(~F.isnan(c), c.cast("double"))
+    return c.cast("double") if kind in ("tinyint", "smallint", "int", "bigint") else to_number(c)
+
+
 def typed(obs: DataFrame) -> DataFrame:
     """Cleaned category and source, numeric peak."""
-    return obs.withColumns({"category": no_sentinel(F.col("category")), "source": no_sentinel(F.col("source")), "peak": to_number(F.col("peak_frequency_hz"))})
+    return obs.withColumns({"category": no_sentinel(F.col("category")), "source": no_sentinel(F.col("source")), "peak": number(obs, "peak_frequency_hz")})
 
 
 def _peaks(obs: DataFrame) -> DataFrame:
@@ -35,22 +43,22 @@ def frequency_detail(obs: DataFrame, top: int = 5, like: str | None = None) -> D
     return df.withColumn("rank", rank).where(F.col("rank") <= top).select("category", "frequency_hz_rounded", "occurrence_count", "rank")
 
 
-def _ranked(df: DataFrame, n: int, *order) -> DataFrame:
+def ranked(df: DataFrame, n: int, *order) -> DataFrame:
     """The first n rows and their position (a window over n rows)."""
     return df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def top_mode_share(obs: DataFrame, n: int = 10) -> DataFrame:
-    return _ranked(mode_frequency(obs), n, F.desc("share"), "category")
+    return ranked(mode_frequency(obs), n, F.desc("share"), "category")
 
 
 def _scored(obs: DataFrame) -> DataFrame:
-    s = obs.select("uuid", to_number(F.col("symmetry_score")).alias("symmetry_score"), to_number(F.col("pattern_stability_score")).alias("pattern_stability_score")).na.drop()
+    s = obs.select("uuid", number(obs, "symmetry_score").alias("symmetry_score"), number(obs, "pattern_stability_score").alias("pattern_stability_score")).na.drop()
     return s.withColumn("score", (F.col("symmetry_score") + F.col("pattern_stability_score")) / 2)
 
 
 def best_candidates(obs: DataFrame, n: int = 10) -> DataFrame:
-    return _ranked(_scored(obs), n, F.desc("score"), "uuid")
+    return ranked(_scored(obs), n, F.desc("score"), "uuid")
 
 
 def best_candidates_dense(obs: DataFrame, n: int = 10) -> DataFrame:
@@ -86,7 +94,7 @@ _PAIR_ORDER = ("difference", "category_a", "category_b")
 
 
 def closest_pairs(obs: DataFrame, n: int = 10) -> DataFrame:
-    return _ranked(category_pairs(obs), n, *_PAIR_ORDER)
+    return ranked(category_pairs(obs), n, *_PAIR_ORDER)
 
 
 def closest_pairs_unique(obs: DataFrame, n: int = 10) -> DataFrame:
@@ -100,39 +108,39 @@ def closest_pairs_unique(obs: DataFrame, n: int = 10) -> DataFrame:
 
 
 def processing_time(obs: DataFrame) -> DataFrame:
-    df = typed(obs).withColumn("t", to_number(F.col("processing_time_seconds"))).na.drop(subset=["source", "t"])
+    df = typed(obs).withColumn("t", number(obs, "processing_time_seconds")).na.drop(subset=["source", "t"])
     out = df.groupBy("source").agg(F.avg("t").alias("avg"), F.stddev_samp("t").alias("std"), F.min("t").alias("min"), F.max("t").alias("max"), F.count("uuid").alias("recording_count"))
     return out.select("source", *(np_round(F.col(c), 3).alias(f"{c}_seconds") for c in ("avg", "std", "min", "max")), "recording_count")
 
 
 def _by_category(obs: DataFrame, column: str) -> DataFrame:
-    return typed(obs).withColumn("x", to_number(F.col(column))).na.drop(subset=["category", "x"])
+    return typed(obs).withColumn("x", number(obs, column)).na.drop(subset=["category", "x"])
 
 
 def complex_categories(obs: DataFrame, n: int = 10) -> DataFrame:
     g = _by_category(obs, "spectral_entropy").groupBy("category").agg(np_round(F.avg("x"), 4).alias("mean_entropy"), np_round(F.max("x"), 4).alias("max_entropy"), F.count("uuid").alias("recording_count"))
-    return _ranked(g, n, F.desc("mean_entropy"), "category")
+    return ranked(g, n, F.desc("mean_entropy"), "category")
 
 
 def complex_recordings(obs: DataFrame, n: int = 10) -> DataFrame:
-    df = typed(obs).select("uuid", "category", to_number(F.col("spectral_entropy")).alias("spectral_entropy")).where("spectral_entropy is not null")
-    return _ranked(df, n, F.desc("spectral_entropy"), "uuid")
+    df = typed(obs).select("uuid", "category", number(obs, "spectral_entropy").alias("spectral_entropy")).where("spectral_entropy is not null")
+    return ranked(df, n, F.desc("spectral_entropy"), "uuid")
 
 
 def bright_dark_categories(obs: DataFrame, n: int = 5) -> DataFrame:
     g = _by_category(obs, "spectral_centroid_hz").groupBy("category").agg(np_round(F.avg("x"), 2).alias("mean_centroid_hz"), F.count("uuid").alias("recording_count"))
-    bright = _ranked(g, n, F.desc("mean_centroid_hz"), "category").withColumn("group", F.lit("brightest"))
-    dark = _ranked(g, n, F.asc("mean_centroid_hz"), "category").withColumn("group", F.lit("darkest"))
+    bright = ranked(g, n, F.desc("mean_centroid_hz"), "category").withColumn("group", F.lit("brightest"))
+    dark = ranked(g, n, F.asc("mean_centroid_hz"), "category").withColumn("group", F.lit("darkest"))
     both = bright.unionByName(dark)
     return both.withColumn("rank", F.row_number().over(W.orderBy("group", "rank")))
 
 
 def bright_dark_full(obs: DataFrame, n: int = 5) -> DataFrame:
-    rows = typed(obs).select("uuid", "category", to_number(F.col("spectral_centroid_hz")).alias("centroid_hz")).where("centroid_hz is not null")
+    rows = typed(obs).select("uuid", "category", number(obs, "spectral_centroid_hz").alias("centroid_hz")).where("centroid_hz is not null")
     g = _by_category(obs, "spectral_centroid_hz").groupBy("category").agg(np_round(F.avg("x"), 2).alias("centroid_hz"), F.count("uuid").alias("recording_count"))
     out = None
     for level, df, key in (("recording", rows, "uuid"), ("category", g, "category")):
         for name, order in (("brightest", F.desc("centroid_hz")), ("darkest", F.asc("centroid_hz"))):
-            part = _ranked(df, n, order, key).withColumns({"aggregation_level": F.lit(level), "rank_group": F.lit(name)})
+            part = ranked(df, n, order, key).withColumns({"aggregation_level": F.lit(level), "rank_group": F.lit(name)})
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
