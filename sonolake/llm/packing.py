@@ -14,6 +14,7 @@ Null text is empty and gives one piece with the end id alone. Equal ids are sepa
 from __future__ import annotations
 
 import bisect
+import json
 import zlib
 from array import array
 from collections import defaultdict
@@ -29,19 +30,34 @@ from .util import cut, parts
 
 CAPACITY, END = 4096, 1
 _REMEMBERED = 600_000
+_MARKS = ".,;:!?"
 
 
 class _Ids(dict):
-    """Token ids (little-endian bytes) of a text without spaces, remembered up to a bound."""
+    """Token ids (little-endian bytes) of a text without spaces, remembered up to a bound.
+
+    Where the tokenizer's own rules say that capitals do not count and that a mark behind a letter is a token of its own, ASCII
+    words are read in small letters and such a mark apart, so that a word is encoded once in whatever form it comes.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = lambda part, kind: [rules[part], *rules[part].get(kind, [])] if rules[part] else []
+        lowered = any(x.get("type") == "Lowercase" for x in steps("normalizer", "normalizers"))
+        cuts = [x["pattern"].get("Regex", "") for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split"]
+        self.folds = lowered and any(c.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for c in cuts)
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        if len(self) < _REMEMBERED and len(word) <= 64:  # frequent words come early; later ones are encoded each time
+        if self.folds and len(word) > 1 and word[-1] in _MARKS and word[-2].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif self.folds and not word.islower() and word.isascii() and word.isalpha():
+            ids = self[word.lower()]
+        else:
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(self) < _REMEMBERED and len(word) <= 64:  # frequent words come early; later ones are worked out each time
             self[word] = ids
         return ids
 
