@@ -282,7 +282,8 @@ def _packed(rows, capacity):
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    docs = awkward() + [(800, "x<|endoftext|>y <|startoftext|> ñã ẛ̣")]
+    marks = "Hello, World. HELLO; É. é! A... b?! 3. x'. don't. DON'T, <|ENDOFTEXT|>. <|endoftext|>, ǅ, İ. ſ: e\u0301. ß! ab.c, .. , A1? q:"
+    docs = awkward() + [(800, "x<|endoftext|>y <|startoftext|> ñã ẛ̣"), (801, marks), (802, marks.upper()), (803, marks.lower())]
     encode = Tokenizer.from_file(tokenizer_path()).encode
     want = {}
     for i, t in docs:
