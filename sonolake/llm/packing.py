@@ -31,6 +31,7 @@ from .util import cut, parts
 CAPACITY, END = 4096, 1
 _REMEMBERED = 600_000
 _MARKS = ".,;:!?"
+_LATIN = "\u0250"  # letters below have no parts that normalisation could take off
 
 
 class _Ids(dict):
@@ -51,7 +52,7 @@ class _Ids(dict):
         self.folds = lowered and any(c.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for c in cuts)
 
     def __missing__(self, word: str) -> bytes:
-        if self.folds and len(word) > 1 and word[-1] in _MARKS and len(small := word[-2].lower()) == 1 and small.isalpha():
+        if self.folds and len(word) > 1 and word[-1] in _MARKS and word[-2] < _LATIN and len(small := word[-2].lower()) == 1 and small.isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         elif self.folds and not word.islower() and word.isascii() and word.isalpha():
             ids = self[word.lower()]
