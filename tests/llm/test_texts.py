@@ -296,6 +296,13 @@ def test_packing_round_trip(spark):
     assert packing.pack(packing.pieces(frame(spark, docs).limit(0), tokenizer_path())).count() == 0
 
 
+def test_words_behind_marks_are_encoded_as_a_whole():
+    ids = packing._Ids(tokenizer_path())
+    letters = [chr(c) for c in range(0x21, 0x1000) if chr(c).isprintable() and not chr(c).isspace()]
+    for w in (w for c in letters for w in (f"{c}.", f"a{c},", f"{c}B!")):
+        assert np.frombuffer(ids[w], "<u4").tolist() == ids.tokenizer.encode(w, add_special_tokens=False).ids, w
+
+
 def test_plans_hold_every_piece():
     rng = np.random.default_rng(3)
     for _ in range(40):
