@@ -44,18 +44,35 @@ def unique_events(stream: DataFrame, key: str = "event_id", late: str = "1 day")
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def ingest(stream: DataFrame, path: str, rejected: str, checkpoint: str, key: str = "event_id") -> None:
+def ingest(stream: DataFrame, path: str, rejected: str, checkpoint: str, key: str = "event_id", time: str | None = None, reach_days: int = 1) -> None:
     """Appends what is available to a table, at least once and without repeats of a key.
 
     Each micro-batch is appended after an anti-join with the keys that are there, so a batch that runs again after a
     failure adds nothing twice. Rows without a key go to a table of their own with the reason.
+
+    With a time column the table is partitioned by its date (UTC session), as `day`, and a row repeats one of the table if
+    their dates are at most `reach_days` apart or both missing; a batch then reads only the partitions from its first date to
+    its last, that much wider. Within a batch a key is one row whatever its dates. Without a time column every key of the
+    table is read for each batch.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         batch.where(F.col(key).isNull()).withColumn("reason", F.lit(f"no {key}")).write.mode("append").parquet(rejected)
         fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if time is not None:
+            fresh = fresh.withColumn("day", F.to_date(time))
         if (old := read_parquet(batch.sparkSession, path)) is not None:
-            fresh = fresh.join(old.select(key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+            fresh = fresh.join(old.select(key), key, "left_anti") if time is None else _unseen(fresh, old, key, reach_days)
+        writer = fresh.write.mode("append")
+        (writer if time is None else writer.partitionBy("day")).parquet(path)
 
     stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _unseen(fresh: DataFrame, old: DataFrame, key: str, days: int) -> DataFrame:
+    """New rows without a repeat in reach; the bounds of the batch are literals, so that partitions outside are pruned."""
+    low, high = fresh.agg(F.min("day"), F.max("day")).first()
+    near = F.lit(False) if low is None else F.col("day").between(F.date_sub(F.lit(low), days), F.date_add(F.lit(high), days))
+    seen = old.where(near | F.col("day").isNull()).select(F.col(key).alias("_key"), F.col("day").alias("_day"))
+    apart = F.abs(F.date_diff("day", "_day"))
+    return fresh.join(seen, (F.col(key) == F.col("_key")) & (F.col("day").eqNullSafe(F.col("_day")) | (apart <= days)), "left_anti")

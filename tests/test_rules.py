@@ -194,6 +194,19 @@ def test_ingest_twice_adds_nothing(spark, sf, tmp_path):
     assert spark.read.parquet(rejected).count() == 2 * events.where("event_id is null").count()
 
 
+def test_ingest_by_date_reads_the_dates_in_reach(spark, tmp_path):
+    def batch(name, rows):
+        spark.createDataFrame(rows, "k string, t string").write.parquet(f"{tmp_path}/in/{name}")
+        hot.ingest(spark.readStream.schema("k string, t string").parquet(f"{tmp_path}/in/{name}"), path, f"{tmp_path}/r", f"{tmp_path}/mark-{name}", "k", "t")
+
+    path = f"{tmp_path}/t"
+    batch("a", [("1", "2024-01-01"), ("1", "2024-01-01"), ("2", "2024-02-01"), ("3", None), (None, "2024-01-01")])
+    batch("b", [("1", "2024-01-02"), ("2", "2024-03-01"), ("3", None), ("4", "2024-01-02")])  # 2 comes back out of reach
+    batch("c", [("5", None)])
+    got = sorted((r.k, str(r.day)) for r in spark.read.parquet(path).collect())
+    assert got == [("1", "2024-01-01"), ("2", "2024-02-01"), ("2", "2024-03-01"), ("3", "None"), ("4", "2024-01-02"), ("5", "None")]
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
