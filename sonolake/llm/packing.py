@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -30,38 +31,63 @@ from .util import cut, parts
 
 CAPACITY, END = 4096, 1
 _REMEMBERED = 600_000
-_MARKS = ".,;:!?"
-_LATIN = "\u0250"  # letters below have no parts that normalisation could take off
+_MARKS = ".,;:!?#$%&*+-/=@_~()[]{}"
+_LATIN = 0x250  # letters below have no parts that normalisation could take off
+_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class _Ids(dict):
     """Token ids (little-endian bytes) of a text without spaces, remembered up to a bound.
 
-    Where the tokenizer's own rules say that capitals do not count and that a mark behind a letter is a token of its own, ASCII
-    words are read in small letters and such a mark apart, so that a word is encoded once in whatever form it comes.
+    Where the tokenizer's own rules say that capitals do not count and that letters, single digits and marks are cut apart, words are
+    cut so before they are looked up, and what is not remembered goes to the tokenizer's model, without the steps before it that
+    change nothing there. Words with apostrophes, with marks of a special token or with letters outside Latin go the whole way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         steps = lambda part, kind: [rules[part], *rules[part].get(kind, [])] if rules[part] else []
         lowered = any(x.get("type") == "Lowercase" for x in steps("normalizer", "normalizers"))
-        cuts = [x["pattern"].get("Regex", "") for x in steps("pre_tokenizer", "pretokenizers") if x.get("type") == "Split"]
-        self.folds = lowered and any(c.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for c in cuts)
+        before = steps("pre_tokenizer", "pretokenizers")
+        cuts = [x["pattern"].get("Regex", "") for x in before if x.get("type") == "Split"]
+        levels = any(x.get("type") == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in before)
+        self.folds = lowered and levels and any(c.endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") for c in cuts)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: small Latin letters as the model sees them
+        self.seen = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(128, _LATIN)) if c.isalpha()}
 
     def __missing__(self, word: str) -> bytes:
-        if self.folds and len(word) > 1 and word[-1] in _MARKS and word[-2] < _LATIN and len(small := word[-2].lower()) == 1 and small.isalpha():
-            ids = self[word[:-1]] + self[word[-1]]
-        elif self.folds and not word.islower() and word.isascii() and word.isalpha():
-            ids = self[word.lower()]
+        small = word.lower()
+        if not self.folds or "'" in word or "|" in word or len(small) != len(word):
+            ids = self._encoded(word)
+        elif word.isascii():
+            if small.isalpha():
+                ids = self._modelled(small)
+            elif len(cut := _PARTS.findall(small)) > 1:
+                ids = b"".join(map(self.__getitem__, cut))
+            else:
+                ids = self._modelled(small) if small.isprintable() else self._encoded(small)
         else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            body = small.rstrip(_MARKS)
+            if not body.isalpha() or ord(max(body)) >= _LATIN:
+                ids = self._encoded(word)
+            else:
+                ids = self._modelled(body.translate(self.seen)) + (self[small[len(body) :]] if len(body) < len(small) else b"")
         if len(self) < _REMEMBERED and len(word) <= 64:  # frequent words come early; later ones are worked out each time
             self[word] = ids
         return ids
 
+    def _encoded(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _modelled(self, seen: str) -> bytes:
+        """Of small letters alone, or of ASCII marks alone, or of one digit, as the model sees them."""
+        return array("I", [t.id for t in self.model.tokenize(seen)]).tobytes()
+
 
 _loaded: dict[str, _Ids] = {}
 
