@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
 from .embed_dedup import embedding_dedup
+from .fim import fill_in_middle, restored
 from .licenses import license_scan
 from .ngram_join import ngram_join
 from .packing import pack, pieces
@@ -66,7 +67,13 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    packed = pack(pieces(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing, op11_fill_in_middle)}

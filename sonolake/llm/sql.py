@@ -63,4 +63,12 @@ labels as (select doc_id, string_agg(distinct label, ',' order by label) as l fr
 select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(base.n, 0) as n_base, base.a as first_word, base.z as last_word, coalesce(base.l, '') as base_labels, coalesce(labels.l, '') as labels,
  case when base.n > 0 then 1.0 else coalesce(best.c, 0.0) end as score from w left join base on w.doc_id = base.doc_id left join best on w.doc_id = best.doc_id left join labels on w.doc_id = labels.doc_id"""
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_decontaminate": _OP3, "op4_embedding_dedup": _OP4, "op5_ngram_join": _OP5, "op7_license_scan": _OP7}
+_OP11 = r"""with t as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+h as (select *, len(u) as n, cast('0x' || x[1:8] as bigint) as h1, cast('0x' || x[9:16] as bigint) as h2, cast('0x' || x[17:24] as bigint) as h3, cast('0x' || x[25:32] as bigint) as h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+ case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from h),
+p as (select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_to_string(u[a + 1:b], ''), '') as m, coalesce(array_to_string(u[b + 1:n], ''), '') as s from c)
+select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_decontaminate": _OP3, "op4_embedding_dedup": _OP4, "op5_ngram_join": _OP5, "op7_license_scan": _OP7, "op11_fill_in_middle": _OP11}
