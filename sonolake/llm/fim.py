@@ -37,10 +37,10 @@ CLASS[[*range(65, 91), *range(97, 123)]] = _LETTER
 CLASS[[ord(c) for c in "PSM"]] = _NAME
 CLASS[ord("<")], CLASS[ord(">")], CLASS[128:192] = _OPEN, _CLOSE, _WITHIN
 
-_NEXT = np.array([[0, 1, 1, 2, 0, 0, 0], [0, 1, 1, 2, 0, 0, 1], [0, 1, 3, 2, 0, 0, 2], [0, 1, 1, 2, 0, 0, 3]], np.intp).ravel()
-_BEGINS = np.array([[1, 1, 1, 1, 1, 0, 0], [1, 0, 0, 1, 1, 0, 0], [1, 1, 1, 1, 1, 0, 0], [1, 0, 0, 1, 1, 0, 0]], np.int64).ravel()
-_ENDS = np.zeros(4 * 7, np.int64)
-_ENDS[3 * 7 + _CLOSE] = 1
+# Tables over state * 7 + class: the next state * 7, and what is counted: a token that begins, a sentinel that ends (from bit 32).
+_NEXT = 7 * np.array([[0, 1, 1, 2, 0, 0, 0], [0, 1, 1, 2, 0, 0, 1], [0, 1, 3, 2, 0, 0, 2], [0, 1, 1, 2, 0, 0, 3]], np.intp).ravel()
+_COUNTS = np.array([[1, 1, 1, 1, 1, 0, 0], [1, 0, 0, 1, 1, 0, 0], [1, 1, 1, 1, 1, 0, 0], [1, 0, 0, 1, 1, 0, 0]], np.int64).ravel()
+_COUNTS[3 * 7 + _CLOSE] += 1 << 32
 
 
 class Functions:
@@ -51,16 +51,23 @@ class Functions:
 
     @classmethod
     def of(cls, classes: np.ndarray) -> Functions:
-        """Of the columns of a matrix of byte classes; row by row all columns step at once, from every state."""
+        """Of the columns of a matrix of byte classes. Row by row all columns step at once, from every state; once the states of
+        each column have met (after a few bytes as a rule), one of them goes on for all."""
         n = classes.shape[1]
-        state = np.tile(np.arange(_STATES), (n, 1))
-        tokens, sentinels = np.zeros((n, _STATES), np.int64), np.zeros((n, _STATES), np.int64)
+        state, count = np.repeat(np.arange(_STATES) * 7, n).reshape(_STATES, n), np.zeros((_STATES, n), np.int64)
+        met = np.zeros((1, n), np.int64)
         for row in classes:
-            at = state * 7 + row[:, None]
-            tokens += _BEGINS[at]
-            sentinels += _ENDS[at]
-            state = _NEXT[at]
-        return cls(state, tokens, sentinels)
+            at = state + row
+            if len(state) > 1:
+                count += _COUNTS[at]
+                state = _NEXT[at]
+                if (state == state[0]).all():
+                    state = state[:1]
+            else:
+                met += _COUNTS[at]
+                state = _NEXT[at]
+        count = (count + met).T
+        return cls(np.broadcast_to(state // 7, (_STATES, n)).T.copy(), count & 0xFFFFFFFF, count >> 32)
 
     def take(self, i) -> Functions:
         return Functions(self.exit[i], self.tokens[i], self.sentinels[i])
@@ -120,9 +127,10 @@ class Stretches:
             low, high = np.where(open_ & ~enough, middle + 1, low), np.where(open_ & enough, middle, high)
         state, begun = self.entered(low, start)
         found = np.full(len(low), -1)
+        state = state * 7
         for k, row in enumerate(self.matrix(low)):
-            step = state * 7 + row
-            begun = begun + _BEGINS[step]
+            step = state + row
+            begun = begun + (_COUNTS[step] & 1)
             found[(found < 0) & (begun > token)] = k
             state = _NEXT[step]
         end[own] = np.where(found < 0, self.size[low], found) + self.place[low] * WIDTH
