@@ -16,6 +16,7 @@ from .ppm import lm_score
 from .quality import quality
 from .sql import ORACLE as ORACLE
 from .substring import substring_dedup
+from .token_files import fresh_folder, read_token_files, write_token_files
 from .toxicity import toxicity
 from .util import table
 
@@ -76,4 +77,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing, op11_fill_in_middle)}
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path())
+    return read_token_files(spark, folder)
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing, op11_fill_in_middle, op12_token_files)}
