@@ -13,6 +13,7 @@ from .ngram_join import ngram_join
 from .packing import pack, pieces
 from .pii import BASE, find_pii, joined
 from .ppm import lm_score
+from .prefix_trie import prefix_trie
 from .quality import quality
 from .sql import ORACLE as ORACLE
 from .substring import substring_dedup
@@ -83,4 +84,8 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
-QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing, op11_fill_in_middle, op12_token_files)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {q.__name__: q for q in (op1_substring_dedup, op2_quality, op3_decontaminate, op4_embedding_dedup, op5_ngram_join, op6_toxicity, op7_license_scan, op8_pii, op9_lm_score, op10_packing, op11_fill_in_middle, op12_token_files, op13_prefix_trie)}

@@ -71,4 +71,21 @@ p as (select *, coalesce(array_to_string(u[1:a], ''), '') as p, coalesce(array_t
 select doc_id, cast(n as bigint) as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256 from p"""
 
-ORACLE: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_decontaminate": _OP3, "op4_embedding_dedup": _OP4, "op5_ngram_join": _OP5, "op7_license_scan": _OP7, "op11_fill_in_middle": _OP11}
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, [ord(x)::bigint for x in string_split(cast(c as varchar), '')]),
+ lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: case when y % 2 = 1 then xor(y // 2, 3988292384) else y // 2 end)), 4294967295)"""
+_OP13 = rf"""with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as t, turn from conversations where conv_id is not null),
+own as (select c, list(struct_pack(r := r, t := t) order by turn is not null, turn, md5(length(r) || ':' || r || t)) as o from t group by c),
+h as (select c, o, c - c % 20 as base, {_CRC} % 4 as h from own),
+s as (select h.c, list_concat(coalesce(x.o[1:h], []), h.o[h + 1:]) as s from h left join own x on x.c = h.base),
+d as (select c, s, unnest(range(0, len(s) + 1)) as d from s),
+at_ as (select c, d, d = len(s) as e, s[1:d] as p, case when d > 0 then len(regexp_extract_all(s[d].t, '{_SPACED}')) else 0 end as w from d),
+m as (select *, min(c) over (partition by d, p) as m from at_),
+n as (select m, d, count(*) as n, any_value(w) as w, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (where e), '')) as ends from m group by m, d),
+up as (select n.*, m.m as parent from n left join m on m.c = n.m and m.d = n.d - 1),
+kids as (select parent as m, d - 1 as d, count(*) as k from up where d > 0 group by 1, 2),
+every as (select up.*, coalesce(kids.k, 0) as k from up left join kids on up.m = kids.m and up.d = kids.d),
+sums as (select m.m, m.d, sum(case when k = 0 then 1 else 0 end) as leaves, sum((every.n - 1) * every.w) as saved from every join m on m.c = every.m and m.d <= every.d group by 1, 2)
+select every.m as conv_id, every.d as depth, every.parent as parent_conv_id, every.n as n_convs, every.k as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, ends as ends_sha256
+ from every join sums on every.m = sums.m and every.d = sums.d"""
+
+ORACLE: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_decontaminate": _OP3, "op4_embedding_dedup": _OP4, "op5_ngram_join": _OP5, "op7_license_scan": _OP7, "op11_fill_in_middle": _OP11, "op13_prefix_trie": _OP13}
