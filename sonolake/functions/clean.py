@@ -46,9 +46,14 @@ def hundreds_path(hz: Column, name: Column) -> Column:
 
 
 def to_number(c: Column) -> Column:
-    """A number where the text is one, else null (NaN included)."""
+    """A finite number where the text is one, else null."""
     text = c.cast("string")
-    return F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    return finite(F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double")))
+
+
+def finite(c: Column) -> Column:
+    """Null for what is no number or beyond all numbers."""
+    return F.when(F.abs(c) < float("inf"), c)
 
 
 def band(peak: Column) -> Column:

@@ -142,7 +142,7 @@ def peak_frequency(x: np.ndarray, rate: int) -> dict[str, float | str]:
         return {"peak_frequency_hz": 0.0, "peak_time_s": 0.0, "peak_amplitude": 0.0, "peak_rms": 0.0, "peaks_hz": ""}
     found = [(round(dominant(x[o : o + w], rate)), float((np.abs(np.fft.rfft(x[o : o + w])) ** 2).sum()), o, w) for o, w in windows(len(x), rate)]
     f0 = vote([(f, e) for f, e, _, _ in found])
-    own = [c for c in found if f0 and c[0] % f0 == 0] or found[:1]
+    own = [c for c in found if f0 and c[0] > 0 and c[0] % f0 == 0] or found[:1]
     _, _, o, w = max(own, key=lambda c: c[1])
     part = x[o : o + w]
     peaks = "|".join(f"{k * rate / max(int(rate * 0.25), 1):.0f}" for k in strongest_peaks(part, 8, 0.06, 6)[0])

@@ -39,6 +39,31 @@ def with_features(waves: DataFrame) -> DataFrame:
     return waves.where("uuid is not null and uuid <> ''").select("uuid", "samples", "sample_rate").mapInPandas(run, f"uuid string, {kinds}, mfccs array<double>")
 
 
+def spectral_of(waves: DataFrame) -> DataFrame:
+    """uuid, base_hz, seconds, the spectral features, MFCC means and the harmonic ratio at base_hz of (uuid, samples, sample_rate, base_hz)
+    rows, in one pass over the samples; what fails has nulls."""
+    names = ["uuid", "base_hz", "seconds", *FEATURES, "harmonic_energy_ratio", "mfccs"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for uuid, samples, rate, base in zip(frame["uuid"], frame["samples"], frame["sample_rate"], frame["base_hz"], strict=True):
+                row: dict = dict.fromkeys(names) | {"uuid": uuid, "base_hz": base}
+                try:
+                    x = dsp.normalise(np.asarray(samples, float))
+                    if x.ndim != 1:
+                        raise ValueError("no samples")
+                    row |= {"seconds": len(x) / int(rate)} | dsp.spectral(x, int(rate))
+                    row |= {"harmonic_energy_ratio": dsp.harmonic_ratio(x, int(rate), base), "mfccs": dsp.mfcc_mean(x, int(rate))}
+                except (TypeError, ValueError, ZeroDivisionError):
+                    pass  # null features; the row stays
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=names)
+
+    kinds = ", ".join(f"{c} double" for c in names[1:-1])
+    return waves.select("uuid", "samples", "sample_rate", F.col("base_hz").cast("double").alias("base_hz")).mapInPandas(run, f"uuid string, {kinds}, mfccs array<double>")
+
+
 def long_enough(waves: DataFrame) -> DataFrame:
     """Waveforms of at least one second."""
     return waves.where("size(samples) >= sample_rate")

@@ -35,8 +35,9 @@ def pending(df: DataFrame, done: DataFrame, key: str = "uuid") -> DataFrame:
 
 
 def merge_events(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Device and time of the latest event of each uuid win over the row's own."""
-    rows = rows if "device" in rows.columns else rows.withColumn("device", F.lit(None).cast("string"))
+    """Device and time of the latest event of each uuid win over the row's own; either column is added where it is missing."""
+    for column in ("device", "time_recorded"):
+        rows = rows if column in rows.columns else rows.withColumn(column, F.lit(None).cast("string"))
     last = latest(events, ["uuid"], "event_time").select("uuid", blank_to_null(F.col("device")).alias("_device"), blank_to_null(F.col("event_time")).alias("_time"))
     merged = rows.join(last, "uuid", "left")
     return merged.withColumn("device", F.coalesce("_device", blank_to_null(F.col("device")), F.lit("-"))).withColumn("time_recorded", F.coalesce("_time", blank_to_null(F.col("time_recorded")), F.lit(""))).drop("_device", "_time")
@@ -44,7 +45,7 @@ def merge_events(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def uuid_of_path(path):
     """What stands behind the last slash of a path, without the ending .wav; other endings stay, and nothing is null."""
-    return F.nullif(F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.wav$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(F.substring_index(path, "/", -1), r"\.wav$", ""), F.lit(""))
 
 
 def append_evolving(old: DataFrame, new: DataFrame) -> DataFrame:

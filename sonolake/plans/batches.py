@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.functions.clean import blank_to_null, to_number
 from sonolake.operators import features, zones
 from sonolake.plans import kpi
 from sonolake.sources import tables
+from sonolake.sources.observations import with_internal_names
 
 #: Columns of a candidate report, of which those that a table has are shown.
 CANDIDATE = ("uuid", "source_id", "category", "source", "symmetry_score", "pattern_stability_score", "combined_score", "peak_frequency_hz", "audio_path")
@@ -40,33 +41,42 @@ def archived_events(archive: DataFrame) -> DataFrame:
 
 def trusted_batch(landing: DataFrame, events: DataFrame, trusted: DataFrame | None) -> DataFrame:
     """Landing rows to be enriched: trimmed, with id and path, the latest of each id, the event's device and time, not in the trusted zone yet."""
-    rows = zones.required_keys(zones.trim_all(landing), "uuid", "audio_path")
+    rows = zones.required_keys(zones.trim_all(with_internal_names(landing)), "uuid", "audio_path")
     rows = zones.merge_events(zones.latest(rows, ["uuid"], "time_recorded", "source_id"), events)
     return rows if trusted is None or "uuid" not in trusted.columns else zones.pending(rows, trusted)
 
 
+#: Fixed value: the version that rows of the last zone name.
+FEATURE_VERSION = "1.0.0"
+
+
 def exploitation_batch(trusted: DataFrame, waves: DataFrame, done: DataFrame | None) -> DataFrame:
     """Trusted rows that the last zone lacks, with the spectral features of their waveforms; rows without a waveform have nulls.
 
-    The harmonic ratio goes by the peak that the row has, not by one found again.
+    The harmonic ratio goes by the peak that the row has, not by one found again. Features are worked out once for each key and
+    peak in one pass over the waveforms; of several waveforms with one key those with the smallest features count.
     """
-    rows = zones.required_keys(zones.trim_all(trusted), "uuid", "audio_path")
+    rows = zones.required_keys(zones.trim_all(with_internal_names(trusted)), "uuid", "audio_path")
     if done is not None and "uuid" in done.columns:
         rows = zones.pending(rows, done)
     new = [*features.FEATURES, "harmonic_energy_ratio", "mfccs"]
-    rows = rows.drop(*new)
-    own = features.with_features(waves.join(rows.select("uuid"), "uuid", "left_semi")).select("uuid", *features.FEATURES, "mfccs")
-    peaks = rows.select("uuid", F.coalesce(to_number(F.col("peak_frequency_hz")), F.lit(0.0)).alias("_peak"))
-    share = features.harmonic_share(waves.join(peaks, "uuid"), F.col("_peak"))
-    return rows.join(own, "uuid", "left").join(share, "uuid", "left")
+    rows = rows.drop(*new, "audio_seconds").withColumn("_peak", F.coalesce(to_number(F.col("peak_frequency_hz")), F.lit(0.0)))
+    peaks = rows.select("uuid", F.col("_peak").alias("base_hz")).distinct()
+    own = features.spectral_of(waves.join(peaks, "uuid")).groupBy("uuid", F.col("base_hz").alias("_peak"))
+    own = own.agg(F.min(F.struct(F.col("seconds").alias("audio_seconds"), *new)).alias("f")).select("uuid", "_peak", "f.*")
+    return rows.join(own, ["uuid", "_peak"], "left").drop("_peak")
+
+
+def finished(batch: DataFrame) -> DataFrame:
+    """Rows of a batch for the last zone: those with audio of at least a second, and the version of the features."""
+    return batch.where("audio_seconds >= 1").drop("audio_seconds").withColumn("feature_version", F.lit(FEATURE_VERSION))
 
 
 def run_and_append(spark: SparkSession, make: Callable[[DataFrame | None], DataFrame], path: str) -> int:
     """Appends a batch to the table at a path, given what is there; the number of rows added. A second run adds none."""
-    before = tables.read_parquet(spark, path)
-    n = 0 if before is None else before.count()
-    tables.append(make(before), path)
-    return spark.read.option("mergeSchema", True).parquet(path).count() - n
+    added = Observation()
+    tables.append(make(tables.read_parquet(spark, path)).observe(added, F.count(F.lit(1)).alias("n")), path)
+    return added.get["n"]
 
 
 def sync_all(spark: SparkSession, zones_of: dict[str, tuple[str, str]]) -> dict[str, int | None]:
@@ -82,9 +92,10 @@ def best_candidates(obs: DataFrame, n: int = 10) -> DataFrame:
     return existing(ranked, "rank", *CANDIDATE)
 
 
+#: The menu of KPIs by their keys.
 CATALOGUE: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "1": kpi.mode_frequency, "2": best_candidates, "3": kpi.frequency_clusters, "4": kpi.closest_pairs, "5": kpi.processing_time,
-    "6": kpi.complex_categories, "7": kpi.bright_dark_categories, "8": kpi.cluster_top_categories,
+    "1": kpi.top_mode_share, "2": best_candidates, "3": kpi.cluster_top_categories, "4": kpi.closest_pairs_unique, "5": kpi.processing_time,
+    "6": kpi.complex_categories, "7": kpi.bright_dark_categories,
 }
 
 
@@ -93,20 +104,6 @@ def run_all(obs: DataFrame) -> dict[str, DataFrame]:
     return {name: make(obs) for name, make in CATALOGUE.items()}
 
 
-def sample_batches(samples: DataFrame, size: int, capacity: int, key: str = "device", order: str = "place") -> DataFrame:
-    """key, batch, n, first: whole batches of `size` samples in order; of more than `capacity` samples the oldest go.
-
-    Each key's samples are numbered from the newest, so that what the capped buffer dropped is known without a state.
-    """
-    from pyspark.sql import Window as W
-
-    newest = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-    kept = samples.withColumn("_from_end", newest).where(F.col("_from_end") <= capacity)
-    numbered = kept.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
-    batches = numbered.groupBy(key, F.floor(F.col("_at") / size).alias("batch")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    return batches.where(F.col("n") == size)
-
-
 def event_id(*parts: str):
     """An id that depends on the parts alone, so that a repeated run gives the same one."""
     return F.substring(F.sha2(F.concat_ws("\u0001", *parts), 256), 1, 32)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sonolake.functions.clean import band, no_sentinel, np_round, to_number
+from sonolake.functions.clean import band, finite, no_sentinel, np_round, to_number
 
 
 def number(df: DataFrame, name: str) -> Column:
-    """A column as double: numbers as they are (not a number: null), text by to_number()."""
+    """A column as double: finite numbers as they are (others: null), text by to_number()."""
     kind, c = dict(df.dtypes)[name], F.col(name)
     if kind in ("double", "float"):
-        return F.when(~F.isnan(c), c.cast("double"))
+        return finite(c.cast("double"))
     return c.cast("double") if kind in ("tinyint", "smallint", "int", "bigint") else to_number(c)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sonolake.functions.clean import hundreds_path, no_sentinel, np_round, tags_list, tags_text, to_number
 from sonolake.operators import features, zones
-from sonolake.plans import kpi, roundtrips
+from sonolake.plans import batches, kpi, roundtrips
 from sonolake.sources import paged
 from sonolake.sources.observations import HOT_EVENT, observations, read
 from sonolake.streaming import hot
@@ -71,7 +73,7 @@ _obs("lenient_numeric", lambda o: o.select("uuid", np_round(to_number(F.col("pea
 _obs("qa_required_keys", lambda o: zones.required_keys(zones.trim_all(o.select("uuid", "category")), "uuid", "category"), f"{OBS} select uuid, trim(category) as category from obs where length(trim(category)) > 0")
 _obs("pending_by_source", lambda o: kpi.typed(zones.pending(o, o.where("event_id % 3 = 0"))).groupBy("source").agg(F.count(F.lit(1)).alias("n")), f"{OBS} select source, count(*) as n from typed where event_id % 3 <> 0 group by source")
 _obs("pending_left_anti", lambda o: zones.pending(o.where("event_id % 3 = 0"), o.where("event_id % 6 = 0")).select("uuid", "source_id"), f"{OBS} select uuid, source_id from obs where event_id % 3 = 0 and event_id % 6 <> 0")
-_obs("pending_second_run", lambda o: zones.pending(o, o).agg(F.count(F.lit(1)).alias("n_pending")), f"{OBS} select count(*) as n_pending from obs where uuid not in (select uuid from obs)")
+_obs("pending_second_run", lambda o: zones.counts_by(zones.pending(o, kpi.typed(o).where("category is not null and source is not null")), "source"), f"{OBS} select source, count(*) as n from obs where uuid not in (select uuid from typed where category is not null and source is not null) group by source")
 _obs("zone_overlap", lambda o: zones.zone_overlap({"landing": o, "trusted": o.where("event_id % 3 = 0"), "exploitation": o.where("event_id % 6 = 0")}), f"""{OBS}, z as (select uuid, 'landing' as zone from obs union all select uuid, 'trusted' from obs where event_id % 3 = 0 union all select uuid, 'exploitation' from obs where event_id % 6 = 0)
  select a.zone as zone_a, b.zone as zone_b, count(*) as n_shared from (select distinct * from z) a join (select distinct * from z) b on a.uuid = b.uuid and a.zone <= b.zone group by 1, 2""")
 _obs("column_profile", lambda o: zones.column_profile(kpi.typed(o).select("uuid", "category", "source", "peak")).select("column_name", "non_null"), f"{OBS} select 'uuid' as column_name, count(uuid) as non_null from typed union all select 'category', count(category) from typed union all select 'source', count(source) from typed union all select 'peak', count(peak) from typed")
@@ -194,12 +196,12 @@ _obs("incremental_since", lambda o: zones.since(o, "time_recorded", _SINCE).sele
 
 def _paths(spark, d):
     name = F.col("event_id").cast("string")
-    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("audio/raw/"), name, F.lit(".wav"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x/"), name, F.lit(".mp3"))).otherwise(name)
+    path = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("audio/raw/"), name, F.lit(".wav"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("x/"), name, F.lit(".mp3"))).when(F.col("event_id") % 2 == 0, F.lit("a/.wav")).otherwise(name)
     return read(spark, d, "events").select("event_id", zones.uuid_of_path(path).alias("uuid"))
 
 
 QUERIES["uuid_from_path"] = _paths
-ORACLE["uuid_from_path"] = "select event_id, cast(event_id as varchar) || case when event_id % 3 = 1 then '.mp3' else '' end as uuid from events"
+ORACLE["uuid_from_path"] = "select event_id, case when event_id % 3 = 2 and event_id % 2 = 0 then null else cast(event_id as varchar) || case when event_id % 3 = 1 then '.mp3' else '' end end as uuid from events"
 
 
 def _valid_events(spark, d):
@@ -230,3 +232,20 @@ ORACLE["harmonic_share"] = f"""with {_POWER} select 'vec-' || cast(vec_id as var
 QUERIES["frame_profiles"] = lambda spark, d: features.frame_profiles(_waves(spark, d), 1)
 QUERIES |= roundtrips.QUERIES
 ORACLE |= roundtrips.ORACLE
+
+#: What names a row of each KPI of the catalogue, in both engines, and the query with the KPI's SQL.
+_ITEMS = {
+    "1": ("category", "category", "top_mode_share"), "2": ("uuid", "uuid", "best_candidates"), "3": ("concat_ws('/', band, category)", "band || '/' || category", "freq_cluster_top_categories"),
+    "4": ("concat_ws('/', category_a, category_b)", "category_a || '/' || category_b", "category_pairs_unique"), "5": ("source", "source", "proc_time_per_source"), "6": ("category", "category", "complex_categories"),
+    "7": ("concat_ws('/', `group`, category)", "\"group\" || '/' || category", "bright_dark_categories"),
+}
+
+
+def _kpi_run_all(spark, d):
+    """The rows of all KPIs of the catalogue by their names."""
+    made = [df.select(F.lit(name).alias("kpi"), F.expr(_ITEMS[name][0]).alias("item")) for name, df in batches.run_all(observations(spark, d)).items()]
+    return reduce(lambda a, b: a.unionByName(b), made)
+
+
+QUERIES["kpi_run_all"] = _kpi_run_all
+ORACLE["kpi_run_all"] = " union all ".join(f"select '{name}' as kpi, {item} as item from ({ORACLE[query]}) as k{name}" for name, (_, item, query) in _ITEMS.items())

@@ -16,7 +16,7 @@ from sonolake.operators import features, zones
 from sonolake.plans import batches
 from sonolake.sources import tables
 from sonolake.sources.observations import observations, read, with_boundary_names, with_internal_names
-from sonolake.streaming import hot
+from sonolake.streaming import capture, hot
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -106,22 +106,6 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return good.union(spark.read.parquet(f"{path}/dead-b").select("event_id", F.lit(True)))
 
 
-@_query(f"select {_EV} as uuid, 64 as sample_rate, 64 as n, true as near from events")
-def wave_codec(spark: SparkSession, d: str) -> DataFrame:
-    """Samples to 16-bit waveforms and back."""
-
-    @F.pandas_udf("sample_rate int, n int, near boolean")
-    def back(x: pd.Series) -> pd.DataFrame:
-        out = []
-        for f in x:
-            own = 0.9 * np.sin(np.arange(64) * (f % 7 + 1) / 9)
-            rate, got = tables.decode_wav(tables.encode_wav(own, 64))
-            out.append((rate, len(got), bool(np.abs(got - own).max() < 1e-4)))
-        return pd.DataFrame(out, columns=["sample_rate", "n", "near"])
-
-    return observations(spark, d).select("uuid", back("event_id").alias("w")).select("uuid", "w.*")
-
-
 _MIRROR = "x as (select vec_id, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), m as (select a.vec_id, a.i, a.v, b.v as w, avg(a.v) over (partition by a.vec_id) as m from x a join x b on a.vec_id = b.vec_id and b.i = (a.i // 8) * 8 + 7 - a.i % 8)"
 _ROUND = lambda e: f"round_even(({e}) * 1000000.0, 0) / 1000000.0"
 
@@ -220,29 +204,42 @@ def best_candidates_report(spark: SparkSession, d: str) -> DataFrame:
     return batches.best_candidates(observations(spark, d).drop("category", "source", "peak_frequency_hz"))
 
 
-@_query("select name, cast(n as bigint) as n from (values ('2', 10), ('3', 3), ('6', 10), ('7', 10)) as t(name, n)")
-def kpi_run_all(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the KPIs of fixed size, from a run of the whole catalogue."""
-    counts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in batches.run_all(observations(spark, d)).items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.union(c)
-    return out.where("name in ('2', '3', '6', '7')")
-
-
-@_query("""with s as (select user_id as device, event_id as place, row_number() over (partition by user_id order by event_id desc) as e from events), k as (select *, row_number() over (partition by device order by place) - 1 as pos from s where e <= 25)
- select device, cast(pos // 5 as bigint) as batch, count(*) as n, min(place) as first from k group by 1, 2 having count(*) = 5""")
+def _captured(spark: SparkSession, samples: DataFrame, size: int, capacity: int, drops: int) -> DataFrame:
+    """Batches of (device, tick, place, sample) rows that arrive in drops of files, the stream being stopped and started for each."""
+    path = _folder(spark)
+    at = samples.agg(F.percentile("tick", [k / drops for k in range(1, drops)])).first()[0]
+    drop = sum((F.when(F.col("tick") > F.lit(x), 1).otherwise(0) for x in at), F.lit(0))
+    samples.withColumn("drop", drop).write.partitionBy("drop").parquet(f"{path}/samples")
+    for k in range(drops):
+        arrived = spark.read.parquet(f"{path}/samples").where(F.col("drop") == k).drop("drop")
+        arrived.write.mode("append").parquet(f"{path}/arrived")
+        stream = spark.readStream.schema(samples.schema).parquet(f"{path}/arrived")
+        capture.run_captured(capture.capture_batches(stream, size, capacity), f"{path}/batches", f"{path}/mark")
+    return spark.read.schema(capture.BATCHES).parquet(f"{path}/batches")
+
+
+@_query("""with k as (select cast(user_id as varchar) as device, event_id as place, value, row_number() over (partition by user_id order by event_id) - 1 as pos from events)
+ select device, cast(pos // 5 as bigint) as batch, min(place) as first, max(place) as last, count(*) as n, round_even(sum(value) * 1000.0, 0) / 1000.0 as total, cast(0 as bigint) as dropped from k group by device, pos // 5 having count(*) = 5""")
 def sample_batches(spark: SparkSession, d: str) -> DataFrame:
-    return batches.sample_batches(read(spark, d, "events").select(F.col("user_id").alias("device"), F.col("event_id").alias("place")), 5, 25)
+    """A consumer that looks at every sample: each whole batch of each device comes out once, over three starts of the stream."""
+    events = read(spark, d, "events").select(F.col("user_id").cast("string").alias("device"), F.col("event_id").alias("tick"), F.col("event_id").alias("place"), F.col("value").alias("sample"))
+    found = _captured(spark, events, 5, 10, 3)
+    return found.select("device", "batch", "first", "last", "n", np_round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), "dropped")
+
+
+@_query("""with recursive e as (select cast(user_id % 7 as varchar) as device, event_id as place, (event_id // 50) as tick, row_number() over (partition by user_id % 7 order by event_id) as seen from events),
+ t as (select device, tick, max(seen) as seen, row_number() over (partition by device order by tick) as i from e group by device, tick),
+ s as (select device, 0 as i, cast(0 as bigint) as head, cast(0 as bigint) as dropped, cast(0 as bigint) as batch, cast(null as bigint) as front from (select distinct device from e)
+  union all select s.device, t.i, greatest(s.head, t.seen - 12) + case when t.seen - greatest(s.head, t.seen - 12) >= 6 then 6 else 0 end, s.dropped + greatest(0, t.seen - 12 - s.head),
+   s.batch + case when t.seen - greatest(s.head, t.seen - 12) >= 6 then 1 else 0 end, case when t.seen - greatest(s.head, t.seen - 12) >= 6 then greatest(s.head, t.seen - 12) end from s join t on s.device = t.device and t.i = s.i + 1)
+ select s.device, s.batch - 1 as batch, a.place as first, b.place as last, cast(6 as bigint) as n, s.dropped from s join e a on s.device = a.device and a.seen = s.front + 1 join e b on s.device = b.device and b.seen = s.front + 6""")
+def sample_batches_behind(spark: SparkSession, d: str) -> DataFrame:
+    """A consumer that looks too seldom: one batch a look, and the oldest samples beyond the backlog are dropped and counted."""
+    e = F.col("event_id")
+    events = read(spark, d, "events").select((F.col("user_id") % 7).cast("string").alias("device"), F.floor(e / 50).alias("tick"), e.alias("place"), F.col("value").alias("sample"))
+    return _captured(spark, events, 6, 12, 2).select("device", "batch", "first", "last", "n", "dropped")
 
 
 @_query("select event_id, substring(sha256(cast(event_id as varchar) || chr(1) || event_type), 1, 32) as uuid from events where event_type is not null")
 def stable_ids(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").where("event_type is not null").select("event_id", batches.event_id("event_id", "event_type").alias("uuid"))
-
-
-@_query("select count(*) as n, true as same from events")
-def boundary_names(spark: SparkSession, d: str) -> DataFrame:
-    obs = observations(spark, d)
-    out = with_boundary_names(obs)
-    return with_internal_names(out).agg(F.count(F.lit(1)).alias("n"), F.lit("time_recorded/added" in out.columns and with_internal_names(out).columns == obs.columns).alias("same"))

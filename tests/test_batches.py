@@ -31,10 +31,31 @@ def test_exploitation_batch_keeps_rows_without_a_waveform(spark):
     assert set(features.FEATURES) <= set(got["a"].asDict())
 
 
-def test_sample_batches_drop_the_oldest(spark):
-    rows = spark.createDataFrame([("a", i) for i in range(13)] + [("b", 1)], "device string, place long")
-    got = sorted((r.device, r.batch, r.n, r["first"]) for r in batches.sample_batches(rows, 4, 10).collect())
-    assert got == [("a", 0, 4, 3), ("a", 1, 4, 7)]
+def test_one_row_for_each_row_whatever_waveforms_there_are(spark):
+    trusted = spark.createDataFrame([("a", "p", "2"), ("a", "p", "3"), ("b", "p", None)], "uuid string, audio_path string, peak_frequency_hz string")
+    tone = [float(x) for x in (0, 1, 0, -1)]
+    waves = spark.createDataFrame([("a", tone, 4), ("a", tone[:3], 4), ("a", tone, 4), ("b", None, 4)], "uuid string, samples array<double>, sample_rate int")
+    out = batches.exploitation_batch(trusted, waves, None)
+    assert sorted(r.uuid for r in out.collect()) == ["a", "a", "b"]
+    done = batches.finished(batches.exploitation_batch(trusted, waves.where("size(samples) = 4"), None)).collect()
+    assert [(r.uuid, r.feature_version) for r in done] == [("a", "1.0.0")] * 2 and batches.finished(batches.exploitation_batch(trusted, waves.where("size(samples) = 3"), None)).count() == 0
+
+
+def test_trusted_batch_from_boundary_names(spark, tmp_path):
+    from sonolake.sources import tables
+
+    (tmp_path / "a.csv").write_text("uuid,audio_path,time_recorded/added\nx,a/x.wav,2024\ny,a/y.wav,\n")
+    events = spark.createDataFrame([("y", "mic", "2025")], "uuid string, device string, event_time string")
+    got = {r.uuid: (r.time_recorded, r.device) for r in batches.trusted_batch(tables.read_csv(spark, str(tmp_path)), events, None).collect()}
+    assert got == {"x": ("2024", "-"), "y": ("2025", "mic")}
+    bare = spark.createDataFrame([("y", "p")], "uuid string, audio_path string")
+    assert [(r.time_recorded, r.device) for r in batches.trusted_batch(bare, events, None).collect()] == [("2025", "mic")]
+
+
+def test_path_without_a_name_gives_the_archive_file(spark):
+    rows = [("a/.wav", "m", "t", "/arch/own.json")]
+    got = batches.archived_events(spark.createDataFrame(rows, "audio_path string, device string, timestamp string, file string")).collect()
+    assert [r.uuid for r in got] == ["own"]
 
 
 def test_columns_previews_and_catalogue(spark):
@@ -45,3 +66,4 @@ def test_columns_previews_and_catalogue(spark):
     assert df.select(batches.event_id("uuid")).distinct().count() == 3
     full = df.select("uuid", *(F.lit("1").alias(c) for c in ("category", "source", "peak_frequency_hz", "symmetry_score", "pattern_stability_score", "processing_time_seconds", "spectral_entropy", "spectral_centroid_hz")))
     assert set(batches.run_all(full)) == set(batches.CATALOGUE) and batches.run_all(full)["2"].count() == 3
+    assert set(batches.CATALOGUE) == set("1234567") and batches.run_all(full)["3"].columns[:2] == ["band", "category"] and "rank" in batches.run_all(full)["1"].columns

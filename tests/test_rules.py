@@ -212,3 +212,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_best_window_is_no_window_of_bin_zero():
+    rate = 800
+    x = 0.3 * np.sin(2 * np.pi * 40 * np.arange(rate) / rate)
+    x[:200] = 1.0  # the loudest window is constant: its bin is 0
+    assert dsp.peak_frequency(x, rate)["peak_time_s"] > 0 and dsp.peak_frequency(x, rate)["peaks_hz"] != "0"
+
+
+def test_numbers_are_finite(spark):
+    df = spark.createDataFrame([("1e400", float("inf")), ("2", 2.0), ("inf", float("-inf")), ("x", float("nan"))], "a string, b double")
+    assert [tuple(r) for r in df.select(to_number(F.col("a")), kpi.number(df, "b")).collect()] == [(None, None), (2.0, 2.0), (None, None), (None, None)]
