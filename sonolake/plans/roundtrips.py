@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from sonolake.functions import images
 from sonolake.functions.clean import np_round
 from sonolake.operators import features, zones
 from sonolake.plans import batches
-from sonolake.sources import tables
+from sonolake.sources import tables, versions
 from sonolake.sources.observations import observations, read, with_boundary_names, with_internal_names
 from sonolake.streaming import capture, hot
 
@@ -84,6 +85,21 @@ def zone_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, x["status"], x["version"], x["rows"], x["cols"]) for n, x in found.items()], "zone string, status string, version long, n long, n_columns long")
 
 
+@_query("""select v as version, event_type, count(*) as n from events, (select unnest([0, 1, 2, 3]) as v)
+ where case v when 0 then event_id % 4 = 0 when 1 then event_id % 4 < 2 when 2 then event_id % 4 < 2 and event_type = 'click' else event_id % 4 < 2 and event_type = 'click' or event_id % 4 = 3 end group by 1, 2""")
+def table_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two appends, a replacement of what was read and an append that comes twice: the event types of every version."""
+    events, path = read(spark, d, "events").select("event_id", "event_type"), _folder(spark)
+    part = lambda k: events.where(F.col("event_id") % 4 == k)
+    versions.append(part(0), path)
+    seen = versions.append(part(1), path)
+    versions.replace(versions.read(spark, path).where("event_type = 'click'"), path, read=seen)
+    for _ in range(2):
+        versions.append(part(3), path, token="batch-3")
+    found = [versions.read(spark, path, v).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).cast("long").alias("version"), "event_type", "n") for v in range(versions.latest(spark, path) + 1)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @_query("select source_id, created, n from (select source_id, created, row_number() over (partition by source_id order by created) as n, created >= '2024-01-10' as late from (select cast(user_id as varchar) as source_id, min(strftime(ts, '%Y-%m-%d')) as created from events group by 1))")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over sources with their first day: the second starts where the first one began and finds what is new."""

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.operators.zones import append_evolving, pending, since
+from sonolake.sources import versions
 from sonolake.sources.observations import HOT_EVENT
 
 
@@ -73,24 +74,15 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_snapshot(rows: DataFrame, path: str) -> int:
-    """A new version of a table next to the old ones; a version counts once its files are all there (_SUCCESS)."""
-    version = max(versions(rows.sparkSession, path), default=-1) + 1
-    rows.write.parquet(f"{path}/version={version}")
-    return version
+    """A new version of a table in place of the last one; old versions stay readable, and writers at once get versions of their own."""
+    return versions.replace(rows, path)
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    if not exists(spark, f"{path}/version=*/_SUCCESS"):
-        return []
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
-    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
-
-
-def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, int] | None:
-    """(rows, version) of the latest version."""
-    known = versions(spark, path)
-    return (spark.read.parquet(f"{path}/version={known[-1]}"), known[-1]) if known else None
+def read_snapshot(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, int] | None:
+    """(rows, version) of the latest version or of one that is named."""
+    at = versions.latest(spark, path) if version is None else version
+    rows = versions.read(spark, path, at)
+    return None if rows is None else (rows, at)
 
 
 def sync_snapshot(spark: SparkSession, source: str, target: str) -> int | None:
