@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sonolake.functions.clean import hundreds_path, no_sentinel, np_round, tags_list, tags_text, to_number
 from sonolake.operators import features, zones
-from sonolake.plans import batches, kpi, roundtrips
+from sonolake.plans import batches, hotpath, kpi, roundtrips
 from sonolake.sources import paged
 from sonolake.sources.observations import HOT_EVENT, observations, read
 from sonolake.streaming import hot
@@ -230,8 +230,8 @@ ORACLE["spectral_rolloff"] = f"""with {_POWER}, c as (select vec_id, f, sum(p) o
 QUERIES["harmonic_share"] = lambda spark, d: features.harmonic_share(_waves(spark, d), F.lit(9.0)).select("uuid", np_round(F.col("harmonic_energy_ratio"), 6).alias("harmonic_energy_ratio"))
 ORACLE["harmonic_share"] = f"""with {_POWER} select 'vec-' || cast(vec_id as varchar) as uuid, {_R("sum(p * ((abs(f - 9) <= 5)::int + (abs(f - 18) <= 5)::int + (abs(f - 27) <= 5)::int)) / sum(p)", 6)} as harmonic_energy_ratio from p group by vec_id"""
 QUERIES["frame_profiles"] = lambda spark, d: features.frame_profiles(_waves(spark, d), 1)
-QUERIES |= roundtrips.QUERIES
-ORACLE |= roundtrips.ORACLE
+QUERIES |= roundtrips.QUERIES | hotpath.QUERIES
+ORACLE |= roundtrips.ORACLE | hotpath.ORACLE
 
 #: What names a row of each KPI of the catalogue, in both engines, and the query with the KPI's SQL.
 _ITEMS = {

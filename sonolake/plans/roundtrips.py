@@ -34,7 +34,7 @@ def _query(sql: str | None):
     return add
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A fresh folder in the shared one (of its own only where none is named, as in tests)."""
     return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tables-')}/{uuid.uuid4().hex}"
 
@@ -42,7 +42,7 @@ def _folder(spark: SparkSession) -> str:
 @_query("select event_id, cast(user_id as varchar) as user_id, 'a \"' || event_type || '\", b' as text, case when event_id % 2 = 0 then cast(value as varchar) end as value from events where event_type is not null")
 def csv_export_of_two_layouts(spark: SparkSession, d: str) -> DataFrame:
     base = read(spark, d, "events").where("event_type is not null").select("event_id", "user_id", F.concat(F.lit('a "'), "event_type", F.lit('", b')).alias("text"), F.col("value").cast("string").alias("value"))
-    path = _folder(spark)
+    path = folder(spark)
     tables.export_csv(base.where("event_id % 2 = 0"), path, ("text",))
     tables.export_csv(base.where("event_id % 2 = 1").drop("value"), path)
     return tables.read_exports(spark, path).withColumn("event_id", F.col("event_id").cast("long"))
@@ -51,14 +51,14 @@ def csv_export_of_two_layouts(spark: SparkSession, d: str) -> DataFrame:
 @_query("select cast(event_id as varchar) as uuid, 44100 as sample_rate, event_type as device, strftime(ts, '%Y-%m-%d') as day from events")
 def json_event_archive(spark: SparkSession, d: str) -> DataFrame:
     events = read(spark, d, "events").select(F.concat(F.lit("audio/raw/"), "event_id", F.lit(".wav")).alias("audio_path"), F.lit("landing").alias("bucket"), F.date_format("ts", "yyyy-MM-dd").alias("timestamp"), F.lit(44100).alias("sample_rate"), F.col("event_type").alias("device"))
-    path = _folder(spark)
+    path = folder(spark)
     events.write.json(path)
     return tables.read_events(spark, path).select(zones.uuid_of_path(F.col("audio_path")).alias("uuid"), "sample_rate", "device", F.col("timestamp").alias("day"))
 
 
 @_query("select event_id, user_id, case when event_id % 2 = 1 then event_type end as event_type from events")
 def parquet_appends(spark: SparkSession, d: str) -> DataFrame:
-    events, path = read(spark, d, "events").select("event_id", "user_id", "event_type"), _folder(spark)
+    events, path = read(spark, d, "events").select("event_id", "user_id", "event_type"), folder(spark)
     tables.append(events.where("event_id % 2 = 0").drop("event_type"), path)
     tables.append(events.where("event_id % 2 = 1"), path)
     return tables.read_parquet(spark, path)
@@ -66,7 +66,7 @@ def parquet_appends(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("select cast(event_id as varchar) as event_id, case when event_id % 2 = 1 then event_type else '' end as event_type from events")
 def text_appends(spark: SparkSession, d: str) -> DataFrame:
-    events, path = read(spark, d, "events").select("event_id", "event_type"), _folder(spark)
+    events, path = read(spark, d, "events").select("event_id", "event_type"), folder(spark)
     tables.append(events.where("event_id % 2 = 0").select("event_id"), path)
     return tables.append_text(events.where("event_id % 2 = 1"), spark, path)
 
@@ -74,7 +74,7 @@ def text_appends(spark: SparkSession, d: str) -> DataFrame:
 @_query("select 'trusted' as zone, 'ok' as status, cast(1 as bigint) as version, count(*) as n, cast(2 as bigint) as n_columns from customer union all select 'landing', 'ok', 0, count(*), 2 from nation union all select 'exploitation', 'no_table', null, null, null")
 def zone_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Tables of three zones (the last one without rows) synchronised twice where there is more, and what an inspection says."""
-    base = _folder(spark)
+    base = folder(spark)
     small = {"trusted": read(spark, d, "customer").select("c_custkey", "c_name"), "landing": read(spark, d, "nation").select("n_nationkey", "n_name"), "exploitation": read(spark, d, "nation").select("n_name").limit(0)}
     for name, df in small.items():
         tables.append(df, f"{base}/{name}/table")
@@ -89,7 +89,7 @@ def zone_snapshots(spark: SparkSession, d: str) -> DataFrame:
  where case v when 0 then event_id % 4 = 0 when 1 then event_id % 4 < 2 when 2 then event_id % 4 < 2 and event_type = 'click' else event_id % 4 < 2 and event_type = 'click' or event_id % 4 = 3 end group by 1, 2""")
 def table_versions(spark: SparkSession, d: str) -> DataFrame:
     """Two appends, a replacement of what was read and an append that comes twice: the event types of every version."""
-    events, path = read(spark, d, "events").select("event_id", "event_type"), _folder(spark)
+    events, path = read(spark, d, "events").select("event_id", "event_type"), folder(spark)
     part = lambda k: events.where(F.col("event_id") % 4 == k)
     versions.append(part(0), path)
     seen = versions.append(part(1), path)
@@ -104,7 +104,7 @@ def table_versions(spark: SparkSession, d: str) -> DataFrame:
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Two runs over sources with their first day: the second starts where the first one began and finds what is new."""
     rows = read(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("source_id")).agg(F.min(F.date_format("ts", "yyyy-MM-dd")).alias("created"))
-    path = _folder(spark)
+    path = folder(spark)
     tables.ingest_since(rows.where("created < '2024-01-10'"), "created", "source_id", f"{path}/t", f"{path}/mark", "2024-01-01")
     tables.ingest_since(rows, "created", "source_id", f"{path}/t", f"{path}/mark", "2024-01-20")
     tables.ingest_since(rows, "created", "source_id", f"{path}/t", f"{path}/mark", "2024-01-21")
@@ -114,12 +114,12 @@ def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
 @_query("select distinct event_id, false as rejected from events where event_id % 11 <> 0 union all select event_id, true from events where event_id % 11 = 0")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """Events into a table once each, those without a key into the dead letters; a run from the start adds nothing."""
-    path = _folder(spark)
+    path = folder(spark)
     for k in ("a", "b"):
         stream = hot.event_stream(spark, d).withColumn("key", F.when(F.col("event_id") % 11 != 0, F.col("event_id"))).select("key", "event_id")
-        hot.ingest(stream, f"{path}/t", f"{path}/dead-{k}", f"{path}/mark-{k}", "key")
+        hot.ingest(stream, f"{path}/t", f"{path}/dead", f"{path}/mark-{k}", "key")
     good = spark.read.parquet(f"{path}/t").select("event_id", F.lit(False).alias("rejected"))
-    return good.union(spark.read.parquet(f"{path}/dead-b").select("event_id", F.lit(True)))
+    return good.union(spark.read.parquet(f"{path}/dead").select("event_id", F.lit(True)))
 
 
 _MIRROR = "x as (select vec_id, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), m as (select a.vec_id, a.i, a.v, b.v as w, avg(a.v) over (partition by a.vec_id) as m from x a join x b on a.vec_id = b.vec_id and b.i = (a.i // 8) * 8 + 7 - a.i % 8)"
@@ -185,7 +185,7 @@ def trusted_batch(spark: SparkSession, d: str) -> DataFrame:
 def trusted_batch_twice(spark: SparkSession, d: str) -> DataFrame:
     """Rows that two runs of the same batch add."""
     landing, archive = _landing(spark, d)
-    path, events = _folder(spark), batches.archived_events(archive)
+    path, events = folder(spark), batches.archived_events(archive)
     added = [batches.run_and_append(spark, lambda done: batches.trusted_batch(landing, events, done), path) for _ in range(2)]
     return spark.createDataFrame([tuple(added)], "first_run long, second_run long")
 
@@ -222,7 +222,7 @@ def best_candidates_report(spark: SparkSession, d: str) -> DataFrame:
 
 def _captured(spark: SparkSession, samples: DataFrame, size: int, capacity: int, drops: int) -> DataFrame:
     """Batches of (device, tick, place, sample) rows that arrive in drops of files, the stream being stopped and started for each."""
-    path = _folder(spark)
+    path = folder(spark)
     at = samples.agg(F.percentile("tick", [k / drops for k in range(1, drops)])).first()[0]
     drop = sum((F.when(F.col("tick") > F.lit(x), 1).otherwise(0) for x in at), F.lit(0))
     samples.withColumn("drop", drop).write.partitionBy("drop").parquet(f"{path}/samples")

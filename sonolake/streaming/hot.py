@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolake.sources import versions
+from sonolake.sources.objects import listing
+from sonolake.sources.observations import HOT_EVENT
 from sonolake.sources.tables import read_parquet
 
 
@@ -48,7 +51,8 @@ def ingest(stream: DataFrame, path: str, rejected: str, checkpoint: str, key: st
     """Appends what is available to a table, at least once and without repeats of a key.
 
     Each micro-batch is appended after an anti-join with the keys that are there, so a batch that runs again after a
-    failure adds nothing twice. Rows without a key go to a table of their own with the reason.
+    failure adds nothing twice. Rows without a key go to a table of their own with the reason, by their content alike.
+    Of several rows with one key the smallest is taken.
 
     With a time column the table is partitioned by its date (UTC session), as `day`, and a row repeats one of the table if
     their dates are at most `reach_days` apart or both missing; a batch then reads only the partitions from its first date to
@@ -57,8 +61,11 @@ def ingest(stream: DataFrame, path: str, rejected: str, checkpoint: str, key: st
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        batch.where(F.col(key).isNull()).withColumn("reason", F.lit(f"no {key}")).write.mode("append").parquet(rejected)
-        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        bad = batch.where(F.col(key).isNull()).withColumns({"reason": F.lit(f"no {key}"), "row_hash": F.sha2(F.to_json(F.struct(*batch.columns)), 256)})
+        if (dead := read_parquet(batch.sparkSession, rejected)) is not None:
+            bad = bad.join(dead.select("row_hash"), "row_hash", "left_anti")
+        bad.write.mode("append").parquet(rejected)
+        fresh = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*(c for c in batch.columns if c != key), key)).alias("_r")).select(*(F.col("_r")[c].alias(c) for c in batch.columns))
         if time is not None:
             fresh = fresh.withColumn("day", F.to_date(time))
         if (old := read_parquet(batch.sparkSession, path)) is not None:
@@ -76,3 +83,46 @@ def _unseen(fresh: DataFrame, old: DataFrame, key: str, days: int) -> DataFrame:
     seen = old.where(near | F.col("day").isNull()).select(F.col(key).alias("_key"), F.col("day").alias("_day"))
     apart = F.abs(F.date_diff("day", "_day"))
     return fresh.join(seen, (F.col(key) == F.col("_key")) & (F.col("day").eqNullSafe(F.col("_day")) | (apart <= days)), "left_anti")
+
+
+def json_events(spark: SparkSession, path: str) -> DataFrame:
+    """Archived hot events as a stream, one JSON object a file or a line; what doesn't parse has nulls."""
+    return spark.readStream.schema(HOT_EVENT).option("mode", "PERMISSIVE").json(path)
+
+
+def _named(events: DataFrame) -> DataFrame:
+    """With `object` (bucket and path) of messages that name both, and a key: the object's, or a hash of the message."""
+    both = (F.length("audio_path") > 0) & (F.length("bucket") > 0)
+    named = events.withColumn("object", F.when(both, F.concat_ws("/", "bucket", "audio_path")))
+    return named.withColumn("event_key", F.coalesce("object", F.sha2(F.to_json(F.struct(*events.columns)), 256)))
+
+
+def judged(events: DataFrame, there: DataFrame) -> DataFrame:
+    """One row for each key (that of the smallest timestamp, then of the smallest row) with the reason why it is no good, or null.
+
+    there: name (bucket and path) of every object. Both sides are reduced to one row a key before they meet.
+    """
+    named = _named(events)
+    first = named.groupBy("event_key").agg(F.min(F.struct("timestamp", *(c for c in named.columns if c not in ("timestamp", "event_key")))).alias("e"))
+    rows = first.select("event_key", *(F.col("e")[c].alias(c) for c in events.columns), F.col("e.object").alias("object"))
+    known = there.select(F.col("name").alias("object"), F.lit(True).alias("there")).distinct()
+    reason = F.when(F.col("object").isNull(), "no audio_path or bucket").when(F.col("there").isNull(), "no object")
+    return rows.join(known, "object", "left").withColumn("reason", reason).drop("object", "there")
+
+
+def consume(events: DataFrame, root: str, path: str, checkpoint: str) -> None:
+    """Works off an event stream into one versioned table, good messages and dead letters (those with a reason) alike.
+
+    Each micro-batch is one commit, so both appear at once or not at all, and a batch that runs again is found in the log by its
+    number. Messages whose key the table has, good or dead, are not taken again, so a run from the start adds nothing. Whether an
+    object is there is asked of a listing of the folder at the time of the batch.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = judged(batch, listing(spark, root))
+        if (old := versions.read(spark, path)) is not None:
+            rows = rows.join(old.select("event_key"), "event_key", "left_anti")
+        versions.append(rows, path, token=f"{checkpoint}:{number}")
+
+    events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
