@@ -101,7 +101,7 @@ def test_paged_source(spark):
 
     server = HTTPServer(("127.0.0.1", 0), Answer)
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    spark.dataSource.register(paged.SoundSearch)
+    paged.register(spark)
     df = spark.read.format("sound_search").option("url", f"http://127.0.0.1:{server.server_port}/s").option("queries", "rain,wind").option("pages", 2).option("created_after", "2024-01-01").load()
     rows = df.collect()
     server.shutdown()
