@@ -1,8 +1,8 @@
 """Token ids in files: a zstandard frame for each document, a dictionary shared by all files, an index at the end of each.
 
 1. One pass gives the size of the table and quantiles of doc_id; a second one the dictionary's sample: the first SAMPLE_CHARS
-   characters of the SAMPLE_ROWS documents with the smallest hash of their id. The dictionary is trained on the serialised id
-   arrays of the sample alone; every document is compressed with it.
+   characters of at most SAMPLE_ROWS documents, those whose place in the table has the smallest hash. The dictionary is trained on
+   the serialised id arrays of the sample alone; every document is compressed with it.
 2. Each text is tokenised and compressed where it is, and dealt to its range of doc_id by number, so only frames are shuffled.
    Repeats of an id that fills several ranges are spread over them.
 3. Each range is written in order, a file of at most FILE_BYTES after another. A task names its files at random and reports them
@@ -88,21 +88,26 @@ def _width(tokenizer: str, end: int) -> int:
     return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
 
 
-def _sample(docs: DataFrame) -> list[str]:
-    heads = docs.select(F.xxhash64("doc_id").alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    return [r.text for r in heads.orderBy("h", "text").limit(SAMPLE_ROWS).collect()]
+def _sample(docs: DataFrame, n: int) -> list[str]:
+    """Beginnings of SAMPLE_ROWS documents or a few less or more before the limit: those whose place has a small hash."""
+    if not n:
+        return []
+    share = min(1.0, 1.1 * SAMPLE_ROWS / n)
+    h = F.xxhash64(F.monotonically_increasing_id())
+    heads = docs.select(h.alias("h"), F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    return [r.text for r in heads.where(F.col("h") < F.lit(int((2 * share - 1) * 2.0**63) if share < 1 else 2**63 - 1)).orderBy("h", "text").limit(SAMPLE_ROWS).collect()]
 
 
-def _ranges(docs: DataFrame, part_bytes: int) -> tuple[int, list[int]]:
-    """(parts for null ids, lowest doc_id of each further part); an id that fills several parts stands there as often."""
+def _ranges(docs: DataFrame, part_bytes: int) -> tuple[int, int, list[int]]:
+    """(rows, parts for null ids, lowest doc_id of each further part); an id that fills several parts stands there as often."""
     n, nulls, size = docs.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     wanted = parts(size, part_bytes)
     empty = parts(wanted * nulls, n) if nulls else 0
     if n == nulls:
-        return empty, []
+        return n, empty, []
     at = [k / wanted for k in range(1, wanted)]
     bounds = docs.agg(F.percentile_approx("doc_id", at, max(10_000, 20 * wanted)) if at else F.array().cast("array<long>"), F.min("doc_id")).first()
-    return empty, [bounds[1], *bounds[0]]
+    return n, empty, [bounds[1], *bounds[0]]
 
 
 def _part(batch: pa.RecordBatch, empty: int, low: np.ndarray) -> np.ndarray:
@@ -193,8 +198,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int = E
     """Writes doc_id and text of `docs` to a new folder; the manifest."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark, width = docs.sparkSession, _width(tokenizer, end)
-    empty, low = _ranges(docs, part_bytes)
-    dictionary = train(list(_ids(_sample(docs), tokenizer, end)), width)
+    n, empty, low = _ranges(docs, part_bytes)
+    dictionary = train(list(_ids(_sample(docs, n), tokenizer, end)), width)
     system, path = _place(folder)
     system.create_dir(path)
     with system.open_output_stream(f"{path}/{_dictionary_name(hashlib.sha256(dictionary).digest())}") as f:
