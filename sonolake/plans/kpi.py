@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sonolake.functions import pairs
 from sonolake.functions.clean import band, finite, no_sentinel, np_round, to_number
 
 
@@ -79,32 +82,42 @@ def cluster_top_categories(obs: DataFrame, n: int = 3) -> DataFrame:
     return df.withColumn("rank_in_band", rank).where(F.col("rank_in_band") <= n)
 
 
+def _means(obs: DataFrame) -> DataFrame:
+    return typed(obs).na.drop(subset=["category", "peak"]).groupBy("category").agg(F.avg("peak").alias("m"))
+
+
 def category_pairs(obs: DataFrame) -> DataFrame:
     """All unordered pairs of categories with means and their difference, each rounded to two digits.
 
     One row for each category goes into the pairing, so its size is a property of the category list.
     """
-    means = typed(obs).na.drop(subset=["category", "peak"]).groupBy("category").agg(F.avg("peak").alias("m"))
+    means = _means(obs)
     a, b = means.select(F.col("category").alias("category_a"), F.col("m").alias("ma")), means.select(F.col("category").alias("category_b"), F.col("m").alias("mb"))
     pairs = a.join(b, F.col("category_a") < F.col("category_b"))
     return pairs.select("category_a", "category_b", np_round(F.col("ma"), 2).alias("mean_a"), np_round(F.col("mb"), 2).alias("mean_b"), np_round(F.abs(F.col("ma") - F.col("mb")), 2).alias("difference"))
 
 
-_PAIR_ORDER = ("difference", "category_a", "category_b")
+def _nearest(obs: DataFrame, n: int, choose) -> DataFrame:
+    """Pairs that a search over the sorted means chooses: one row for each category in one task, no list of pairs."""
+
+    def search(means: pd.DataFrame) -> pd.DataFrame:
+        means = means.sort_values("category", key=lambda c: c.str.encode("utf-8")).reset_index(drop=True)
+        m, name = means["m"].to_numpy(), means["category"]
+        round_ = lambda x: float(np.rint(x * 100.0) / 100.0)
+        rows = [(name[a], name[b], round_(m[a]), round_(m[b]), round_(abs(m[a] - m[b])), k) for k, (a, b) in enumerate(choose(m, np.arange(len(m)), n), 1)]
+        return pd.DataFrame(rows, columns=["category_a", "category_b", "mean_a", "mean_b", "difference", "rank"])
+
+    return _means(obs).groupBy().applyInPandas(search, "category_a string, category_b string, mean_a double, mean_b double, difference double, rank int")
 
 
 def closest_pairs(obs: DataFrame, n: int = 10) -> DataFrame:
-    return ranked(category_pairs(obs), n, *_PAIR_ORDER)
+    """The n pairs of categories with the smallest rounded difference (ties: by names)."""
+    return _nearest(obs, n, pairs.closest)
 
 
 def closest_pairs_unique(obs: DataFrame, n: int = 10) -> DataFrame:
-    """Greedy matching by ascending difference: each category at most once, n pairs at most (a fold over the category pairs)."""
-    fold = F.expr(
-        f"""aggregate(ps, cast(array() as array<struct<difference:double,category_a:string,category_b:string,mean_a:double,mean_b:double>>),
-        (acc, p) -> case when size(acc) >= {n} or exists(acc, q -> q.category_a in (p.category_a, p.category_b) or q.category_b in (p.category_a, p.category_b)) then acc else concat(acc, array(p)) end)"""
-    )
-    listed = category_pairs(obs).agg(F.sort_array(F.collect_list(F.struct("difference", "category_a", "category_b", "mean_a", "mean_b"))).alias("ps"))
-    return listed.select(F.posexplode(fold).alias("i", "p")).select("p.category_a", "p.category_b", "p.mean_a", "p.mean_b", "p.difference", (F.col("i") + 1).alias("rank"))
+    """Greedy matching by ascending difference: each category at most once, n pairs at most."""
+    return _nearest(obs, n, pairs.matched)
 
 
 def processing_time(obs: DataFrame) -> DataFrame:

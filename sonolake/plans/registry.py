@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from sonolake.functions.clean import hundreds_path, no_sentinel, np_round, tags_list, tags_text, to_number
-from sonolake.operators import features, zones
+from sonolake.operators import features, order, zones
 from sonolake.plans import batches, hotpath, kpi, roundtrips
 from sonolake.sources import paged
 from sonolake.sources.observations import HOT_EVENT, observations, read
@@ -91,6 +91,28 @@ _DESCRIBE = lambda c, n: f"select '{n}' as feature, count({c}) as n, {_R(f'avg({
 _obs("feature_describe", _feature_describe, f"{OBS} {_DESCRIBE('entropy', 'spectral_entropy')} union all {_DESCRIBE('centroid', 'spectral_centroid_hz')}")
 
 
+def _dense_ranks(spark, d):
+    o = observations(spark, d)
+    score = (F.col("symmetry_score") + F.col("pattern_stability_score")) / 2
+    return order.dense_rank(o.select("uuid", F.when(F.col("event_id") % 5 > 0, score).alias("score")), "score", roundtrips.folder(spark)).select("uuid", "rank")
+
+
+QUERIES["dense_ranks"] = _dense_ranks
+ORACLE["dense_ranks"] = """with s as (select 'ev-' || lpad(cast(event_id as varchar), 8, '0') as uuid, case when event_id % 5 > 0 then (((event_id * 7919) % 1000) / cast(1000 as double) + ((event_id * 104729) % 1000) / cast(1000 as double)) / 2 end as score from events)
+ select uuid, case when score is not null then dense_rank() over (order by score desc nulls last) end as rank from s"""
+
+
+def _feature_description(spark, d):
+    o = kpi.typed(observations(spark, d)).withColumn("none", F.lit(None).cast("double"))
+    found = order.description(o, ["peak", "spectral_entropy", "symmetry_score", "none"], roundtrips.folder(spark))
+    return found.select("column_name", "count", *(np_round(F.col(c), 4).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")))
+
+
+_DESCRIPTION = lambda c, n: f"select '{n}' as column_name, count({c}) as count, " + ", ".join(f"{_R(e, 4)} as {a}" for e, a in ((f"avg({c})", "mean"), (f"stddev_samp({c})", "std"), (f"min({c})", "min"), (f"quantile_cont({c}, 0.25)", "p25"), (f"quantile_cont({c}, 0.5)", "p50"), (f"quantile_cont({c}, 0.75)", "p75"), (f"max({c})", "max"))) + " from typed"
+QUERIES["feature_description"] = _feature_description
+ORACLE["feature_description"] = f"with {OBS} " + " union all ".join(_DESCRIPTION(c, n) for c, n in (("peak", "peak"), ("entropy", "spectral_entropy"), ("symmetry_score", "symmetry_score"), ("cast(null as double)", "none")))
+
+
 def _dedupe_latest(spark, d):
     order = ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return zones.latest(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], *order).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
