@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql.types import BinaryType
 from sonolake.functions.clean import np_round
 from sonolake.operators import enrich, zones
 from sonolake.plans.roundtrips import folder
-from sonolake.sources import objects, tables, versions
+from sonolake.sources import archive, objects, tables, versions
 from sonolake.sources.event_archive import EventArchive
 from sonolake.sources.observations import read
 from sonolake.streaming import hot
@@ -137,3 +140,43 @@ def boundary_names(spark: SparkSession, d: str) -> DataFrame:
     tables.export_csv(with_boundary_names(rows), path)
     events = read(spark, d, "events").where(e % 3 == 0).select(uuid.alias("uuid"), F.lit("mic").alias("device"), F.lit("2030").alias("event_time"))
     return batches.trusted_batch(tables.read_exports(spark, path), events, None).select("uuid", "source", "device", "time_recorded")
+
+
+@_query("""with x as (select vec_id, label, cast(unnest(embedding) as double) as v from embeddings where label % 3 <> 0), q as (select vec_id, label, trunc(v * 32767) / 32768.0 as v from x)
+ select vec_id, cast(vec_id % 5 + 1 as int) as fold, cast(label as int) as target, 'label, ' || cast(label as varchar) as category, count(*) as n, round_even(sum(v * v) * 1000000.0, 0) / 1000000.0 as energy from q group by vec_id, label""")
+def archive_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as waveforms in ZIP archives of 100 with an index each, read back by the categories that are wanted."""
+    base, v = folder(spark), F.col("vec_id")
+    waves = read(spark, d, "embeddings").select("vec_id", "label", F.floor(v / 100).alias("part"), wav_bytes("embedding", F.lit(64)).alias("content"))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out, lines = io.BytesIO(), ["filename,fold,target,category"]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for r in rows.itertuples():
+                z.writestr(f"set/audio/{r.vec_id}.wav", r.content)
+                lines.append(f'{r.vec_id}.wav,{r.vec_id % 5 + 1},{r.label},"label, {r.label}"')
+            z.writestr("set/meta/index.csv", "\r\n".join(lines))
+        return pd.DataFrame({"name": [f"{rows['part'].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    objects.write_objects(waves.groupBy("part").applyInPandas(pack, "name string, content binary"), f"{base}/zips")
+    zips = [r.uri for r in objects.listing(spark, f"{base}/zips").collect()]
+    wanted = [f"label, {k}" for k in range(1000) if k % 3]
+    found = archive.dataset(spark, zips, categories=wanted) if zips else spark.createDataFrame([], "filename string, fold int, target int, category string, content binary")
+    back = found.select(F.substring_index("filename", ".", 1).cast("long").alias("vec_id"), "fold", "target", "category", tables.decoded("content").alias("w"))
+    energy = np_round(F.aggregate("w.samples", F.lit(0.0), lambda a, x: a + x * x), 6)
+    return back.select("vec_id", "fold", "target", "category", F.size("w.samples").cast("long").alias("n"), energy.alias("energy"))
+
+
+@_query("""with last as (select * from (select user_id, event_type, event_id, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn = 1)
+ select cast(c_custkey as varchar) as uuid, coalesce(event_type, '-') as device, coalesce(lpad(cast(event_id as varchar), 10, '0'), '') as time_recorded from customer left join last on user_id = c_custkey""")
+def latest_event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their latest event, from a table that a stream of events keeps over three drops and a run from the start."""
+    base, events = folder(spark), read(spark, d, "events")
+    e = F.col("event_id")
+    rows = events.select(F.col("user_id").cast("string").alias("uuid"), F.col("event_type").alias("device"), F.lpad(e.cast("string"), 10, "0").alias("event_time"), (e % 3).alias("drop"))
+    for k in range(3):
+        rows.where(F.col("drop") == k).drop("drop").write.mode("append").parquet(f"{base}/events")
+        hot.merge_latest(spark.readStream.schema("uuid string, device string, event_time string").parquet(f"{base}/events"), f"{base}/latest", f"{base}/mark")
+    hot.merge_latest(spark.readStream.schema("uuid string, device string, event_time string").parquet(f"{base}/events"), f"{base}/latest", f"{base}/again")
+    customers = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("uuid"))
+    return zones.merge_events(customers, versions.read(spark, f"{base}/latest")).select("uuid", "device", "time_recorded")

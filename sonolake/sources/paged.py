@@ -10,6 +10,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -51,6 +52,39 @@ def http_get(url: str, timeout: float = 30.0) -> tuple[int, bytes]:
         return e.code, b""
 
 
+#: Previews in the order they are tried, and the fewest bytes that are a sound.
+PREVIEWS, LEAST_BYTES = ("preview-hq-mp3", "preview-lq-mp3"), 100
+
+
+def sound_bytes(download: str | None, kind: str | None, previews: dict[str, str] | None, get: Callable[[str], tuple[int, bytes]], sleep: Callable[[float], None] = time.sleep) -> tuple[bytes, str] | None:
+    """(bytes, ending) of a sound: the original, else the first preview that is there; None where there is none."""
+    tried = [(download, kind or "wav"), *((dict(previews or {}).get(p), "mp3") for p in PREVIEWS)]
+    for url, ending in tried:
+        for attempt in range(1, ATTEMPTS + 1) if url else ():
+            try:
+                status, body = get(url)
+            except TimeoutError:
+                status, body = None, b""
+            if status == 200 and len(body) > LEAST_BYTES:
+                return body, ending
+            if attempt == ATTEMPTS or (status is not None and status not in RETRIED):
+                break
+            sleep(wait_before(attempt, status))
+    return None
+
+
+def download(sounds: DataFrame, get: Callable[[str], tuple[int, bytes]] = http_get) -> DataFrame:
+    """id, content, ending of (id, download, type, previews map) rows, fetched by the tasks; null where nothing could be had."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                body, ending = sound_bytes(row["download"], row["type"], row["previews"], get) or (None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([row["id"]], pa.string()), pa.array([body], pa.binary()), pa.array([ending], pa.string())], names=["id", "content", "ending"])
+
+    return sounds.select("id", "download", "type", "previews").mapInArrow(run, "id string, content binary, ending string")
+
+
 class _Page(InputPartition):
     def __init__(self, query: str, page: int, span: str):
         self.query, self.page, self.span = query, page, span

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import wave
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from sonolake.operators.zones import append_evolving, pending, since
 from sonolake.sources import versions
@@ -153,19 +153,19 @@ def encode_wav(x: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def read_waves(spark: SparkSession, path: str) -> DataFrame:
-    """path, sample_rate, samples of every WAV file below a path; files that do not decode have nulls."""
+@F.pandas_udf(StructType([StructField("sample_rate", IntegerType()), StructField("samples", ArrayType(DoubleType()))]))
+def decoded(content: pd.Series) -> pd.DataFrame:
+    """sample_rate and samples of WAV bytes; nulls for what does not decode."""
+    found: list[tuple] = []
+    for data in content:
+        try:
+            found.append(decode_wav(data))
+        except (TypeError, wave.Error, EOFError, ValueError):
+            found.append((None, None))
+    return pd.DataFrame(found, columns=["sample_rate", "samples"]).astype({"sample_rate": "Int32"})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for p, data in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    rate, x = decode_wav(data)
-                    rows.append((p, rate, x))
-                except (wave.Error, EOFError, ValueError):
-                    rows.append((p, None, None))
-            yield pd.DataFrame(rows, columns=["path", "sample_rate", "samples"]).astype({"sample_rate": "Int32"})
 
+def read_waves(spark: SparkSession, path: str) -> DataFrame:
+    """path, sample_rate, samples of every WAV file below a path; files that do not decode have nulls."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, samples array<double>")
+    return files.select("path", decoded("content").alias("w")).select("path", "w.*")

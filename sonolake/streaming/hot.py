@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolake.operators import zones
 from sonolake.sources import versions
 from sonolake.sources.objects import listing
 from sonolake.sources.observations import HOT_EVENT
@@ -110,6 +114,36 @@ def judged(events: DataFrame, there: DataFrame) -> DataFrame:
     return rows.join(known, "object", "left").withColumn("reason", reason).drop("object", "there")
 
 
+def merge_latest(events: DataFrame, path: str, checkpoint: str) -> None:
+    """Works off a stream of (uuid, device, event_time) into the table of each uuid's latest event, one row a uuid.
+
+    A micro-batch is reduced to its latest events and merged into the buckets that it touches, in one commit by its number. The
+    table is to zones.merge_events() what the archive of all events is.
+    """
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return zones.latest(rows, ["uuid"], "event_time", "device")
+
+    def add(batch: DataFrame, number: int) -> None:
+        new = latest(batch.where(F.length("uuid") > 0).select("uuid", "device", "event_time"))
+        versions.upsert(new, path, "uuid", lambda old, rows: rows if old is None else latest(old.unionByName(rows)), token=f"{checkpoint}:{number}")
+
+    events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def with_retries(run: Callable[[], None], attempts: int = 5, seconds: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Runs a stream to its end, again after a failure to connect or in the run (it goes on from its checkpoint); the attempts it took."""
+    for attempt in range(1, attempts + 1):
+        try:
+            run()
+            return attempt
+        except (StreamingQueryException, ConnectionError):
+            if attempt == attempts:
+                raise
+            sleep(seconds)
+    raise ValueError("at least one attempt")
+
+
 def consume(events: DataFrame, root: str, path: str, checkpoint: str) -> None:
     """Works off an event stream into one versioned table, good messages and dead letters (those with a reason) alike.
 
