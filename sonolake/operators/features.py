@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from sonolake.functions import dsp
 
@@ -115,6 +116,16 @@ def harmonic_share(waves: DataFrame, f0: Column) -> DataFrame:
     return waves.select("uuid", share("samples", "sample_rate", f0).alias("harmonic_energy_ratio"))
 
 
+def cepstra(waves: DataFrame, count: int = 13, n_fft: int = 2048, hop: int = 512, mels: int = 40) -> DataFrame:
+    """uuid, mfccs: mean cepstra over frames of n_fft samples (zeros for less than one frame)."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def means(samples: pd.Series, rate: pd.Series) -> pd.Series:
+        return pd.Series([dsp.mfcc_mean(np.asarray(x, float), int(r), count, n_fft, hop, mels) for x, r in zip(samples, rate, strict=True)], dtype=object)
+
+    return waves.where("samples is not null and sample_rate is not null").select("uuid", means("samples", "sample_rate").alias("mfccs"))
+
+
 def frame_profiles(waves: DataFrame, frames: int, scale: float = 15.0) -> DataFrame:
     """uuid, frame, rms, dominant_hz, spatial and magnitude arrays of equal frames (what is left over at the end belongs to none)."""
     length = F.floor(F.size("samples") / frames).cast("int")

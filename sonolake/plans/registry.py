@@ -251,6 +251,17 @@ ORACLE["spectral_rolloff"] = f"""with {_POWER}, c as (select vec_id, f, sum(p) o
  select 'vec-' || cast(vec_id as varchar) as uuid, cast(min(f) as double) as spectral_rolloff_hz from c where c >= 0.85 * t group by vec_id"""
 QUERIES["harmonic_share"] = lambda spark, d: features.harmonic_share(_waves(spark, d), F.lit(9.0)).select("uuid", np_round(F.col("harmonic_energy_ratio"), 6).alias("harmonic_energy_ratio"))
 ORACLE["harmonic_share"] = f"""with {_POWER} select 'vec-' || cast(vec_id as varchar) as uuid, {_R("sum(p * ((abs(f - 9) <= 5)::int + (abs(f - 18) <= 5)::int + (abs(f - 27) <= 5)::int)) / sum(p)", 6)} as harmonic_energy_ratio from p group by vec_id"""
+QUERIES["mel_cepstra"] = lambda spark, d: features.cepstra(_waves(spark, d), 5, 32, 16, 10).select("uuid", F.posexplode("mfccs").alias("k", "value")).select("uuid", "k", "value")
+ORACLE["mel_cepstra"] = f"""with mel as (select i, least(greatest(floor(33 * 700 * (power(10, i * 2595 * log10(1 + 32 / 700.0) / 11 / 2595) - 1) / 64), 0), 16) as b from (select unnest(range(0, 12)) as i)),
+ bank as (select m.i as m, f, case when f >= a.b and f < m.b then (f - a.b) / greatest(m.b - a.b, 1) when f >= m.b and f < c.b then (c.b - f) / greatest(c.b - m.b, 1) else 0 end as w
+  from mel m join mel a on a.i = m.i - 1 join mel c on c.i = m.i + 1, (select unnest(range(0, 17)) as f)),
+ x as (select vec_id, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), fr as (select unnest(range(0, 3)) as t), k as (select unnest(range(0, 17)) as f),
+ s as (select vec_id, t, i - 16 * t as j, v * (0.5 - 0.5 * cos(2 * pi() * (i - 16 * t) / 31)) as v from x, fr where i >= 16 * t and i < 16 * t + 32),
+ p as (select vec_id, t, f, power(sum(v * cos(2 * pi() * f * j / 32)), 2) + power(sum(v * sin(2 * pi() * f * j / 32)), 2) as p from s, k group by vec_id, t, f),
+ e as (select vec_id, t, m - 1 as m, ln(greatest(sum(p * w), 1e-10)) as e from p join bank on p.f = bank.f group by vec_id, t, m),
+ c as (select vec_id, t, c, sum(e * cos(pi() * c * (m + 0.5) / 10)) * sqrt(0.2) / case when c = 0 then sqrt(2) else 1 end as v from e, (select unnest(range(0, 5)) as c) group by vec_id, t, c)
+ select 'vec-' || cast(vec_id as varchar) as uuid, cast(c as int) as k, {_R("avg(v)", 6)} as value from c group by vec_id, c"""
+_obs("drawn_sources", lambda o: paged.drawn(o.select("uuid", "source_id"), "uuid", 40, 7), f"{OBS} select uuid, source_id from obs order by md5('7/' || uuid), uuid limit 40")
 QUERIES["frame_profiles"] = lambda spark, d: features.frame_profiles(_waves(spark, d), 1)
 QUERIES |= roundtrips.QUERIES | hotpath.QUERIES
 ORACLE |= roundtrips.ORACLE | hotpath.ORACLE

@@ -201,4 +201,4 @@ def new_only(found: DataFrame, known: DataFrame, key: str = "source_id") -> Data
 
 def drawn(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows in an order that depends on the seed and the key alone."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
