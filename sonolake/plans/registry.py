@@ -263,6 +263,28 @@ ORACLE["mel_cepstra"] = f"""with mel as (select i, least(greatest(floor(33 * 700
  select 'vec-' || cast(vec_id as varchar) as uuid, cast(c as int) as k, {_R("avg(v)", 6)} as value from c group by vec_id, c"""
 _obs("drawn_sources", lambda o: paged.drawn(o.select("uuid", "source_id"), "uuid", 40, 7), f"{OBS} select uuid, source_id from obs order by md5('7/' || uuid), uuid limit 40")
 QUERIES["frame_profiles"] = lambda spark, d: features.frame_profiles(_waves(spark, d), 1)
+
+
+def _frame_peaks(spark, d):
+    found = features.frame_profiles(_waves(spark, d), 1)
+    peaks = F.posexplode(F.arrays_zip("spatial", "magnitude")).alias("place", "p")
+    return found.select("uuid", np_round(F.col("rms"), 6).alias("rms"), "dominant_hz", peaks).select("uuid", "rms", "dominant_hz", "place", np_round(F.col("p.spatial"), 6).alias("spatial"), np_round(F.col("p.magnitude"), 6).alias("magnitude"))
+
+
+QUERIES["frame_peaks"] = _frame_peaks
+ORACLE["frame_peaks"] = f"""with x as (select vec_id, cast(unnest(embedding) as double) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings), k as (select unnest(range(0, 33)) as f),
+ b as (select vec_id, f, sqrt(power(sum(v * cos(2 * pi() * f * i / 64)), 2) + power(sum(v * sin(2 * pi() * f * i / 64)), 2)) as m from x, k group by vec_id, f),
+ y as (select vec_id, f, m / (max(m) over (partition by vec_id) + 1e-12) as m, lag(m) over w as before, lead(m) over w as after, m as raw from b window w as (partition by vec_id order by f)),
+ top as (select vec_id, list([f] order by m desc) as fs from y where raw > before and raw > after and m >= 0.08 group by vec_id),
+ kept as (select vec_id, unnest(list_reduce(fs, lambda acc, one: case when list_bool_or([abs(z - one[1]) < 5 for z in acc]) then acc else list_concat(acc, one) end)) as f from top),
+ own as (select y.vec_id, y.f, y.m from kept join y on kept.vec_id = y.vec_id and kept.f = y.f),
+ edge as (select own.vec_id, own.f, own.m, coalesce(max(case when y.f < own.f and y.m > own.m then y.f end), -1) as lo, coalesce(min(case when y.f > own.f and y.m > own.m then y.f end), 33) as hi from own join y on own.vec_id = y.vec_id group by 1, 2, 3),
+ low as (select e.vec_id, e.f, e.m, min(case when y.f > lo and y.f <= e.f then y.m end) as l, min(case when y.f >= e.f and y.f < hi then y.m end) as r from edge e join y on e.vec_id = y.vec_id group by 1, 2, 3),
+ good as (select vec_id, f, m from low where m - greatest(l, r) >= 0.04),
+ listed as (select * from good union all select vec_id, f, m from y where vec_id not in (select vec_id from good) qualify row_number() over (partition by vec_id order by m desc, f) = 1),
+ ranked as (select *, row_number() over (partition by vec_id order by m desc, f desc) - 1 as place from listed), loud as (select vec_id, sqrt(avg(v * v)) as rms from x group by vec_id)
+ select 'vec-' || cast(r.vec_id as varchar) as uuid, {_R("rms", 6)} as rms, cast(first_value(f) over (partition by r.vec_id order by place) as double) as dominant_hz, cast(place as int) as place, {_R("2.5 + sqrt(f / 33.0) * 15", 6)} as spatial, {_R("m", 6)} as magnitude
+ from ranked r join loud on r.vec_id = loud.vec_id where place < 6"""
 QUERIES |= roundtrips.QUERIES | hotpath.QUERIES
 ORACLE |= roundtrips.ORACLE | hotpath.ORACLE
 
