@@ -2,7 +2,8 @@
 
 Features are the distinct single words, word pairs and pairs with one word between, of lower-cased alphanumeric words, hashed to
 2**BITS. Per-coordinate rates and the L1 term leave few weights; those are broadcast (at most 2**BITS).
-Fitting uses at most MOST_ROWS labelled rows that are not held out (a documented bound), in an order given by their ids; every
+Fitting uses at most MOST_ROWS labelled rows that are not held out (a documented bound), in an order given by their ids; their
+features are stored, and read by the driver in chunks of about MOST_FEATURES (by a hash of the ids) for each pass; every
 text is scored whole. Null and empty texts score the bias alone. Repeated rows are scored each, and an id with several
 texts is learnt from one of them, that of the smallest hash. Labels without a document and null labels or ids are not
 learnt from. Without labels every score is 0.5. An empty table gives no rows; other columns are ignored.
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .labelled import one_each, sample
-from .util import held_out
+from .util import cut, held_out, parts
 
 BITS = 20
-MOST_ROWS = 12000
+MOST_ROWS, MOST_FEATURES = 12000, 16 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 10.0, 0.5, 4
 _BIAS = 1 << BITS
 _U64 = np.uint64
@@ -69,17 +70,30 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, held, most_rows: int = M
                 ends = np.searchsorted(both, np.arange(j - i + 1) << BITS)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[i:j], b.column("label")[i:j], b.column("pick")[i:j], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((both & (_BIAS - 1)).astype(np.int32)))], names=["doc_id", "label", "pick", "f"])
 
-    t = one_each(sample(docs, labels, label, held, most_rows).mapInArrow(hashed, "doc_id long, label int, pick long, f array<int>"), "label", "f").toArrow()
-    order = np.argsort(K.mix(t.column("doc_id").to_numpy().astype(_U64)))
-    f, y = t.column("f").combine_chunks(), t.column("label").to_numpy()
-    flat, ends = f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(f.offsets.to_numpy()))])
-    model = Ftrl(l1=l1)
+    stored = cut(one_each(sample(docs, labels, label, held, most_rows).mapInArrow(hashed, "doc_id long, label int, pick long, f array<int>"), "label", "f"))
+    model, kept = Ftrl(l1=l1), {}
+    chunks = parts(stored.agg(F.coalesce(F.sum(F.size("f")), F.lit(0))).first()[0], MOST_FEATURES)
     for _ in range(epochs):
-        for k in order.tolist():
-            model.learn(np.append(flat[ends[k] : ends[k + 1]], _BIAS), int(y[k]))
+        for chunk in range(chunks):
+            rows = kept.get(chunk) or _chunk(stored, chunk, chunks)
+            if chunks == 1:
+                kept[chunk] = rows
+            for at, y in zip(*rows, strict=True):
+                model.learn(np.append(at, _BIAS), y)
     return model.weights()
 
 
+def _chunk(stored: DataFrame, chunk: int, chunks: int) -> tuple[list[np.ndarray], list[int]]:
+    """Features and labels of a chunk of the rows, which are in the order of a hash of their ids."""
+    own = F.floor(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * chunks / (1 << 20)) == chunk
+    t = stored.where(own).toArrow()
+    h = t.column("doc_id").to_numpy().astype(_U64)
+    order = np.argsort(K.mix(h))
+    f = t.column("f").combine_chunks()
+    flat, ends = f.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(f.offsets.to_numpy()))])
+    return [flat[ends[k] : ends[k + 1]] for k in order.tolist()], t.column("label").to_numpy()[order].astype(int).tolist()
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 4, remainder: int = 2, threshold: float = 0.3, most_rows: int = MOST_ROWS, l1: float = L1) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     weights = fit(docs, labels, label, held_out("doc_id", modulus, remainder), most_rows, l1)
