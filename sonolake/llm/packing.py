@@ -8,7 +8,9 @@
 4. Pieces of one length are numbered (hot lengths are split by a salt; the offsets of the salts come from
    counts) and take the slots of their length in order. Sequences are numbered by pattern and repeat.
 
-Null text is empty and gives one piece with the end id alone. Equal ids are separate documents.
+Null text is empty and gives one piece with the end id alone. Rows of equal ids, and of null ids, are documents of their own that
+keep their id; equal rows differ in their places only. A text of any length is cut into pieces, none is dropped. An empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ digits after a plus sign); and, beyond these, iban (mod-97). Matches of one kind
 not overlap; a match that its validator rejects is dropped without a retry. An iban pattern may run on into the next words:
 of its beginnings that end at a blank the longest that its validator confirms counts, and the search goes on behind it.
 Offsets are code points, ends exclusive. Each text is handled alone in one pass without a shuffle.
-Null text is empty.
+Null text is empty. Null ids stay null, and repeated rows are judged each. Texts of any length are read whole. An empty table gives
+no rows; other columns are not looked at, whatever their names (`keep` hands them on, but for those named spans or masked).
 """
 
 from __future__ import annotations

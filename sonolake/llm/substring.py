@@ -24,7 +24,8 @@ A minimiser, run or window sends at most one entry for each bucket, however many
 there are. Buckets are dealt by id and text and hold about as many bytes of
 text, shards about as many runs, at every size; their number grows with the input.
 Null text has no words. A null id counts as the largest. Rows with equal ids are
-one document for the comparison. Other columns are ignored.
+one document for the comparison. A text longer than a bucket has a bucket of its own size. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

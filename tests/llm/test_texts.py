@@ -350,8 +350,10 @@ def test_quality_by_plain_rules(spark):
             "n_bytes": len(raw), "n_words": len(w), "word_length": sum(len(x.encode()) for x in w) / n, "upper_share": sum("A" <= c <= "Z" for c in t) / max(letters, 1),
             "digit_share": sum("0" <= c <= "9" for c in t) / len(raw), "odd_share": len(odd) / len(raw), "distinct_share": len(set(w)) / n, "repeat_share": sum(a == b for a, b in zip(w, w[1:])) / n,
             "top_share": max(Counter(w).values(), default=0) / n, "longest_word": max((len(x.encode()) for x in w), default=0), "short_share": sum(len(x.encode()) <= 2 for x in w) / n,
+            "mark_share": sum(c in ".,;:!?'\"()-" for c in t) / len(raw), "bare_odd_share": sum(len(x) == 1 and x in odd for x in w) / n, "marked_words": sum(x[-1] in odd for x in w) / n,
             "same_lines": 1 - len(set(lines)) / len(lines) if lines else 0, "line_length": sum(len(x.encode()) for x in lines) / max(len(lines), 1),
         }
+        assert set(want) == set(Q.STATS)
         for name, value in want.items():
             assert math.isclose(row[Q.STATS.index(name)], value, abs_tol=1e-9), (name, t[:60])
     rng = np.random.default_rng(5)
