@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonolake.functions import dsp
+from sonolake.operators import zones
 from sonolake.sources import objects, tables, versions
 
 #: Fixed value: the version that rows of the trusted zone name.
@@ -80,3 +81,23 @@ def versioned(rows: DataFrame, path: str) -> DataFrame:
     """Rows as a written table, so that what follows does not work them out again."""
     version = versions.replace(rows, path)
     return versions.read(rows.sparkSession, path, version)
+
+
+def to_landing(events: DataFrame, root: str, manifest: str) -> tuple[DataFrame, DataFrame]:
+    """(landing rows, rejected events with their reason) of good messages (audio_path, bucket, timestamp): the raw object moves to
+    the place that its peak frequency names, within its bucket below `root`."""
+    rows = events.select(zones.uuid_of_path(F.col("audio_path")).alias("uuid"), "bucket", "timestamp", "device", F.col("audio_path").alias("raw"), F.concat_ws("/", "bucket", "audio_path").alias("audio_path"))
+    heard = versioned(with_sound(rows, root), f"{manifest}-heard")
+    hz = F.rint("peak_frequency_hz").cast("long").cast("string")
+    path = F.concat(F.lit("audio/hot-path/"), hz, F.lit("/"), "uuid", F.lit("-"), hz, F.lit(".wav"))
+    good = heard.where("reason is null").withColumn("audio_path", path).withColumn("_target", F.concat(F.lit(f"{root}/"), "bucket", F.lit("/"), "audio_path"))
+    moved = objects.copy_objects(good.select(F.concat(F.lit(f"{root}/"), "bucket", F.lit("/"), "raw").alias("source"), F.col("_target").alias("target")), manifest, move=True)
+    out = good.join(moved.select(F.col("target").alias("_target"), F.col("size").alias("audio_size")), "_target", "left")
+    blank = lambda c: F.lit("").alias(c)
+    landing = out.where("audio_size is not null").select(
+        "uuid", F.col("uuid").alias("source_id"), F.coalesce(F.nullif(F.trim("timestamp"), F.lit("")), F.lit("")).alias("time_recorded"), "duration", "audio_size", "audio_path",
+        F.lit("wav").alias("audio_format"), F.lit("hot-path").alias("source"), "peak_frequency_hz", blank("tags"), blank("description"), blank("category"),
+    )
+    lost = out.where("audio_size is null").withColumn("reason", F.lit("not copied"))
+    names = ["uuid", "raw", "reason"]
+    return landing, heard.where("reason is not null").select(*names).unionByName(lost.select(*names))

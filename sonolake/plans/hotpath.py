@@ -17,7 +17,7 @@ from sonolake.plans.roundtrips import folder
 from sonolake.sources import archive, objects, tables, versions
 from sonolake.sources.event_archive import EventArchive
 from sonolake.sources.observations import read
-from sonolake.streaming import hot
+from sonolake.streaming import capture, hot
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -180,3 +180,24 @@ def latest_event_stream(spark: SparkSession, d: str) -> DataFrame:
     hot.merge_latest(spark.readStream.schema("uuid string, device string, event_time string").parquet(f"{base}/events"), f"{base}/latest", f"{base}/again")
     customers = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("uuid"))
     return zones.merge_events(customers, versions.read(spark, f"{base}/latest")).select("uuid", "device", "time_recorded")
+
+
+@_query("""with b as (select vec_id, k, substring(sha256('mic-' || cast(vec_id as varchar) || chr(1) || cast(k as varchar)), 1, 32) as uuid, 16 + 4 * (vec_id % 20) as hz from embeddings, (select unnest([0, 1]) as k))
+ select uuid, cast(case when vec_id % 9 > 0 then 1.0 end as double) as duration, case when vec_id % 9 > 0 then cast(hz as double) end as peak_frequency_hz, case when vec_id % 9 > 0 then cast(556 as bigint) end as audio_size,
+  case when vec_id % 9 > 0 then 'audio/hot-path/' || cast(hz as varchar) || '/' || uuid || '-' || cast(hz as varchar) || '.wav' end as audio_path, case when vec_id % 9 > 0 then lpad(cast(256 * k as varchar), 12, '0') end as time_recorded, case when vec_id % 9 = 0 then 'no frequency' end as reason from b""")
+def hot_path(spark: SparkSession, d: str) -> DataFrame:
+    """From samples to landing rows: two seconds at 256 Hz for each vector, a tone or silence, as batches, objects, archived events, messages, moved objects."""
+    base, rate = folder(spark), 256
+    f = F.when(F.col("vec_id") % 9 > 0, 16 + 4 * (F.col("vec_id") % 20)).otherwise(0)
+    place = F.explode(F.sequence(F.lit(0), F.lit(2 * rate - 1))).alias("place")
+    samples = read(spark, d, "embeddings").select(F.concat(F.lit("mic-"), "vec_id").alias("device"), f.alias("f"), place)
+    samples.select("device", F.floor(F.col("place") / 64).alias("tick"), F.col("place").cast("long").alias("place"), F.sin(2 * np.pi * F.col("f") * F.col("place") / rate).alias("sample")).write.parquet(f"{base}/samples")
+    stream = spark.readStream.schema("device string, tick long, place long, sample double").parquet(f"{base}/samples")
+    capture.run_captured(capture.capture_batches(stream, rate, 2 * rate), f"{base}/batches", f"{base}/captured")
+    events = capture.produce(spark.read.schema(capture.BATCHES).parquet(f"{base}/batches"), f"{base}/zones", rate)
+    spark.dataSource.register(EventArchive)
+    events.write.format("event_archive").option("key", "uuid").mode("append").save(f"{base}/zones/landing/events/hot")
+    hot.consume(hot.json_events(spark, f"{base}/zones/landing/events/hot/*.json"), f"{base}/zones", f"{base}/messages", f"{base}/consumed")
+    good, bad = enrich.to_landing(versions.read(spark, f"{base}/messages").where("reason is null"), f"{base}/zones", f"{base}/moved")
+    columns = ("uuid", "duration", "peak_frequency_hz", "audio_size", "audio_path", "time_recorded")
+    return good.select(*columns).withColumn("reason", F.lit(None).cast("string")).unionByName(bad.select("uuid", "reason"), allowMissingColumns=True)

@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BinaryType
+
+from sonolake.functions import dsp
+from sonolake.sources import objects, tables
 
 BATCHES = "device string, batch long, first long, last long, n long, samples array<double>, dropped long"
 _STATE = "places array<long>, samples array<double>, taken long, dropped long"
@@ -66,3 +70,20 @@ def capture_batches(stream: DataFrame, size: int, capacity: int) -> DataFrame:
 def run_captured(batches: DataFrame, path: str, checkpoint: str) -> None:
     """Works off what is available and appends the batches to a table; a later run goes on with the backlogs."""
     batches.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+
+
+@F.pandas_udf(BinaryType())
+def _wave(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """Samples scaled to their largest magnitude as a 16-bit waveform."""
+    return pd.Series([tables.encode_wav(dsp.normalise(np.asarray(x, float)), int(r)) for x, r in zip(samples, rate, strict=True)])
+
+
+def produce(batches: DataFrame, root: str, rate: int, bucket: str = "landing") -> DataFrame:
+    """Puts the waveform of each batch into a bucket below `root`; the events that tell of it (with the uuid that names both).
+
+    A batch has an id of its device and number alone, so one that comes again puts the same object and event.
+    """
+    uuid = F.substring(F.sha2(F.concat_ws("\u0001", "device", "batch"), 256), 1, 32)
+    named = batches.select(uuid.alias("uuid"), "device", "first", "n", F.concat(F.lit("audio/hot-path/raw/"), uuid, F.lit(".wav")).alias("audio_path"), "samples")
+    objects.write_objects(named.select(F.col("audio_path").alias("name"), _wave("samples", F.lit(rate)).alias("content")), f"{root}/{bucket}")
+    return named.select("uuid", "audio_path", F.lit(bucket).alias("bucket"), F.lpad(F.col("first").cast("string"), 12, "0").alias("timestamp"), F.lit(rate).alias("sample_rate"), F.floor(F.col("n") / rate).cast("int").alias("duration"), "device")
