@@ -412,4 +412,4 @@ def test_repeated_ids_are_learnt_alike(spark):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
