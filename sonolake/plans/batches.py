@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.functions.clean import blank_to_null, to_number
 from sonolake.operators import features, zones
 from sonolake.plans import kpi
-from sonolake.sources import tables
+from sonolake.sources import objects, tables
 from sonolake.sources.observations import with_internal_names
 
 #: Columns of a candidate report, of which those that a table has are shown.
@@ -50,11 +50,13 @@ def trusted_batch(landing: DataFrame, events: DataFrame, trusted: DataFrame | No
 FEATURE_VERSION = "1.0.0"
 
 
-def exploitation_batch(trusted: DataFrame, waves: DataFrame, done: DataFrame | None) -> DataFrame:
+def exploitation_batch(trusted: DataFrame, waves: DataFrame, done: DataFrame | None, samples: Column | None = None) -> DataFrame:
     """Trusted rows that the last zone lacks, with the spectral features of their waveforms; rows without a waveform have nulls.
 
     The harmonic ratio goes by the peak that the row has, not by one found again. Features are worked out once for each key and
     peak in one pass over the waveforms; of several waveforms with one key those with the smallest features count.
+    With `samples`, an expression over the other columns of `waves`, samples are made where features are worked out, and only keys
+    and those columns are shuffled; a column of samples is shuffled with its rows where the keys are too many for a broadcast.
     """
     rows = zones.required_keys(zones.trim_all(with_internal_names(trusted)), "uuid", "audio_path")
     if done is not None and "uuid" in done.columns:
@@ -62,7 +64,10 @@ def exploitation_batch(trusted: DataFrame, waves: DataFrame, done: DataFrame | N
     new = [*features.FEATURES, "harmonic_energy_ratio", "mfccs"]
     rows = rows.drop(*new, "audio_seconds").withColumn("_peak", F.coalesce(to_number(F.col("peak_frequency_hz")), F.lit(0.0)))
     peaks = rows.select("uuid", F.col("_peak").alias("base_hz")).distinct()
-    own = features.spectral_of(waves.join(peaks, "uuid")).groupBy("uuid", F.col("base_hz").alias("_peak"))
+    heard = waves.join(peaks, "uuid")
+    if samples is not None:
+        heard = objects.spread(heard, "uuid").withColumn("samples", samples)
+    own = features.spectral_of(heard).groupBy("uuid", F.col("base_hz").alias("_peak"))
     own = own.agg(F.min(F.struct(F.col("seconds").alias("audio_seconds"), *new)).alias("f")).select("uuid", "_peak", "f.*")
     return rows.join(own, ["uuid", "_peak"], "left").drop("_peak")
 

@@ -72,6 +72,11 @@ def digest(uri: str) -> tuple[int, str]:
     return size, seen.hexdigest()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Small rows that stand for much work each, dealt by keys to four tasks for each core (otherwise they fit into one or two)."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """uri, name (below the root) and length of every object below a folder; the objects are not read."""
     if not tables.exists(spark, root):

@@ -67,3 +67,23 @@ def test_columns_previews_and_catalogue(spark):
     full = df.select("uuid", *(F.lit("1").alias(c) for c in ("category", "source", "peak_frequency_hz", "symmetry_score", "pattern_stability_score", "processing_time_seconds", "spectral_entropy", "spectral_centroid_hz")))
     assert set(batches.run_all(full)) == set(batches.CATALOGUE) and batches.run_all(full)["2"].count() == 3
     assert set(batches.CATALOGUE) == set("1234567") and batches.run_all(full)["3"].columns[:2] == ["band", "category"] and "rank" in batches.run_all(full)["1"].columns
+
+
+def test_keys_and_not_samples_are_shuffled(spark, sf):
+    """Where keys are too many for a broadcast, samples that can be made are made behind the last exchange before the features."""
+    from sonolake.plans import roundtrips
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for query in (roundtrips.exploitation_batch, roundtrips.exploitation_finished):
+            plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+            below = plan[plan.index("MapInPandas") :]
+            assert "transform(" in below and "transform(" not in below[below.index("Exchange") :]
+        keys = spark.createDataFrame([("a", 4, 1.0), ("b", 4, 2.0), ("b", 4, 1.0)], "uuid string, sample_rate int, own double")
+        rows = keys.select("uuid", F.lit("p").alias("audio_path"), F.lit("1").alias("peak_frequency_hz"))
+        samples = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.sin(k * F.col("own")))
+        made, given = batches.exploitation_batch(rows, keys, None, samples), batches.exploitation_batch(rows, keys.withColumn("samples", samples), None)
+        assert sorted(made.collect(), key=repr) == sorted(given.collect(), key=repr) and made.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
