@@ -6,16 +6,20 @@ it is whole.
 
 from __future__ import annotations
 
+import errno
 import hashlib
+import os
 import re
 import uuid
 import wave
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sonolake.sources import tables, versions
 
@@ -61,6 +65,23 @@ def copy(source: str, target: str) -> None:
     other.move(draft, b)
 
 
+def rename_later(source: str, target: str) -> None:
+    """As copy(), for a source that is deleted afterwards: on one local file system the target is a second name of the same bytes."""
+    (own, a), (other, b) = place(source), place(target)
+    if isinstance(own, fs.LocalFileSystem) and isinstance(other, fs.LocalFileSystem) and not os.path.islink(a):
+        other.create_dir(b.rpartition("/")[0], recursive=True)
+        try:
+            return os.link(a, b)
+        except FileNotFoundError:
+            raise
+        except FileExistsError:
+            if os.path.samefile(a, b):  # of a run that failed before its commit
+                return None
+        except OSError:  # another device, or no second names there
+            pass
+    return copy(source, target)
+
+
 def digest(uri: str) -> tuple[int, str]:
     """(size, SHA-256) of an object."""
     system, path = place(uri)
@@ -77,8 +98,39 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def _length(base: tuple[fs.FileSystem, str] | None, name: str | None) -> int | None:
+    if not name or (base and not {"", ".", ".."}.isdisjoint(name.split("/"))):  # below a folder only plain names are objects
+        return None
+    try:
+        system, path = (base[0], f"{base[1].rstrip('/')}/{name}") if base else place(name)
+        found = system.get_file_info(path)
+    except ValueError:  # no name that a file system could have
+        return None
+    except OSError as e:
+        if e.errno in (errno.ENAMETOOLONG, errno.ENOTDIR, errno.EINVAL):
+            return None
+        raise
+    return found.size if found.type == fs.FileType.File else None
+
+
+def length_of(uri: Column, root: str | None = None) -> Column:
+    """The length of the object of a URI (with a root: of a name below it); null where there is none.
+
+    Each task asks for the objects of its rows, so the work goes by the rows and no list of a folder goes through the driver.
+    """
+
+    def run(uris: pd.Series) -> pd.Series:
+        base = None if root is None else place(root)
+        return pd.Series([_length(base, u) for u in uris], dtype="Int64")
+
+    return F.pandas_udf(run, LongType()).asNondeterministic()(uri)  # asked once for each row
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """uri, name (below the root) and length of every object below a folder; the objects are not read."""
+    """uri, name (below the root) and length of every object below a folder; the objects are not read.
+
+    The driver holds the list: for folders of few objects. Whether known objects are there says length_of().
+    """
     if not tables.exists(spark, root):
         return spark.createDataFrame([], "uri string, name string, length long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -86,20 +138,27 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path").alias("uri"), below.alias("name"), "length")
 
 
-def write_objects(rows: DataFrame, root: str) -> DataFrame:
-    """Puts each (name, content) below a folder; name, size, sha256 of what was put (a table next to the folder)."""
+def write_objects(rows: DataFrame, root: str, content: Callable[[dict], bytes | None] | None = None) -> DataFrame:
+    """Puts each (name, content) below a folder; name, size, sha256 of what was put (a table next to the folder).
+
+    With `content`, the bytes of a row are made from its columns in the task that puts them, one object at a time (None: no
+    object), and rows are dealt to all tasks; else they are a column, and rows stay where they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes = [], []
-            for name, data in zip(batch.column("name"), batch.column("content"), strict=True):
-                data = data.as_py()
-                put(f"{root}/{name}", data)
-                sizes.append(len(data))
-                hashes.append(hashlib.sha256(data).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["name", "size", "sha256"])
-
-    known = rows.where("name is not null and content is not null").select("name", "content")
+            names, sizes, hashes = [], [], []
+            for values in zip(*batch.columns, strict=True):
+                row = {c: v.as_py() for c, v in zip(batch.schema.names, values, strict=True)}
+                if (data := row["content"] if content is None else content(row)) is not None:
+                    put(f"{root}/{row['name']}", data)
+                    names.append(row["name"])
+                    sizes.append(len(data))
+                    hashes.append(hashlib.sha256(data).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["name", "size", "sha256"])
+
+    known = rows.where("name is not null")
+    known = known.where("content is not null").select("name", "content") if content is None else spread(known, "name")
     versions.append(known.mapInArrow(run, "name string, size long, sha256 string"), f"{root.rstrip('/')}.objects")
     return versions.read(rows.sparkSession, f"{root.rstrip('/')}.objects")
 
@@ -123,7 +182,7 @@ def _copied(source: str, target: str, copier: Callable[[str, str], None]) -> tup
         return None, None, "failed", str(e)[:200]
 
 
-def copy_objects(plan: DataFrame, manifest: str, move: bool = False, copier: Callable[[str, str], None] = copy) -> DataFrame:
+def copy_objects(plan: DataFrame, manifest: str, move: bool = False, copier: Callable[[str, str], None] | None = None) -> DataFrame:
     """Copies each (source, target) that the manifest does not have yet; the manifest's rows of the plan.
 
     The manifest is a versioned table, committed after all copies are whole. A move deletes sources only then, so a run that fails
@@ -131,7 +190,8 @@ def copy_objects(plan: DataFrame, manifest: str, move: bool = False, copier: Cal
     Objects that were missing or failed are tried again.
     """
     spark = plan.sparkSession
-    plan = plan.where("source is not null and target is not null").select("source", "target").distinct()
+    copier = copier or (rename_later if move else copy)
+    plan = spread(plan.where("source is not null and target is not null").select("source", "target"), "source", "target").distinct()
 
     def finished() -> DataFrame | None:
         known = versions.read(spark, manifest)
@@ -156,7 +216,7 @@ def copy_objects(plan: DataFrame, manifest: str, move: bool = False, copier: Cal
             yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(gone, pa.bool_())], names=["source", "gone"])
 
     done = finished()
-    todo = plan if done is None else plan.join(done, ["source", "target"], "left_anti")
+    todo = plan if done is None else plan.join(done, ["source", "target"], "left_anti")  # stays dealt to all tasks, as does the report
     versions.append(todo.mapInArrow(run, MANIFEST), manifest)
     last = F.max(F.struct(F.col("status").isin(*_DONE).alias("good"), "size", "sha256", "status", "error")).alias("r")
     report = versions.read(spark, manifest).join(plan, ["source", "target"]).groupBy("source", "target").agg(last).select("source", "target", "r.size", "r.sha256", "r.status", "r.error")
