@@ -56,7 +56,11 @@ def with_sound(rows: DataFrame, root: str) -> DataFrame:
 
 def enriched(rows: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(trusted rows, rejected rows with their reason): trusted rows have landing_path, where the object is, and audio_path, where it goes."""
-    heard = with_sound(rows, root)
+    return parted(with_sound(rows, root))
+
+
+def parted(heard: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As enriched(), of rows with sound."""
     hz = F.rint("peak_frequency_hz").cast("long").cast("string")
     path = F.concat(F.lit("audio/"), hz, F.lit("/"), "uuid", F.lit("-"), hz, F.lit(".wav"))
     good = heard.where("reason is null").withColumn("landing_path", F.trim("audio_path")).withColumns({"audio_path": path, "processing_version": F.lit(PROCESSING_VERSION)})
@@ -68,8 +72,7 @@ def to_trusted(rows: DataFrame, landing: str, trusted: str, manifest: str) -> tu
 
     Rows whose object could be neither copied nor encoded again are rejected with that reason.
     """
-    good, bad = enriched(rows, landing)
-    good = versioned(good, f"{manifest}-rows")
+    good, bad = parted(versioned(with_sound(rows, landing), f"{manifest}-rows"))  # objects are read once, for good and rejected rows alike
     plan = good.select(F.concat(F.lit(f"{landing}/"), "landing_path").alias("source"), F.concat(F.lit(f"{trusted}/"), "audio_path").alias("target"))
     copied = objects.copy_objects(plan, manifest).select(F.col("target").alias("_target"), F.col("size").alias("audio_size"))
     out = good.drop("audio_size").withColumn("_target", F.concat(F.lit(f"{trusted}/"), "audio_path")).join(copied, "_target", "left").drop("_target")

@@ -160,3 +160,26 @@ def test_a_move_names_the_same_bytes_anew(spark, tmp_path):
     assert (tmp_path / "b/x").read_bytes() == b"one" and (tmp_path / "b/link").read_bytes() == b"far" and not (tmp_path / "b/link").is_symlink() and (tmp_path / "real").exists()
     objects.copy(f"{tmp_path}/b/x", f"{tmp_path}/c/x")
     assert (tmp_path / "c/x").stat().st_ino != inode
+
+
+def test_objects_are_made_one_at_a_time_and_heard_once(spark, sf, tmp_path):
+    """No column of samples or bytes goes to or from Python for what a task can make; rejected rows don't read the objects again."""
+    import shutil
+
+    from sonolake.plans import hotpath
+
+    seen = []
+    real = objects.write_objects
+    objects.write_objects = lambda rows, *a: (seen.append(rows.columns), real(rows, *a))[1]
+    try:
+        hotpath.trusted_enrichment(spark, sf)
+    finally:
+        objects.write_objects = real
+    assert seen == [["name", "vec_id"]]
+    assert len(tables.decode_wav(hotpath.sound({"vec_id": 13}))[1]) == 4000 and hotpath.sound({"vec_id": 9}) == b"no sound" and not tables.decode_wav(hotpath.sound({"vec_id": 5}))[1].any()
+    made = spark.createDataFrame([("tone.wav", bytearray(hotpath.sound({"vec_id": 0}))), ("bad.wav", bytearray(b"RIFF"))], "name string, content binary")
+    objects.write_objects(made, f"{tmp_path}/l")
+    rows = spark.createDataFrame([("1", "tone.wav"), ("2", "bad.wav"), ("3", "gone.wav")], "uuid string, audio_path string")
+    good, bad = enrich.to_trusted(rows, f"{tmp_path}/l", f"{tmp_path}/t", f"{tmp_path}/m")
+    shutil.rmtree(tmp_path / "l")
+    assert {r.uuid: r.reason for r in bad.collect()} == {"2": "does not decode", "3": "no object"} and [r.uuid for r in good.collect()] == ["1"]
