@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolake.operators import zones
-from sonolake.sources import versions
-from sonolake.sources.objects import listing
+from sonolake.sources import objects, versions
 from sonolake.sources.observations import HOT_EVENT
 from sonolake.sources.tables import read_parquet
 
@@ -106,17 +105,17 @@ def _named(events: DataFrame) -> DataFrame:
     return named.withColumn("event_key", F.coalesce("object", F.sha2(F.to_json(F.struct(*events.columns)), 256)))
 
 
-def judged(events: DataFrame, there: DataFrame) -> DataFrame:
+def judged(events: DataFrame, root: str) -> DataFrame:
     """One row for each key (that of the smallest timestamp, then of the smallest row) with the reason why it is no good, or null.
 
-    there: name (bucket and path) of every object. Both sides are reduced to one row a key before they meet.
+    Messages are reduced to one row a key before tasks ask for the objects (bucket and path below the root) of theirs.
     """
     named = _named(events)
     first = named.groupBy("event_key").agg(F.min(F.struct("timestamp", *(c for c in named.columns if c not in ("timestamp", "event_key")))).alias("e"))
     rows = first.select("event_key", *(F.col("e")[c].alias(c) for c in events.columns), F.col("e.object").alias("object"))
-    known = there.select(F.col("name").alias("object"), F.lit(True).alias("there")).distinct()
+    asked = objects.spread(rows, "event_key").withColumn("there", objects.length_of(F.col("object"), root))
     reason = F.when(F.col("object").isNull(), "no audio_path or bucket").when(F.col("there").isNull(), "no object")
-    return rows.join(known, "object", "left").withColumn("reason", reason).drop("object", "there")
+    return asked.withColumn("reason", reason).drop("object", "there")
 
 
 def merge_latest(events: DataFrame, path: str, checkpoint: str) -> None:
@@ -154,12 +153,12 @@ def consume(events: DataFrame, root: str, path: str, checkpoint: str) -> None:
 
     Each micro-batch is one commit, so both appear at once or not at all, and a batch that runs again is found in the log by its
     number. Messages whose key the table has, good or dead, are not taken again, so a run from the start adds nothing. Whether an
-    object is there is asked of a listing of the folder at the time of the batch.
+    object is there is asked at the time of the batch, for the objects of its messages alone.
     """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = judged(batch, listing(spark, root))
+        rows = judged(batch, root)
         if (old := versions.read(spark, path)) is not None:
             rows = rows.join(old.select("event_key"), "event_key", "left_anti")
         versions.append(rows, path, token=f"{checkpoint}:{number}")

@@ -183,3 +183,27 @@ def test_objects_are_made_one_at_a_time_and_heard_once(spark, sf, tmp_path):
     good, bad = enrich.to_trusted(rows, f"{tmp_path}/l", f"{tmp_path}/t", f"{tmp_path}/m")
     shutil.rmtree(tmp_path / "l")
     assert {r.uuid: r.reason for r in bad.collect()} == {"2": "does not decode", "3": "no object"} and [r.uuid for r in good.collect()] == ["1"]
+
+
+def test_archive_read_by_its_lists(spark, tmp_path):
+    """Readers take names from the lists of committed batches: no listing of objects, repeated events once, given-up ones not at all."""
+    from pyspark.sql import Row
+
+    from sonolake.sources.event_archive import archived, archived_stream
+
+    spark.dataSource.register(EventArchive)
+    root = f"{tmp_path}/out"
+    assert archived(spark, root).count() == 0
+    rows = spark.range(300).selectExpr("concat('e', id) as uuid", "concat('raw/e', id, '.wav') as audio_path", "'b' as bucket", "lpad(id, 12, '0') as timestamp")
+    for part in (rows, rows.where("timestamp < '000000000100'")):
+        part.write.format("event_archive").mode("append").save(root)
+    writer = EventArchive({"path": root}).streamWriter(rows.schema, False)
+    writer.abort([writer.write(iter([Row(uuid="late", audio_path="p", bucket="b", timestamp="t")]))], 4)
+    found = archived(spark, root)
+    assert len(found.inputFiles()) <= 16 and found.count() == 300  # lists, and not a file for each event
+    assert {(r.audio_path, r.timestamp, r.file.rsplit("/", 1)[1]) for r in found.where("bucket = 'b'").collect()} == {(f"raw/e{i}.wav", f"{i:012d}", f"e{i}.json") for i in range(300)}
+    (tmp_path / "z/b/raw").mkdir(parents=True)
+    for i in range(0, 300, 2):
+        (tmp_path / f"z/b/raw/e{i}.wav").write_bytes(b"x")
+    hot.consume(archived_stream(spark, root).drop("file"), f"{tmp_path}/z", f"{tmp_path}/t", f"{tmp_path}/mark")
+    assert {(r.reason, r["count"]) for r in versions.read(spark, f"{tmp_path}/t").groupBy("reason").count().collect()} == {(None, 150), ("no object", 150)}
