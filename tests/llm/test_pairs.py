@@ -196,3 +196,18 @@ def test_embeddings_of_several_lengths(spark):
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (3, [1.0, 0.0, 0.0], 0), (4, [2.0, 0.0, 0.0], 0), (4, [2.0, 0.0, 0.0], 0), (5, [1.0], 0), (None, [1.0, 0.0], 0), (6, [], 0), (7, [-0.0, 1.0], 0), (8, [0.0, 1.0], 0)]
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, own long")).collect())
     assert got == [(0, 0, 0), (1, 1, 1), (2, 1, 1), (3, 2, 3), (4, 2, 3), (4, 2, 3), (5, 0, 5), (6, 0, 6), (7, 1, 7), (8, 1, 7)]
+
+
+def test_tiles_of_vectors_are_not_sent_to_their_pairs(spark):
+    """A vector is shuffled once, however many tiles its own is compared with."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2000, 32)).astype(np.float32)
+    x[1000:1010] = x[:10] * np.float32(1.5)  # equal but for their length
+    x[1990:] = x[:10]
+    shuffled = lambda: sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, quantiles, None)))
+    sc = spark.sparkContext
+    store, quantiles = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    df, before = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), shuffled()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup(df, tile=50).collect()}  # 40 tiles
+    assert shuffled() - before < 3 * x.nbytes
+    assert got == {i: (2, i % 1000 if i < 1010 else i - 1990) if i % 1000 < 10 or i >= 1990 else (0, i) for i in range(2000)}
