@@ -112,25 +112,29 @@ class _Distinct:
                 self.copies[k] += n
 
 
-def _sound(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values of all vectors, where each begins and the end, which can have links)."""
+def _flat(batch: pa.RecordBatch, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values of all vectors, where each begins and the end, which rows have an id and a vector); null components are NaN."""
     column = batch.column("v")
     offsets = column.offsets.to_numpy().astype(np.int64)
     values = column.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(kind, copy=False)
-    offsets = offsets - offsets[0]
-    total = lambda x: np.concatenate([[0], np.cumsum(x)])[offsets]
-    ok = (np.diff(total(~np.isfinite(values))) == 0) & (np.diff(total(values != 0)) > 0)  # null components are NaN here
-    for c in ("vec_id", "v"):
-        ok &= batch.column(c).is_valid().to_numpy(zero_copy_only=False)
-    return values, offsets, ok
+    there = [batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("vec_id", "v")]
+    return values, offsets - offsets[0], there[0] & there[1]
+
+
+def _lengths(batch: pa.RecordBatch, kind: np.dtype) -> np.ndarray:
+    """The length of each vector that can have links, else 0."""
+    values, offsets, there = _flat(batch, kind)
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets])
+    return np.where(there & (total(~np.isfinite(values)) == 0) & (total(values != 0) > 0), np.diff(offsets), 0)
 
 
 def _of_length(batch: pa.RecordBatch, d: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, values) of the sound vectors of d components."""
-    values, offsets, ok = _sound(batch, kind)
-    mine = np.flatnonzero(ok & (np.diff(offsets) == d))
-    x = values[offsets[mine][:, None] + np.arange(d)]
-    return batch.column("vec_id").take(pa.array(mine)).to_numpy(), x + kind.type(0)  # + 0.0 makes -0.0 and 0.0 equal
+    """(ids, values) of the vectors of d components that can have links."""
+    values, offsets, there = _flat(batch, kind)
+    mine = np.flatnonzero(there & (np.diff(offsets) == d))
+    x = values.reshape(-1, d) if len(mine) * d == len(values) else values[offsets[mine][:, None] + np.arange(d)]
+    ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+    return batch.column("vec_id").take(pa.array(mine[ok])).to_numpy(), x[ok] + kind.type(0)  # + 0.0 makes -0.0 and 0.0 equal
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -146,10 +150,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
 
     def length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The length of each vector that can have links, else 0."""
         for b in batches:
-            _, offsets, ok = _sound(b, kind)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(np.where(ok, np.diff(offsets), 0))], names=["vec_id", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(_lengths(b, kind))], names=["vec_id", "d"])
 
     sized = rows.mapInArrow(length, "vec_id long, d long")
     out, compared = None, []
@@ -194,12 +196,16 @@ def _of_one_length(rows: DataFrame, d: int, kind: np.dtype, least: float, tile:
             ids, x = _of_length(b, d, kind)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(coordinate(x)), _binary(x)], names=["vec_id", "x", "v"])
 
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, x = _of_length(b, d, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(x)], names=["vec_id", "v"])
+
     def hashed(df: DataFrame) -> DataFrame:
         """Two hashes of a vector stand for it."""
         return df.withColumns({f"h{k}": F.xxhash64(F.lit(k), "v") for k in (1, 2)}).drop("v")
 
-    placed = hashed(rows.mapInArrow(place, "vec_id long, x double, v binary"))
-    classes = cut(placed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("x").alias("x")))
+    classes = cut(hashed(rows.mapInArrow(place, "vec_id long, x double, v binary")).groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("x").alias("x")))
     n, cores = classes.count(), spark.sparkContext.defaultParallelism
     n_tiles = max(parts(n, tile), min(parts(n, BLOCK), math.ceil(math.sqrt(8 * cores))))  # at least some pairs of tiles for each core
     bounds = np.array(classes.approxQuantile("x", [k / n_tiles for k in range(1, n_tiles)], 0.1 / n_tiles) if n_tiles > 1 else [])
@@ -312,5 +318,5 @@ def _of_one_length(rows: DataFrame, d: int, kind: np.dtype, least: float, tile:
     # a repeated id with different values may stand for several classes: its links add up
     groups = components(found.select("a", "b")).join(found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
     of = classes.drop("x").join(groups, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "copies", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    mine = placed.select("vec_id", "h1", "h2").join(of, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    mine = hashed(rows.mapInArrow(plain, "vec_id long, v binary")).join(of, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
     return mine.select("vec_id", (F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
