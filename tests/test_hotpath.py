@@ -162,6 +162,48 @@ def test_a_move_names_the_same_bytes_anew(spark, tmp_path):
     assert (tmp_path / "c/x").stat().st_ino != inode
 
 
+def test_a_second_name_is_read_once(tmp_path, monkeypatch):
+    """Bytes that only got a second name are not hashed twice; a copy is still compared, and one that differs is not kept as such."""
+    (tmp_path / "x").write_bytes(b"one")
+    read, real = [], objects.digest
+    monkeypatch.setattr(objects, "digest", lambda uri: (read.append(uri), real(uri))[1])
+    one = real(f"{tmp_path}/x")
+    for _ in range(2):  # again, as after a run that failed before its commit
+        assert objects._copied(f"{tmp_path}/x", f"{tmp_path}/m/n/x", objects.rename_later) == (*one, "copied", None)
+    assert read == [f"{tmp_path}/m/n/x"] * 2
+    assert objects._copied(f"{tmp_path}/x", f"{tmp_path}/c/x", objects.copy) == (*one, "copied", None) and read[2:] == [f"{tmp_path}/c/x", f"{tmp_path}/x"]
+
+    def wrong(source, target):
+        objects.put(target, b"two")
+
+    assert objects._copied(f"{tmp_path}/x", f"{tmp_path}/c/y", wrong)[2] == "failed"
+    assert objects._copied(f"{tmp_path}/none", f"{tmp_path}/c/z", objects.rename_later)[2] == "missing" and not (tmp_path / "c/z").exists()
+
+
+def test_drafts_lie_apart_and_hashes_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """A task's drafts are not entries of the folder that all tasks put into; the deletion of sources reads no hashes; odd rows as before."""
+    from pyspark.sql.dataframe import DataFrame
+
+    with objects.drafts(f"{tmp_path}/a") as own:
+        monkeypatch.setattr(objects, "_draft", None)
+        for data in (b"1", b"22"):
+            objects.put(f"{tmp_path}/a/deep/er/x", data, own)
+        monkeypatch.undo()
+        assert (tmp_path / "a/deep/er/x").read_bytes() == b"22" and os.listdir(tmp_path / "a/deep/er") == ["x"]
+    rows = spark.createDataFrame([("n1", b"1"), ("n1", b"1"), ("s/n2", b""), (None, b"3"), ("n4", None), ("é 5%20", b"5")], "name string, content binary")
+    put = objects.write_objects(rows, f"{tmp_path}/a")
+    assert sorted((r.name, r.size) for r in put.collect()) == [("n1", 1), ("n1", 1), ("s/n2", 0), ("é 5%20", 1)] and os.listdir(tmp_path / "a.drafts") == []
+    plans, real = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema, *a, **b: (plans.append((schema, self._jdf.queryExecution().executedPlan().toString())), real(self, f, schema, *a, **b))[1])
+    plan = spark.createDataFrame([(f"{tmp_path}/a/{n}", None if t is None else f"{tmp_path}/b/{t}") for n, t in (("n1", "n1"), ("n1", "n1"), ("n1", "again"), ("s/n2", "n2"), ("none", "x"), ("n4", None))] + [(None, f"{tmp_path}/b/y")], "source string, target string")
+    for _ in range(2):
+        report = objects.copy_objects(plan, f"{tmp_path}/m", move=True)
+    assert isinstance(report, DataFrame) and sorted((r.target.rsplit("/", 1)[1], r.size, r.status) for r in report.collect()) == [("again", 1, "copied"), ("n1", 1, "copied"), ("n2", 0, "copied"), ("x", None, "missing")]
+    assert not (tmp_path / "a/n1").exists() and sorted(os.listdir(tmp_path / "b")) == ["again", "n1", "n2"]
+    removals = [p for schema, p in plans if "gone" in schema]
+    assert len(removals) == 2 and all("status" in p and "sha256" not in p for p in removals)
+
+
 def test_objects_are_made_one_at_a_time_and_heard_once(spark, sf, tmp_path):
     """No column of samples or bytes goes to or from Python for what a task can make; rejected rows don't read the objects again."""
     import shutil
