@@ -140,7 +140,7 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
         x = ((b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16) - ((b[:, 2] >> 7) << 24)) / 2.0**23
     else:
         x = np.frombuffer(raw, f"<i{width}") / 2.0 ** (8 * width - 1)
-    return rate, x.reshape(-1, channels).mean(axis=1)
+    return rate, x if channels == 1 else x.reshape(-1, channels).mean(axis=1)
 
 
 def encode_wav(x: np.ndarray, rate: int) -> bytes:

@@ -224,3 +224,52 @@ def test_best_window_is_no_window_of_bin_zero():
 def test_numbers_are_finite(spark):
     df = spark.createDataFrame([("1e400", float("inf")), ("2", 2.0), ("inf", float("-inf")), ("x", float("nan"))], "a string, b double")
     assert [tuple(r) for r in df.select(to_number(F.col("a")), kpi.number(df, "b")).collect()] == [(None, None), (2.0, 2.0), (None, None), (None, None)]
+
+
+def test_peaks_by_plain_rules():
+    """Plateaus, ties, distances and prominences as a loop over all values finds them; also of short and flat input."""
+
+    def plain(y, height, distance, prominence):
+        n, found, i = len(y), [], 0
+        while i < n:
+            j = i
+            while j + 1 < n and y[j + 1] == y[i]:
+                j += 1
+            if i > 0 and j + 1 < n and y[i - 1] < y[i] > y[j + 1] and y[i] >= height:
+                found.append((i + j) // 2)
+            i = j + 1
+        kept = []
+        for i in sorted(found, key=lambda k: (y[k], k), reverse=True):
+            if all(abs(i - k) >= distance for k in kept):
+                kept.append(i)
+
+        def base(side):
+            values = [y[i]]
+            for v in side:
+                if v > y[i]:
+                    break
+                values.append(v)
+            return min(values)
+
+        out = []
+        for i in sorted(kept):
+            if y[i] - max(base(y[:i][::-1]), base(y[i + 1 :])) >= prominence:
+                out.append(i)
+        return out
+
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 5, 40, 300):
+        for y in (r.random(n), np.round(r.random(n), 1), np.zeros(n)):
+            for rule in ((0.06, 6, 0.04), (0.5, 1, 0.5), (0.0, 0, 0.0), (0.3, 20, 0.3)):
+                assert dsp.local_peaks(y, *rule).tolist() == plain(y.tolist(), *rule), (n, rule)
+
+
+def test_a_window_is_transformed_once(monkeypatch):
+    """Peak and energy of a window come from one spectrum; only the best window's is taken again, for its list of peaks."""
+    x, seen, real = np.sin(2 * np.pi * 440 * np.arange(8000) / 8000), [], np.fft.rfft
+    monkeypatch.setattr(np.fft, "rfft", lambda v: (seen.append(len(v)), real(v))[1])
+    found = dsp.peak_frequency(x, 8000)
+    assert len(seen) == len(dsp.windows(8000, 8000)) + 1 and found["peak_frequency_hz"] == 440.0
+    assert dsp.dominant(x[:2000], 8000) == dsp.dominant(x[:2000], 8000, np.abs(real(x[:2000])))
+    assert dsp.peak_frequency(x[:63], 8000)["peak_frequency_hz"] == 0.0 == dsp.peak_frequency(np.zeros(8000), 8000)["peak_frequency_hz"]
+    assert dsp.peak_frequency(np.full(8000, np.nan), 8000)["peaks_hz"] == "0"
