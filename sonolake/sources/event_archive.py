@@ -52,13 +52,14 @@ class _Archive:
         system, base = objects.place(self.root)
         listed, names = f"{self.root}/_attempts/{uuid.uuid4().hex}.json", []
         try:
-            for row in rows:
-                fields = row.asDict(recursive=True)
-                name = fields.pop(self.key, None)
-                body = json.dumps({k: _plain(v) for k, v in fields.items() if v is not None}, ensure_ascii=False, sort_keys=True).encode()
-                name = name if name is not None else hashlib.sha256(body).hexdigest()[:32]
-                names.append((f"{name}.json", system.get_file_info(f"{base}/{name}.json").type == fs.FileType.NotFound))
-                objects.put(f"{self.root}/{name}.json", body)
+            with objects.drafts(self.root) as own:
+                for row in rows:
+                    fields = row.asDict(recursive=True)
+                    name = fields.pop(self.key, None)
+                    body = json.dumps({k: _plain(v) for k, v in fields.items() if v is not None}, ensure_ascii=False, sort_keys=True).encode()
+                    name = name if name is not None else hashlib.sha256(body).hexdigest()[:32]
+                    names.append((f"{name}.json", system.get_file_info(f"{base}/{name}.json").type == fs.FileType.NotFound))
+                    objects.put(f"{self.root}/{name}.json", body, own)
         except BaseException:
             self._delete([name for name, new in names if new])
             raise

@@ -164,11 +164,18 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("path").alias("uri"), below.alias("name"), "length")
 
 
-def write_objects(rows: DataFrame, root: str, content: Callable[[dict], bytes | None] | None = None) -> DataFrame:
+def _value(v: pa.Scalar):
+    """A row's value; an array of numbers as a NumPy array."""
+    listed = v.is_valid and pa.types.is_list(v.type) and pa.types.is_floating(v.type.value_type)
+    return v.values.to_numpy(zero_copy_only=False) if listed else v.as_py()
+
+
+def write_objects(rows: DataFrame, root: str, content: Callable[[dict], bytes | None] | None = None, deal: bool = True) -> DataFrame:
     """Puts each (name, content) below a folder; name, size, sha256 of what was put (a table next to the folder).
 
     With `content`, the bytes of a row are made from its columns in the task that puts them, one object at a time (None: no
-    object), and rows are dealt to all tasks; else they are a column, and rows stay where they are.
+    object), and rows are dealt to all tasks (unless told not to, as for large rows); else they are a column, and rows stay where
+    they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +186,7 @@ def write_objects(rows: DataFrame, root: str, content: Callable[[dict], bytes |
     def put_all(batch: pa.RecordBatch, own: str) -> pa.RecordBatch:
         names, sizes, hashes = [], [], []
         for values in zip(*batch.columns, strict=True):
-            row = {c: v.as_py() for c, v in zip(batch.schema.names, values, strict=True)}
+            row = {c: _value(v) for c, v in zip(batch.schema.names, values, strict=True)}
             if (data := row["content"] if content is None else content(row)) is not None:
                 put(f"{root}/{row['name']}", data, own)
                 names.append(row["name"])
@@ -188,7 +195,7 @@ def write_objects(rows: DataFrame, root: str, content: Callable[[dict], bytes |
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["name", "size", "sha256"])
 
     known = rows.where("name is not null")
-    known = known.where("content is not null").select("name", "content") if content is None else spread(known, "name")
+    known = known.where("content is not null").select("name", "content") if content is None else spread(known, "name") if deal else known
     versions.append(known.mapInArrow(run, "name string, size long, sha256 string"), f"{root.rstrip('/')}.objects")
     return versions.read(rows.sparkSession, f"{root.rstrip('/')}.objects")
 

@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BinaryType
 
 from sonolake.functions import dsp
 from sonolake.sources import objects, tables
@@ -51,12 +50,16 @@ def capture_batches(stream: DataFrame, size: int, capacity: int) -> DataFrame:
         raise ValueError("a batch has at least one sample and fits into the backlog")
 
     def run(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["tick", "place"], kind="stable")
+        parts = list(frames)
+        ticks, places, samples = (np.concatenate([part[c].to_numpy(k) for part in parts]) for c, k in (("tick", np.int64), ("place", np.int64), ("sample", float)))
+        order = np.lexsort((places, ticks))
+        ticks, places, samples = ticks[order], places[order], samples[order]
+        ends = [*(np.flatnonzero(ticks[1:] != ticks[:-1]) + 1), len(ticks)]
         kept = state.get if state.exists else ([], [], 0, 0)
         backlog = Backlog(np.array(kept[0], np.int64), np.array(kept[1], float), *kept[2:])
         found = []
-        for _, tick in rows.groupby("tick", sort=True):
-            if (batch := backlog.look(tick["place"].to_numpy(np.int64), tick["sample"].to_numpy(float), size, capacity)) is not None:
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):  # one tick after the other
+            if (batch := backlog.look(places[begin:end], samples[begin:end], size, capacity)) is not None:
                 found.append((key[0], *batch))
         state.update((backlog.places.tolist(), backlog.samples.tolist(), backlog.taken, backlog.dropped))
         yield pd.DataFrame(found, columns=[c.split()[0] for c in BATCHES.split(", ")])
@@ -72,18 +75,17 @@ def run_captured(batches: DataFrame, path: str, checkpoint: str) -> None:
     batches.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
 
 
-@F.pandas_udf(BinaryType())
-def _wave(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    """Samples scaled to their largest magnitude as a 16-bit waveform."""
-    return pd.Series([tables.encode_wav(dsp.normalise(np.asarray(x, float)), int(r)) for x, r in zip(samples, rate, strict=True)])
-
-
 def produce(batches: DataFrame, root: str, rate: int, bucket: str = "landing") -> DataFrame:
     """Puts the waveform of each batch into a bucket below `root`; the events that tell of it (with the uuid that names both).
 
     A batch has an id of its device and number alone, so one that comes again puts the same object and event.
     """
     uuid = F.substring(F.sha2(F.concat_ws("\u0001", "device", "batch"), 256), 1, 32)
+
+    def wave(row: dict) -> bytes:
+        """The samples scaled to their largest magnitude as a 16-bit waveform."""
+        return tables.encode_wav(dsp.normalise(np.asarray(row["samples"], float)), int(rate))
+
     named = batches.select(uuid.alias("uuid"), "device", "first", "n", F.concat(F.lit("audio/hot-path/raw/"), uuid, F.lit(".wav")).alias("audio_path"), "samples")
-    objects.write_objects(named.select(F.col("audio_path").alias("name"), _wave("samples", F.lit(rate)).alias("content")), f"{root}/{bucket}")
+    objects.write_objects(named.select(F.col("audio_path").alias("name"), "samples"), f"{root}/{bucket}", wave, deal=False)  # samples are more than their waveform
     return named.select("uuid", "audio_path", F.lit(bucket).alias("bucket"), F.lpad(F.col("first").cast("string"), 12, "0").alias("timestamp"), F.lit(rate).alias("sample_rate"), F.floor(F.col("n") / rate).cast("int").alias("duration"), "device")

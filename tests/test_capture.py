@@ -5,6 +5,8 @@ import random
 import numpy as np
 import pytest
 
+from sonolake.functions import dsp
+from sonolake.sources import tables
 from sonolake.streaming import capture
 
 SCHEMA = "device string, tick long, place long, sample double"
@@ -53,6 +55,30 @@ def test_backlog_of_one_look():
     assert own.look(np.arange(0), np.zeros(0), 5, 10)[1:3] == (17, 21) and own.look(np.arange(0), np.zeros(0), 5, 10) is None
 
 
+def test_ticks_are_taken_in_order(spark, tmp_path):
+    """Samples in any order and over several frames, equal places by their order, values that are null; ticks of one sample and of many."""
+    rnd = random.Random(7)
+    rows = [("m", t, p, None if p % 13 == 0 else p / 4) for p, t in enumerate(sorted(rnd.choice([-3, 0, 5, 5, 5, 1 << 60]) for _ in range(300)))]
+    shuffled = rnd.sample(rows, len(rows))
+    got = run(spark, tmp_path, [shuffled], 20, 30)
+    blank = lambda found: [tuple([None if x is None or x != x else x for x in c] if isinstance(c, list) else c for c in r) for r in found]
+    assert len(got) > 2 and blank(got) == blank(rule(rows, 20, 30))
+
+
+def test_waveforms_are_made_where_they_are_put(spark, tmp_path, monkeypatch):
+    """Samples go to Python once, nothing is dealt anew, and no waveform comes back as a column; null and empty samples as before."""
+    plans, kind = [], type(spark.range(0))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: (plans.append(self._jdf.queryExecution().executedPlan().toString()), real(self, *a, **b))[1])
+    batches = spark.createDataFrame([("a", 0, 0, 3, 4, [0.5, -0.25, None, 0.0], 0), ("a", 1, 4, 7, 4, [], 0), ("b", 0, 0, 0, 4, None, 0)], capture.BATCHES)
+    batches.write.parquet(f"{tmp_path}/batches")
+    with np.errstate(invalid="ignore"):
+        events = capture.produce(spark.read.schema(capture.BATCHES).parquet(f"{tmp_path}/batches"), f"{tmp_path}/z", 4)
+        expected = sorted(tables.encode_wav(dsp.normalise(np.asarray(x, float)), 4) for x in ([0.5, -0.25, np.nan, 0.0], [], None))
+    assert len(plans) == 1 and "samples" in plans[0] and not any(x in plans[0] for x in ("ArrowEvalPython", "Exchange"))
+    assert sorted((tmp_path / f"z/landing/{e.audio_path}").read_bytes() for e in events.collect()) == expected and events.count() == 3
+
+
 def test_a_batch_has_to_fit(spark):
     with pytest.raises(ValueError):
         capture.capture_batches(spark.createDataFrame([], SCHEMA), 5, 4)

@@ -227,6 +227,18 @@ def test_objects_are_made_one_at_a_time_and_heard_once(spark, sf, tmp_path):
     assert {r.uuid: r.reason for r in bad.collect()} == {"2": "does not decode", "3": "no object"} and [r.uuid for r in good.collect()] == ["1"]
 
 
+def test_archived_events_have_no_drafts_among_them(tmp_path, monkeypatch):
+    """A task's events are drafted in a folder of its own, which goes with the task; its list alone is drafted where it lies."""
+    from pyspark.sql import Row
+
+    drafted, real = [], objects._draft
+    monkeypatch.setattr(objects, "_draft", lambda path: (drafted.append(path), real(path))[1])
+    writer = EventArchive({"path": f"{tmp_path}/out"}).writer(None, False)
+    told = writer.write(iter([Row(uuid=u, x=1.5) for u in ("a", "b", "a", None)]))
+    assert len(drafted) == 1 and "_attempts" in drafted[0] and len(names(tmp_path / "out")) == 3 and os.listdir(tmp_path / "out.drafts") == []
+    assert told.n == 4 and [json.loads(x)["new"] for x in objects.get(told.listed).decode().split("\n")] == [True, True, False, True]
+
+
 def test_archive_read_by_its_lists(spark, tmp_path):
     """Readers take names from the lists of committed batches: no listing of objects, repeated events once, given-up ones not at all."""
     from pyspark.sql import Row
